@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import media
+from . import media, mixing
 
 
 def queries() -> dict:
     return {
         "op1_mpeg_audio": media.op1_mpeg_audio,
+        "op2_fair_mix": mixing.op2_fair_mix,
     }
 
 
