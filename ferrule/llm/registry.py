@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import media, mixing
+from . import media, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op1_mpeg_audio": media.op1_mpeg_audio,
         "op2_fair_mix": mixing.op2_fair_mix,
+        "op4_quality_rules": quality.op4_quality_rules,
     }
 
 
