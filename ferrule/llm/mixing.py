@@ -7,7 +7,7 @@ is serving then is taken in part. So each source ends within one word of its tar
 
 Skew: prefix sums never need a whole source in one task. A source is split into ranges of its shuffle key, the global order into
 equal ranges of virtual time (virtual time passes evenly, so these hold about equal words), and only range totals are
-accumulated. What meets in one task is one row per source and per range of some 20,000 documents.
+accumulated. What meets in one task is one row per source and per range of some 5,000 documents.
 
 Defined results: null texts have size 0 and are never taken; a null source is a source, ranked last; ties in the shuffle key break by
 doc_id and size; repeated rows queue one by one; an empty table gives no rows; other columns are ignored.
@@ -23,7 +23,7 @@ from .common import SPACE, Kept, table
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST = 1.5, 2
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 5_000
 
 
 def word_count(text: Column) -> Column:
