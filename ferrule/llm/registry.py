@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, quality
+from . import media, mixing, quality, secrets
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mpeg_audio": media.op1_mpeg_audio,
         "op2_fair_mix": mixing.op2_fair_mix,
         "op4_quality_rules": quality.op4_quality_rules,
+        "op5_secret_scan": secrets.op5_secret_scan,
     }
 
 
