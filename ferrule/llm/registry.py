@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality, secrets
+from . import jaccard, media, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_fair_mix": mixing.op2_fair_mix,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_secret_scan": secrets.op5_secret_scan,
+        "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
         "op10_best_fit_pack": packing.op10_best_fit_pack,
     }
 
