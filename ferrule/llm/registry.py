@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, packing, quality, secrets
+from . import chat, jaccard, media, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
@@ -12,9 +12,12 @@ def queries() -> dict:
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
+        "op8_reply_chat": chat.op8_reply_chat,
         "op10_best_fit_pack": packing.op10_best_fit_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_reply_chat": chat.OP8_SQL,
+    }
