@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, media, mixing, packing, quality, secrets
+from . import chat, jaccard, lines, media, mixing, packing, quality, secrets
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
         "op8_reply_chat": chat.op8_reply_chat,
+        "op9_line_dedup": lines.op9_line_dedup,
         "op10_best_fit_pack": packing.op10_best_fit_pack,
     }
 
