@@ -134,7 +134,7 @@ def class_of(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, class and keys of every text."""
+    """doc_id, row (a hash of doc_id and text), n, class and keys of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, classes, keys = [], [], []
@@ -145,9 +145,10 @@ def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
                 keys.append(part_keys(s, percent).view(np.int64))
             ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "n", "class", "keys"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "row", "n", "class", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, class long, keys array<long>")
+    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string"))
+    return given.mapInArrow(run, "doc_id long, row long, n long, class long, keys array<long>")
 
 
 def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -270,7 +271,7 @@ def search_large(large: DataFrame, kept: Kept, percent: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, kept: Kept, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, class (one per distinct set) and component_id of every row."""
+    """doc_id, row, n_shingles, class (one per distinct set), component (a class of it) and component_id of every row."""
     signed = kept.put(signatures(docs, words, percent))
     classes = kept.put(signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     keyed = classes.select(F.explode("keys").alias("key"), "class")
@@ -288,10 +289,22 @@ def jaccard_classes(docs: DataFrame, kept: Kept, words: int = WORDS, percent: in
     joined = components(kept, kept.put(links))
     named = classes.select("class", "doc_id").join(joined, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = named.join(lowest, "component").select("class", "component_id")
-    narrow = signed.select("doc_id", F.col("n").alias("n_shingles"), "class")
+    final = named.join(lowest, "component").select("class", "component", "component_id")
+    narrow = signed.select("doc_id", "row", F.col("n").alias("n_shingles"), "class")
     return narrow.join(final, "class", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
+def keep_one(docs: DataFrame, kept: Kept, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, the first by doc_id (null last) and row hash; documents without words all stay."""
+    found = jaccard_classes(docs, kept, words, percent).where("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = found.groupBy("component").agg(F.min(place).alias("first"))
+    gone = found.join(first, "component").where(place != F.col("first")).select(F.col("row").alias("_row")).distinct()
+    rest = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(gone, F.col("_key") == F.col("_row"), "left_anti")
+    # Rows alike in doc_id and text are one document.
+    alike = F.row_number().over(W.partitionBy("_key").orderBy(F.lit(0)))
+    return rest.withColumn("_n", alike).where((F.col("_n") == 1) | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), Kept(spark, "jaccard")).select("doc_id", "n_shingles", "component_id")

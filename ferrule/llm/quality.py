@@ -117,12 +117,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns only."""
-    columns = docs.columns
-    return verdicts(docs).where("kept").select(*[F.col(f"`{c}`") for c in columns]) if not set(columns) & {*BASE, "kept"} else _keep_clashing(docs)
+    """The documents that the rules keep, in their own columns. Each row travels beside its text, so names may clash.
 
-
-def _keep_clashing(docs: DataFrame) -> DataFrame:
-    """The same where columns of ``docs`` have the names of metrics: the row travels beside its text."""
+    The verdict passes through a generator: a plain filter would be pushed below the projection, and compute its metrics many times.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    return verdicts(packed).where("kept").select("_row.*")
+    marked = verdicts(packed).select("_row", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_keep"))
+    return marked.where("_keep").select("_row.*")

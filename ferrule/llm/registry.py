@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, lines, media, mixing, packing, quality, secrets
+from . import chat, jaccard, lines, media, mixing, packing, quality, secrets, tokens, wrappers
 
 
 def queries() -> dict:
     return {
         "op1_mpeg_audio": media.op1_mpeg_audio,
         "op2_fair_mix": mixing.op2_fair_mix,
+        "op3_edit_counts": tokens.op3_edit_counts,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_secret_scan": secrets.op5_secret_scan,
         "op6_ngram_jaccard": jaccard.op6_ngram_jaccard,
         "op8_reply_chat": chat.op8_reply_chat,
+        "op7_page_text": wrappers.op7_page_text,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_best_fit_pack": packing.op10_best_fit_pack,
     }
