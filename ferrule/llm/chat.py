@@ -1,6 +1,6 @@
 """Operator 8: chat formatting of reply trees, with built-in functions only.
 
-``best_paths`` enumerates root-to-leaf paths of reply trees by iterative self-joins on the parent, ranks a tree's branches by score and
+``best_paths`` enumerates root-to-leaf paths of reply trees by iterative self-joins (pointer doubling along chains, then by branchings), ranks a tree's branches by score and
 keeps the best ones. ``format_chat`` writes a path as one conversation in a marked template, with the spans of the loss mask;
 ``read_chat`` reads turns and masked text back from what was written.
 
@@ -36,34 +36,73 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def match(left: list[str], right: list[str]) -> Column:
+    """Null-safe equality of columns pair by pair."""
+    cond = F.lit(True)
+    for x, y in zip(left, right, strict=True):
+        cond = cond & F.col(x).eqNullSafe(F.col(y))
+    return cond
+
+
+def chains(nodes: DataFrame, kept: Kept) -> DataFrame:
+    """(tree, node, parent, score, head, dist): the first node of the unbranched chain that a node is in, and its place there.
+
+    Pointers to the parent are doubled by self-joins, so the number of rounds is the logarithm of the longest chain.
+    """
+    only = nodes.where("parent is not null").groupBy("tree", "parent").agg(F.count("*").alias("n")).where("n = 1").select(F.col("tree").alias("t"), F.col("parent").alias("p"))
+    linked = nodes.join(only, match(["tree", "parent"], ["t", "p"]), "left")
+    now = kept.put(linked.select("tree", "node", "parent", "score", F.coalesce("p", "node").alias("head"), F.col("p").isNotNull().cast("long").alias("dist")))
+    total = now.agg(F.sum("dist")).first()[0]
+    while total:
+        jump = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("head").alias("h"), F.col("dist").alias("d"))
+        after = kept.put(now.join(jump, match(["tree", "head"], ["t", "n"])).select("tree", "node", "parent", "score", F.col("h").alias("head"), (F.col("dist") + F.col("d")).alias("dist")))
+        grown = after.agg(F.sum("dist")).first()[0]
+        kept.drop(now)
+        now, same = after, grown == total
+        if same:
+            break
+        total = grown
+    return now
+
+
 def best_paths(messages: DataFrame, kept: Kept, best: int = 1) -> DataFrame:
     """From (tree, node, parent, score, role, text): the best branches of each tree as (tree, rank, score, turns).
 
     A branch's score is the mean of its nodes' scores (null: 0); ties go to the smaller path. Nodes are any orderable type, unique within a
-    tree. A round joins every open path with the children of its last node and writes the next level, so the number of
-    rounds is the depth of the deepest tree; only ids and sums travel until the branches are chosen.
+    tree, and parents form no cycle. Unbranched chains count as one node; then a round joins every open path with the chains that branch
+    off its end, so the number of rounds is the depth of branching. Only ids and sums travel until the branches are chosen.
     """
-    nodes = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    parents = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    orphan = nodes.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left_anti")
-    child = nodes.select(F.col("tree").alias("t"), F.col("node").alias("next"), F.col("parent").alias("p"), F.col("score").alias("more"))
-    level = kept.put(orphan.select("tree", F.array("node").alias("path"), "score"))
+    given = messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    there = given.select(F.col("tree").alias("t"), F.col("node").alias("p"))
+    nodes = given.join(there, match(["tree", "parent"], ["t", "p"]) & F.col("parent").isNotNull(), "left").select("tree", "node", F.col("p").alias("parent"), "score")
+    chained = chains(nodes, kept)
+    first = chained.where("dist = 0").select("tree", "head", "parent")
+    above = chained.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("head").alias("up"))
+    start = first.join(above, match(["tree", "parent"], ["t", "n"]) & F.col("parent").isNotNull(), "left").select("tree", "head", "up")
+    sums = chained.groupBy("tree", "head").agg(F.sum("score").alias("sum"), F.count("*").alias("n"))
+    sums = sums.select(F.col("tree").alias("t"), F.col("head").alias("h"), "sum", "n")
+    segments = kept.put(start.join(sums, match(["tree", "head"], ["t", "h"])).select("tree", "head", "up", "sum", "n"))
+    child = segments.where("up is not null").select(F.col("tree").alias("t"), F.col("head").alias("next"), F.col("up").alias("p"), F.col("sum").alias("more"), F.col("n").alias("many"))
+    level = segments.where("up is null").select("tree", F.array("head").alias("path"), "sum", "n")
     branches = None
-    while not level.isEmpty():
-        joined = level.join(child, F.col("tree").eqNullSafe(F.col("t")) & (F.element_at("path", -1) == F.col("p")), "left")
-        after = kept.put(joined.select("tree", "path", "score", "next", "more"))
-        ended = after.where("next is null").select("tree", "path", (F.col("score") / F.size("path")).alias("score"))
+    while True:
+        if child.isEmpty():
+            ended, level = level, None
+        else:
+            after = kept.put(level.join(child, match(["tree"], ["t"]) & (F.element_at("path", -1) == F.col("p")), "left"))
+            ended = after.where("next is null").select("tree", "path", "sum", "n")
+            level = after.where("next is not null").select("tree", F.concat("path", F.array("next")).alias("path"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("n") + F.col("many")).alias("n"))
         branches = ended if branches is None else branches.unionByName(ended)
-        level = after.where("next is not null").select("tree", F.concat("path", F.array("next")).alias("path"), (F.col("score") + F.col("more")).alias("score"))
-    if branches is None:
-        branches = level
-    rank = F.row_number().over(W.partitionBy("tree").orderBy(F.col("score").desc(), "path"))
-    chosen = branches.withColumn("rank", rank).where(F.col("rank") <= best)
-    placed = chosen.select(F.col("tree").alias("t"), "rank", F.col("score").alias("branch_score"), F.posexplode("path").alias("pos", "p"))
-    texts = placed.join(messages, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")))
+        if level is None or level.isEmpty():
+            break
+    score = F.col("sum") / F.col("n")
+    chosen = branches.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(score.desc(), "path"))).where(F.col("rank") <= best)
+    placed = chosen.select(F.col("tree").alias("t"), "rank", score.alias("branch_score"), F.posexplode("path").alias("pos", "h"))
+    members = placed.join(chained.select("tree", "head", "node", "dist"), match(["t", "h"], ["tree", "head"])).select("t", "rank", "branch_score", "pos", "dist", F.col("node").alias("p"))
+    texts = members.join(messages.select("tree", "node", "role", "text"), match(["t", "p"], ["tree", "node"]))
     turn = F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.groupBy("tree", "rank").agg(F.first("branch_score").alias("score"), F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", turn.alias("turn")))), lambda x: x["turn"]).alias("turns"))
+        F.array_sort(F.collect_list(F.struct("pos", "dist", turn.alias("turn")))), lambda x: x["turn"]).alias("turns"))
 
 
 def format_chat(paths: DataFrame) -> DataFrame:
