@@ -198,7 +198,15 @@ def route_documents(pages: DataFrame, sample: int = 8) -> DataFrame:
     return d.select("doc_id", reason.alias("reason"), F.when(blocked, "blocked").otherwise("ok").alias("verdict")).withColumn("use_vision", ~F.col("reason").isin("docx", "text"))
 
 
-@operator("element_stats", ["model_text"], """SELECT id AS doc_id, CAST(len(regexp_extract_all(response, '"(fixesMade|issues)"')) AS BIGINT) AS lists, CAST(len(regexp_extract_all(response, '"[a-z][^":]*"[,\\]]')) AS BIGINT) AS items FROM model_text""")
+ELEMENT_KINDS = {"heading": "headings", "paragraph": "paragraphs", "table": "tables", "figure": "figures", "list_item": "list_items", "callout": "callouts"}
+
+
+@operator("element_stats", ["element_json"], "SELECT doc_id, " + ", ".join(f"""CAST(len(regexp_extract_all(response, '"type":"{k}"')) AS BIGINT) AS {v}""" for k, v in ELEMENT_KINDS.items()) + " FROM element_json")
 def element_stats(model_text: DataFrame) -> DataFrame:
-    """Counts of lists and of their items in a model's answers."""
-    return model_text.select(F.col("id").alias("doc_id"), F.regexp_count("response", F.lit('"(fixesMade|issues)"')).cast("long").alias("lists"), F.regexp_count("response", F.lit(r'"[a-z][^":]*"[,\]]')).cast("long").alias("items"))
+    """Counts by type of the elements in each document's extracted array."""
+    parsed = model_text.select("doc_id", F.from_json("response", "array<struct<type:string,level:int,text:string>>").alias("e"))
+    return parsed.select("doc_id", *[_count(kind).alias(name) for kind, name in ELEMENT_KINDS.items()])
+
+
+def _count(kind: str) -> Column:
+    return F.size(F.filter("e", lambda e: e["type"] == kind)).cast("long")

@@ -49,7 +49,7 @@ VIEWS: dict[str, str] = {
           CASE WHEN user_id % 19 = 0 THEN concat('bad-', CAST(user_id AS STRING)) ELSE concat('00000000-0000-4000-8000-', lpad(CAST(user_id AS STRING), 12, '0')) END AS visitor_id,
           concat(CASE event_type WHEN 'click' THEN '/kb' WHEN 'view' THEN '/blog' WHEN 'purchase' THEN '/admin' ELSE '/tools' END,
             CASE WHEN user_id % 3 = 0 THEN '/admin' ELSE '/a' END, '?k=', CAST(user_id AS STRING)) AS path,
-          CAST(abs(value) * 1000 AS BIGINT) AS engaged_ms, event_id % 5 <> 0 AS interaction,
+          CAST(floor(abs(value) * 1000) AS BIGINT) AS engaged_ms, event_id % 5 <> 0 AS interaction,
           CASE event_id % 17 WHEN 0 THEN 'Googlebot/2.1' WHEN 1 THEN 'HeadlessChrome' ELSE 'Mozilla/5.0' END AS user_agent, CAST(ts AS TIMESTAMP) AS ts
         FROM {events}""",
     "visibility_events": """
@@ -82,7 +82,7 @@ VIEWS: dict[str, str] = {
         SELECT concat('sub_', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS sub_id, concat('user_', CAST(o_custkey AS STRING)) AS user_id,
           CASE l_orderkey % 5 WHEN 0 THEN 'canceled' WHEN 1 THEN 'past_due' WHEN 2 THEN 'trialing' ELSE 'active' END AS status, CASE WHEN l_linenumber % 2 = 0 THEN 'team' ELSE 'individual' END AS plan,
           CASE WHEN l_linenumber % 2 = 0 THEN concat('user_', CAST(1 + o_custkey % 50 AS STRING)) ELSE NULL END AS billing_owner_id, concat('org_', CAST(o_custkey % 25 AS STRING)) AS org_id,
-          concat('price_', CAST(l_suppkey % 6 AS STRING)) AS price_id, CAST(l_extendedprice AS BIGINT) AS unit_amount,
+          concat('price_', CAST(l_suppkey % 6 AS STRING)) AS price_id, CAST(floor(l_extendedprice) AS BIGINT) AS unit_amount,
           CASE l_linenumber % 4 WHEN 0 THEN 'month' WHEN 1 THEN 'year' WHEN 2 THEN 'week' ELSE 'day' END AS recur, CAST(1 + l_linenumber % 3 AS INT) AS interval_count,
           CAST(l_quantity AS INT) AS quantity, CAST(o_orderdate AS TIMESTAMP) AS ts
         FROM {items} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_orderkey % 8 = 1""",
@@ -127,7 +127,7 @@ VIEWS: dict[str, str] = {
           WHEN 6 THEN 'slide show' ELSE p_name END AS text, concat('/in/part', CAST(p_partkey AS STRING), '.pdf') AS file_name FROM {part}""",
     "manifest": """
         SELECT concat('/in/', replace(p_name, ' ', '_'), CAST(p_partkey AS STRING), CASE p_partkey % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.pptx' WHEN 3 THEN '.doc' ELSE '' END) AS path,
-          CASE WHEN p_partkey % 7 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(p_retailprice * 45000 AS BIGINT) END AS length FROM {part}""",
+          CASE WHEN p_partkey % 7 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(floor(p_retailprice * 45000) AS BIGINT) END AS length FROM {part}""",
     "contacts": """
         SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN concat(' ', lower(c_name), '@mail.example.org ') WHEN 1 THEN lower(c_name) WHEN 2 THEN concat(lower(c_name), '@example') WHEN 3 THEN 'a@b@c.d' ELSE concat(lower(c_name), '@x.org') END AS email,
           CASE WHEN c_custkey % 7 = 0 THEN '  ' ELSE c_name END AS name FROM {customer}""",
@@ -139,6 +139,9 @@ VIEWS: dict[str, str] = {
           WHEN 1 THEN 'Sure! Here it is: {{"fixesMade":["x"],"issues":[]}} Hope it helps.' WHEN 2 THEN 'no object at all' WHEN 3 THEN '{{"fixesMade":[],"issues":["i"]}}' WHEN 4 THEN '{{broken' ELSE '```
 {{"fixesMade":["c","d","e"],"issues":["y","z"]}}
 ```' END AS response FROM {events}""",
+    "element_json": """
+        SELECT l_orderkey AS doc_id, concat('[', string_agg(concat('{{"type":"', CASE l_partkey % 6 WHEN 0 THEN 'heading' WHEN 1 THEN 'paragraph' WHEN 2 THEN 'table' WHEN 3 THEN 'figure' WHEN 4 THEN 'list_item' ELSE 'callout' END, '","level":1,"text":"x"}}'), ','), ']') AS response
+        FROM {items} GROUP BY l_orderkey""",
     "fragments": """
         SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS seq, CASE l_linenumber % 4 WHEN 0 THEN concat('```html', chr(10), '<p>a', CAST(l_partkey AS STRING), '</p>', chr(10), '```')
           WHEN 1 THEN concat('<div class="x" lang="en">', chr(10), '<p>b', CAST(l_suppkey AS STRING), '</p></div>') WHEN 2 THEN ' <p>c</p> ' ELSE '<div><p>d</p></div>' END AS html FROM {items} WHERE l_orderkey % 4 = 1""",
