@@ -2,8 +2,9 @@
 
 1. Each text becomes the sorted set of its 64-bit shingle hashes. Texts with equal sets form one class, so exact copies cost nothing later.
 2. Two linked sets differ in at most (a + b) / 19 shingles at 0.9 (in general (a + b)(1 - t) / (1 + t)). The hash space is cut into that
-   many parts and a few more, so linked sets agree in some parts entirely; a part's digest is a key. Classes that share a key are
-   joined into candidate groups. This loses no link, whatever the texts are.
+   many parts and a quarter more, so linked sets agree in that many parts entirely; a part's digest is a key. Sets that occur
+   in fewer lists with others than that are out; the rest are joined into candidate groups by their lists. This loses no link,
+   whatever the texts are.
 3. Within a group, T-occurrence search with DivideSkip finds links: of a query's inverted lists the longest are set aside, the
    short ones are merged and counted, and candidates with enough hits are probed for the long lists by binary search. Only links between
    different components matter, so a group that has become one component ends the search.
@@ -33,6 +34,8 @@ from .common import Kept, components, table
 WORDS, PERCENT = 3, 90
 #: Shingles of a group, or of a block of a larger group, that one task holds.
 TASK_SHINGLES = 4_000_000
+#: How often sets that occur in too few lists are taken out; each time lists lose members, and more sets may follow.
+PEELINGS = 2
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
@@ -104,24 +107,30 @@ def size_tags(n: int, percent: int = PERCENT) -> tuple[tuple[int, int, int], ...
             if inside:
                 far = 2 * most * (100 - percent) // (100 + percent)
                 if far:
-                    spare = 1 + far // 10
+                    spare = 1 + far // 4
                     out.append((tag, far + 1 + spare, spare))
         if low > n:
             return tuple(out)
         low, k = high, k + 1
 
 
-def part_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Digests of the parts of a set. Parts with under two shingles count only if they are more than the spare ones."""
-    keys = []
+def part_keys(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the parts of a set as keys, and for each its tag and how many keys of that tag any linked set shares at least.
+
+    Weak parts (empty, or of one shingle where parts are large) give keys only if they outnumber the spare ones.
+    """
+    keys, marks = [], []
     for tag, parts, spare in size_tags(len(s), percent):
         bounds = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(_U)
         cuts = np.concatenate(([0], np.searchsorted(s, bounds), [len(s)]))
         sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(s + _U(0x51ED270B)))))
         digest = mix((sums[cuts[1:]] - sums[cuts[:-1]]) + mix(np.arange(parts, dtype=_U) + _U(tag * 1_000_003)))
-        weak = np.diff(cuts) < 2
-        keys.append(digest if weak.sum() > spare else digest[~weak])
-    return np.concatenate(keys) if keys else np.empty(0, _U)
+        weak = np.diff(cuts) < (2 if len(s) >= 4 * parts else 1)
+        n_weak = int(weak.sum())
+        keys.append(digest if n_weak > spare else digest[~weak])
+        shared = spare + 1 - (0 if n_weak > spare else n_weak)
+        marks.append(np.full(len(keys[-1]), tag << 32 | shared, np.int64))
+    return (np.concatenate(keys), np.concatenate(marks)) if keys else (np.empty(0, _U), np.empty(0, np.int64))
 
 
 def class_of(s: np.ndarray) -> int:
@@ -133,22 +142,39 @@ def class_of(s: np.ndarray) -> int:
     return int(mix(np.array([x], _U)).view(np.int64)[0])
 
 
-def signatures(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, row (a hash of doc_id and text), n, class and keys of every text."""
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, row (a hash of doc_id and text), n and class of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, classes, keys = [], [], []
+            sets = [shingles(text, words) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(class_of, sets)), pa.int64())]
+            yield pa.record_batch(columns, ["doc_id", "row", "n", "class"])
+
+    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string"))
+    return given.mapInArrow(run, "doc_id long, row long, n long, class long")
+
+
+def class_keys(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, remembered: int = 1 << 20) -> DataFrame:
+    """(key, class, mark) rows of every set. A task gives a class's keys once while it remembers the class, so copies add little."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys, classes, marks = [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 s = shingles(text, words)
-                n.append(len(s))
-                classes.append(class_of(s))
-                keys.append(part_keys(s, percent).view(np.int64))
-            ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("row"), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), lists], ["doc_id", "row", "n", "class", "keys"])
+                name = class_of(s)
+                if len(s) and name not in seen:
+                    if len(seen) == remembered:
+                        seen.clear()
+                    seen.add(name)
+                    k, m = part_keys(s, percent)
+                    keys.append(k.view(np.int64))
+                    marks.append(m)
+                    classes.append(np.full(len(k), name, np.int64))
+            if keys:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, classes, marks)], ["key", "class", "mark"])
 
-    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string"))
-    return given.mapInArrow(run, "doc_id long, row long, n long, class long, keys array<long>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, class long, mark long")
 
 
 def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
@@ -272,11 +298,18 @@ def search_large(large: DataFrame, kept: Kept, percent: int) -> DataFrame:
 
 def jaccard_classes(docs: DataFrame, kept: Kept, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, row, n_shingles, class (one per distinct set), component (a class of it) and component_id of every row."""
-    signed = kept.put(signatures(docs, words, percent))
-    classes = kept.put(signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    keyed = classes.select(F.explode("keys").alias("key"), "class")
+    signed = kept.put(signatures(docs, words))
+    classes = kept.put(signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    keyed = class_keys(docs, words, percent)
     by_key = W.partitionBy("key")
-    edges = keyed.withColumn("low", F.min("class").over(by_key)).where("class != low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct()
+    lists = lambda rows: rows.withColumn("low", F.min("class").over(by_key)).withColumn("high", F.max("class").over(by_key)).where("low != high").drop("high")
+    met = kept.put(lists(keyed))
+    for _ in range(PEELINGS):
+        # A set that meets others in fewer lists than any linked set would share with it has no link.
+        rich = met.groupBy("class", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("mark").bitwiseAND(0xFFFFFFFF)).select("class", "mark")
+        before, met = met, kept.put(lists(met.drop("low").join(rich, ["class", "mark"], "left_semi")))
+        kept.drop(before)
+    edges = met.where("class != low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct()
     groups = kept.put(components(kept, edges))
     members = groups.join(classes.select("class", "doc_id", "n"), F.col("node") == F.col("class")).select("class", F.col("component").alias("group"), "doc_id", "n")
     sizes = members.groupBy("group").agg(F.sum("n").alias("held"))
