@@ -52,17 +52,12 @@ def chains(nodes: DataFrame, kept: Kept) -> DataFrame:
     only = nodes.where("parent is not null").groupBy("tree", "parent").agg(F.count("*").alias("n")).where("n = 1").select(F.col("tree").alias("t"), F.col("parent").alias("p"))
     linked = nodes.join(only, match(["tree", "parent"], ["t", "p"]), "left")
     now = kept.put(linked.select("tree", "node", "parent", "score", F.coalesce("p", "node").alias("head"), F.col("p").isNotNull().cast("long").alias("dist")))
-    total = now.agg(F.sum("dist")).first()[0]
-    while total:
-        jump = now.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("head").alias("h"), F.col("dist").alias("d"))
-        after = kept.put(now.join(jump, match(["tree", "head"], ["t", "n"])).select("tree", "node", "parent", "score", F.col("h").alias("head"), (F.col("dist") + F.col("d")).alias("dist")))
-        grown = after.agg(F.sum("dist")).first()[0]
-        kept.drop(now)
-        now, same = after, grown == total
-        if same:
-            break
-        total = grown
-    return now
+    done, moving = now.where("dist = 0"), now.where("dist > 0")
+    while not moving.isEmpty():  # only pointers that have not arrived join on
+        jump = done.unionByName(moving).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("head").alias("h"), F.col("dist").alias("d"))
+        after = kept.put(moving.join(jump, match(["tree", "head"], ["t", "n"])).select("tree", "node", "parent", "score", F.col("h").alias("head"), (F.col("dist") + F.col("d")).alias("dist"), "d"))
+        done, moving = done.unionByName(after.where("d = 0").drop("d")), after.where("d > 0").drop("d")
+    return done
 
 
 def best_paths(messages: DataFrame, kept: Kept, best: int = 1) -> DataFrame:
