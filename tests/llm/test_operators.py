@@ -302,6 +302,29 @@ def test_line_recall_and_removal(spark):
     assert lines.drop_lines(docs, Kept(spark, "t")).columns == docs.columns and lines.drop_lines(empty(docs), Kept(spark, "t")).count() == 0
 
 
+def line_recall(spark, texts):
+    """The share of pairs of lines at 0.8 or more that line_classes puts in one component, and whether it joins no others."""
+    shingles = {x: {x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in texts}
+    docs = docs_of(spark, [(i, x, "s") for i, x in enumerate(texts)])
+    classes = {r.line_id: r.component for r in lines.line_classes(docs, Kept(spark, "t")).collect()}
+    ids = {r.text: r.i for r in docs.select("text", lines.line_id(F.col("text")).alias("i")).collect()}
+    pairs = [(a, b) for k, a in enumerate(texts) for b in texts[:k] if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    return sum(classes.get(ids[a], 1) == classes.get(ids[b], 2) for a, b in pairs) / len(pairs), len(pairs)
+
+
+def test_lines_of_a_common_template(spark):
+    rnd, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    draw = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    texts = []
+    for _ in range(6):
+        template = " ".join(draw(6) for _ in range(6)) + ": "
+        for _ in range(80):
+            own = draw(14)
+            texts += [template + own, template + own[:-1] + "0"]
+    recall, n = line_recall(spark, texts)
+    assert n >= 480 and recall >= 0.98
+
+
 def test_bin_plan_uses_every_piece():
     rnd = random.Random(1)
     for _ in range(200):
