@@ -325,6 +325,19 @@ def test_lines_of_a_common_template(spark):
     assert n >= 480 and recall >= 0.98
 
 
+def test_lines_without_spaces(spark):
+    rnd = random.Random(6)
+    texts = []
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOP0123456789+/", "".join(map(chr, range(0x4E00, 0x5200)))):
+        for i in range(40):
+            own = "".join(rnd.choice(letters) for _ in range(200))
+            at = rnd.randrange(12) if i % 2 else 150
+            texts += [own, own[:at] + "~" + own[at + 1 :]]
+            texts += ["https://www.example.com/" + own[:100], "https://www.example.com/" + own[:99] + "~"]
+    recall, n = line_recall(spark, texts)
+    assert n >= 160 and recall >= 0.98
+
+
 def test_bin_plan_uses_every_piece():
     rnd = random.Random(1)
     for _ in range(200):
