@@ -117,7 +117,8 @@ def size_tags(n: int, percent: int = PERCENT) -> tuple[tuple[int, int, int], ...
 def part_keys(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Digests of the parts of a set as keys, and for each its tag and how many keys of that tag any linked set shares at least.
 
-    Weak parts (empty, or of one shingle where parts are large) give keys only if they outnumber the spare ones.
+    Empty parts give keys only if they outnumber the spare ones. A part that two sets agree in is empty in both, so a set that drops its own
+    loses no more keys than those; one that keeps them may meet a set that drops up to the spare ones, and shares one key at least.
     """
     keys, marks = [], []
     for tag, parts, spare in size_tags(len(s), percent):
@@ -125,10 +126,10 @@ def part_keys(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.nda
         cuts = np.concatenate(([0], np.searchsorted(s, bounds), [len(s)]))
         sums = np.concatenate((np.zeros(1, _U), np.cumsum(mix(s + _U(0x51ED270B)))))
         digest = mix((sums[cuts[1:]] - sums[cuts[:-1]]) + mix(np.arange(parts, dtype=_U) + _U(tag * 1_000_003)))
-        weak = np.diff(cuts) < (2 if len(s) >= 4 * parts else 1)
-        n_weak = int(weak.sum())
-        keys.append(digest if n_weak > spare else digest[~weak])
-        shared = spare + 1 - (0 if n_weak > spare else n_weak)
+        empty = np.diff(cuts) == 0
+        n_empty = int(empty.sum())
+        keys.append(digest if n_empty > spare else digest[~empty])
+        shared = 1 if n_empty > spare else spare + 1 - n_empty
         marks.append(np.full(len(keys[-1]), tag << 32 | shared, np.int64))
     return (np.concatenate(keys), np.concatenate(marks)) if keys else (np.empty(0, _U), np.empty(0, np.int64))
 
