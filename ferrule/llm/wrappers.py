@@ -6,8 +6,8 @@ mismatch: differing texts make a field; a stretch that repeats the one before it
 makes an optional one. Alignment of two wrappers works alike, so partial wrappers of any number of slices of a host merge into one: no
 host is gathered in one task, and all pages take part.
 
-Extraction walks a page with its host's wrapper. Slots under boilerplate elements or boilerplate class names, and slots whose text is the same on
-many pages of a host outside the article, are dropped; what is left of the article (or main, or body) are blocks.
+Extraction walks a page with its host's wrapper. Slots under boilerplate elements or boilerplate class names, and slots outside the article on whose text several
+pages of a host with different content agree, are dropped (unless nothing else remains); what is left of the article (or main, or body) are blocks.
 
 Defined results: null and empty html give an empty text; broken, unclosed or truncated markup ends with the page; a page without
 article or main uses its body; pages of one host do not change each other's article text; repeated rows give equal rows; other
@@ -16,6 +16,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -139,7 +140,7 @@ def page_slots(page: str) -> list[Slot]:
     return out
 
 
-# A wrapper is a list of nodes: ["t", path, text] a slot, text null for a field; ["?", nodes] an optional group; ["+", nodes] a repeated group.
+# A wrapper is a list of nodes: ["t", path, text, pages] a slot, text null for a field, pages up to two digests of page contents that have it; ["?", nodes] an optional group; ["+", nodes] a repeated group.
 
 
 def same(a: list, b: list) -> bool:
@@ -149,7 +150,7 @@ def same(a: list, b: list) -> bool:
 def join_nodes(a: list, b: list) -> list:
     """One node that matches what either matches; the two have the same shape."""
     if a[0] == "t":
-        return ["t", a[1], a[2] if a[2] == b[2] else None]
+        return ["t", a[1], a[2] if a[2] == b[2] else None, *([sorted({*a[3], *b[3]})[:2]] if len(a) > 3 and len(b) > 3 else [])]
     return [a[0], [join_nodes(x, y) for x, y in zip(a[1], b[1], strict=True)]]
 
 
@@ -209,15 +210,17 @@ def optional(node: list) -> list:
 
 
 def page_wrapper(page: str) -> list:
-    return fold([["t", s.path, s.text if s.dropped or not s.article else None] for s in page_slots(page)])
+    slots = page_slots(page)
+    content = hashlib.blake2b("\n".join(f"{s.path} {s.text}" for s in slots if not s.dropped).encode("utf-8", "replace"), digest_size=8).hexdigest()
+    return fold([["t", s.path, s.text if s.dropped or not s.article else None, [content]] for s in slots])
 
 
 def constants(wrapper: list) -> set[tuple[str, str]]:
-    """(path, text) of the slots that are the same on every page of the host."""
+    """(path, text) of the slots on whose text pages with different content agree; slots that tell no pages count as such."""
     out: set[tuple[str, str]] = set()
     for node in wrapper:
         if node[0] == "t":
-            if node[2] is not None:
+            if node[2] is not None and (len(node) == 3 or len(node[3]) > 1):
                 out.add((node[1], node[2]))
         elif node[0] == "+" or node[0] == "?":
             out |= constants(node[1])
@@ -264,10 +267,10 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def extract(page: str, template: set[tuple[str, str]]) -> str:
-    """The article's blocks, without boilerplate elements and without the host's constant slots outside the article."""
+    """The article's blocks, without boilerplate elements and without the host's constant slots outside the article; all of them if none is left."""
     slots = [s for s in page_slots(page) if not s.dropped]
     inside = [s for s in slots if s.article]
-    return "\n".join(s.text for s in (inside or [s for s in slots if (s.path, s.text) not in template]))
+    return "\n".join(s.text for s in (inside or [s for s in slots if (s.path, s.text) not in template] or slots))
 
 
 def host_of(url) -> F.Column:
