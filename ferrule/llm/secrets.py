@@ -13,6 +13,9 @@ are ignored; texts are scanned whole, whatever their length.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +26,14 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 BASE = (("assign", ASSIGN, 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]{32,}", 0, 32))
 #: A text without a match of this has no base span, and is not split.
 HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-#: class, candidate pattern, alphabet, window, least entropy in bits.
+#: class, candidate pattern, alphabet, window, least entropy in bits. An = before a candidate is an assignment and no part of it.
 CLASSES = (
-    ("hex", r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_=-])", "0123456789abcdefABCDEF", 24, 2.8),
-    ("base64", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,512}?[0-9])(?=[A-Za-z0-9+/_-]{0,512}?[A-Z])(?=[A-Za-z0-9+/_-]{0,512}?[a-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])",
+    ("hex", r"(?<![A-Za-z0-9+/_-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_=-])", "0123456789abcdefABCDEF", 24, 2.8),
+    ("base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])",
      "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 24, 3.6),
 )
+#: Kinds of characters that a candidate of a class has, wherever in it they stand.
+KINDS = {"hex": (), "base64": ("[0-9]", "[A-Z]", "[a-z]")}
 #: Strings that look random and are no secrets: UUIDs, digests of lock files, placeholders, numbers.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
@@ -100,7 +105,7 @@ def entropy_spans(text: Column) -> Column:
     named = "|".join(f"(?:{p})" for p in ALLOWED)
 
     def spans(name: str, pattern: str, alphabet: str, window: int, least: float) -> Column:
-        keep = lambda m: ~m["match"].rlike(named) & (window_entropy(m["match"], alphabet, window) >= least)
+        keep = lambda m: reduce(and_, [m["match"].rlike(k) for k in KINDS[name]], ~m["match"].rlike(named)) & (window_entropy(m["match"], alphabet, window) >= least)
         return as_spans(F.filter(found(text, pattern), keep), ORDER.index(f"entropy_{name}"))
 
     parts = [spans(*x) for x in CLASSES]
