@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import Kept, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-TURN = "struct<role:string,text:string>"
+#: An escaped role. Possessive all through: other loops over a choice recurse, and long roles would overflow the stack.
+ROLE = r"[^\\\n]*+(?:\\.[^\\\n]*+)*+"
 
 
 def escape(text: Column) -> Column:
@@ -119,8 +120,8 @@ def read_chat(formatted: DataFrame) -> DataFrame:
     """Adds ``read_turns``, read back from ``formatted``, and ``read_loss``, the text under ``loss_spans``, unescaped."""
     pieces = F.split("formatted", r"<\|im_end\|>\n")
     turns = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.struct(
-        unescape(F.regexp_extract(p, r"(?s)^<\|im_start\|>((?:[^\\\n]|\\.)*)\n", 1)).alias("role"),
-        unescape(F.regexp_replace(p, r"(?s)^<\|im_start\|>(?:[^\\\n]|\\.)*\n", "")).alias("text")))
+        unescape(F.regexp_extract(p, rf"(?s)^<\|im_start\|>({ROLE})\n", 1)).alias("role"),
+        unescape(F.regexp_replace(p, rf"(?s)^<\|im_start\|>{ROLE}\n", "")).alias("text")))
     loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), s["start"] + 1, s["length"]))), "")
     return formatted.withColumn("read_turns", turns).withColumn("read_loss", loss)
 
