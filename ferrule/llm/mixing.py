@@ -7,9 +7,10 @@ is serving then is taken in part. So each source ends within one word of its tar
 
 Skew: prefix sums never need a whole source in one task. A source is split into ranges of its shuffle key, the global order into
 equal ranges of virtual time (virtual time passes evenly, so these hold about equal words), and only range totals are
-accumulated. What meets in one task is one row per source and per range of some 5,000 documents.
+accumulated, in blocks of a thousand ranges and then over the blocks: what meets in one task is one row per source, a thousand ranges, or
+one row per block. Slices that the mix leaves out take no part in the global order (null finish and place).
 
-Defined results: null texts have size 0 and are never taken; a null source is a source, ranked last; ties in the shuffle key break by
+Defined results: null texts have size 0 and are never taken; null doc_ids queue like others; a null source is a source, ranked last; ties in the shuffle key break by
 doc_id and size; repeated rows queue one by one; an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,7 +24,16 @@ from .common import SPACE, Kept, table
 
 WEIGHTS = (5, 2, 1)
 BUDGET, MOST = 1.5, 2
-ROWS_PER_RANGE = 5_000
+ROWS_PER_RANGE, BLOCK = 5_000, 1_000
+
+
+def running(totals: DataFrame, keys: list[str], order: str, n: str) -> DataFrame:
+    """Adds base, the sum of ``n`` over the rows before in ``order`` (a whole number, one row each) of the same keys: inside blocks, then over blocks."""
+    blocks = totals.withColumn("_block", F.floor(F.col(order) / BLOCK))
+    inside = W.partitionBy(*keys, "_block").orderBy(order)
+    per = blocks.groupBy(*keys, "_block").agg(F.sum(n).alias("_n"))
+    before = per.select(*keys, "_block", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_block")) - F.col("_n")).alias("_before"))
+    return blocks.withColumn("base", F.sum(n).over(inside) - F.col(n)).join(before, [*keys, "_block"]).withColumn("base", F.col("base") + F.col("_before")).drop("_block", "_before")
 
 
 def word_count(text: Column) -> Column:
@@ -69,8 +79,7 @@ def mix(docs: DataFrame, kept: Kept, seed: int = 1, weights=WEIGHTS, budget: flo
     ranges = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / ROWS_PER_RANGE))
     rows = rows.withColumn("range", F.pmod(F.shiftrightunsigned("key", 32), F.lit(1 << 32)).cast("double") / float(1 << 32))
     rows = rows.withColumn("range", F.floor(F.col("range") * ranges))
-    starts = rows.groupBy("sid", "range").agg(F.sum("size").alias("n")).select(
-        "sid", "range", (F.sum("n").over(W.partitionBy("sid").orderBy("range")) - F.col("n")).alias("base"))
+    starts = running(rows.groupBy("sid", "range").agg(F.sum("size").alias("n")), ["sid"], "range", "n").drop("n")
     inside = W.partitionBy("sid", "range").orderBy("key", "doc_id", "size")
     queued = (
         rows.join(starts, ["sid", "range"])
@@ -84,16 +93,19 @@ def mix(docs: DataFrame, kept: Kept, seed: int = 1, weights=WEIGHTS, budget: flo
         .withColumn("words", F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("start"))).cast("long"))
     )
     slices = kept.put(queued.select("doc_id", "source", "sid", "range", "row", "key", "epoch", "size", "source_size", "target", "budget", "finish", "words"))
-    n = max(1, -(-slices.count() // ROWS_PER_RANGE))
-    slices = slices.withColumn("time", F.floor(F.col("finish") * n))
-    bases = slices.groupBy("time").agg(F.sum("words").alias("n")).select("time", (F.sum("n").over(W.orderBy("time")) - F.col("n")).alias("base"))
+    served = slices.where("words > 0")
+    n = max(1, -(-served.count() // ROWS_PER_RANGE))
+    served = served.withColumn("time", F.floor(F.col("finish") * n))
+    bases = running(served.groupBy("time").agg(F.sum("words").alias("n")).withColumn("all", F.lit(0)), ["all"], "time", "n").drop("n", "all")
     order = W.partitionBy("time").orderBy("finish", "sid", "key", "doc_id", "row", "epoch").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        slices.join(bases, "time")
+    placed = (
+        served.join(bases, "time")
         .withColumn("at", F.col("base") + F.sum("words").over(order) - F.col("words"))
         .withColumn("words", F.greatest(F.lit(0), F.least("words", F.floor("budget") - F.col("at"))))
-        .drop("time", "base", "budget")
+        .drop("time", "base")
     )
+    rest = slices.where("words <= 0").withColumn("finish", F.lit(None).cast("double")).withColumn("at", F.lit(None).cast("long"))
+    return placed.withColumn("at", F.col("at").cast("long")).unionByName(rest).drop("budget")
 
 
 def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
