@@ -1,17 +1,23 @@
 """Operator 7: main text of web pages by wrappers inferred per host.
 
-A page is a stream of tag tokens and text slots. A wrapper is a union-free regular expression over such tokens: tags, text slots (a
-constant if all pages agree, else a field), optional groups and repeated groups. Aligning a wrapper with a further page resolves each
-mismatch: differing texts make a field; a stretch that repeats the one before it makes a repeated group; a stretch that one side lacks
-makes an optional one. Alignment of two wrappers works alike, so partial wrappers of any number of slices of a host merge into one: no
-host is gathered in one task, and all pages take part.
-
-Extraction walks a page with its host's wrapper. Slots under boilerplate elements or boilerplate class names, and slots outside the article on whose text several
-pages of a host with different content agree, are dropped (unless nothing else remains); what is left of the article (or main, or body) are blocks.
-
-Defined results: null and empty html give an empty text; broken, unclosed or truncated markup ends with the page; a page without
-article or main uses its body; pages of one host do not change each other's article text; repeated rows give equal rows; other
-columns are ignored.
+A page is a stream of tag and text tokens, nested as its elements nest. A wrapper is a union-free regular expression over such tokens: elements,
+text slots (a constant while all pages agree, else a field), optional groups and repeated groups. A page is a wrapper whose repeats
+are folded: a stretch of up to ``PERIOD`` nodes that repeats the one before it becomes a repeated group. Aligning a wrapper with a further page
+resolves each mismatch: differing texts make a field, what one side lacks becomes an optional group, a group meets its single
+occurrence. Two wrappers align alike, so partial wrappers of any number of slices of a host merge into one: no host is gathered in
+one task, and all pages take part.
+
+The wrapper says where a host's text is: from the body down, the article or main element, else the container that holds most of the text of fields;
+it stops at a heading or where the text spreads; hosts that spread it over the body have no region. It also says what is template: inside the region
+constants that pages of ``INSIDE`` different contents have at a place that is neither optional nor repeated, elsewhere those that ``OUTSIDE``
+such pages have at such a place, or ``INSIDE`` at an optional one.
+Extraction walks a page along its host's wrapper and keeps the texts of the region without the template. A page that has nothing in the
+region keeps all but the template; one that is template throughout keeps all. Elements that are boilerplate by their name, class or role are left
+out before, and weigh nothing.
+
+Defined results: null and empty html give an empty text; null urls are one host; broken, unclosed or truncated markup ends with the page; elements
+nested deeper than ``DEPTH`` belong to the element at that depth, with all their text; copies of a page count once as support, so
+repeated rows give equal rows and lose nothing; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, table
+from .common import Kept, join_unique, table
 
 #: Wrappers of up to so many characters together are broadcast; more are joined by a shuffle.
 BROADCAST_CHARS = 16_000_000
@@ -45,6 +51,12 @@ NOISE = re.compile(
     r"notice|notices|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.I)
+#: Nodes that a repeat may have; nesting that is kept; pages of different content that make a constant template outside and inside the region;
+#: shares of field text that a container needs to be entered, and an article or main to be chosen.
+PERIOD, DEPTH, OUTSIDE, INSIDE = 6, 150, 2, 5
+ENTER, MARKED = 0.7, 0.25
+#: Containers that the search for the region enters.
+CONTAINERS = {"body", "center", "div", "html", "main", "article", "section", "table", "tbody", "td", "tr"}
 SPACES = re.compile(r"\s+")
 CLOSES_P = BLOCKS - {"body", "html", "head", "title", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
@@ -85,26 +97,28 @@ def noisy(name: str, attributes: str) -> bool:
     return False
 
 
-class Slot:
-    """A block of text of a page: where it stands, and its text."""
-
-    __slots__ = ("path", "dropped", "article", "text")
+def class_of(attributes: str) -> str:
+    """An element's class without digits, which number pages and posts."""
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() == "class":
+            return re.sub(r"\d+", "", m[2] or m[3] or m[4] or "")
+    return ""
 
-    def __init__(self, path, dropped, article, text):
-        self.path, self.dropped, self.article, self.text = path, dropped, article, text
 
+def page_tree(page: str) -> list:
+    """A page as nested [key, children]; children are nodes and strings, the blocks of text. A key is name.class, with ! where it is boilerplate.
 
-def page_slots(page: str) -> list[Slot]:
-    """The text blocks of a page in order. A block ends where a block element opens or closes; unclosed elements end with their parent."""
-    stack: list[tuple[str, bool, bool]] = []
-    out: list[Slot] = []
+    A block of text ends where a block element opens or closes; unclosed elements end with their parent.
+    """
+    root: list = ["", []]
+    stack: list[tuple[str, list]] = [("", root)]
     held: list[str] = []
 
     def flush() -> None:
         text = SPACES.sub(" ", entities.unescape("".join(held))).strip()
         held.clear()
         if text:
-            out.append(Slot("/".join(n for n, _, _ in stack if n in BLOCKS), any(d for _, d, _ in stack), any(a for _, _, a in stack), text))
+            stack[-1][1][1].append(text)
 
     for kind, name, rest in tokens(page):
         if kind == "text":
@@ -114,117 +128,164 @@ def page_slots(page: str) -> list[Slot]:
         elif kind == "open":
             if name in BLOCKS:
                 flush()
-                if name in CLOSES_P and any(n == "p" for n, _, _ in stack):
-                    while stack and stack[-1][0] != "p":
-                        if stack[-1][0] in BLOCKS:
-                            break
+                if name in CLOSES_P and any(n == "p" for n, _ in stack):
+                    while stack[-1][0] != "p" and stack[-1][0] not in BLOCKS:
                         stack.pop()
-                    if stack and stack[-1][0] == "p":
+                    if stack[-1][0] == "p":
                         stack.pop()
-                elif name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
+                elif name in ("li", "dd", "dt", "tr", "td", "th", "option") and stack[-1][0] == name:
                     stack.pop()
             elif name in RAW:
                 held.append(" ")
             if name not in VOID and name not in RAW:
-                if name not in BLOCKS and noisy(name, rest):
+                noise = noisy(name, rest)
+                node = stack[-1][1]
+                if (name in BLOCKS or noise) and len(stack) < DEPTH:
                     flush()
-                stack.append((name, noisy(name, rest), name in ("article", "main")))
-        elif any(n == name for n, _, _ in stack):
-            if name in BLOCKS or next(d for n, d, _ in reversed(stack) if n == name):
+                    node = [f"{name}.{class_of(rest)}{'!' if noise else ''}", []]
+                    stack[-1][1][1].append(node)
+                stack.append((name, node))
+        elif any(n == name for n, _ in stack[1:]):
+            at = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+            if name in BLOCKS or stack[at][1] is not stack[at - 1][1]:
                 flush()
-            while stack.pop()[0] != name:
-                pass
+            del stack[at:]
         elif name in BLOCKS:
             flush()
     flush()
-    return out
+    return root[1]
+
+
+# A wrapper is a list of nodes: ["t", text, pages, chars] a slot, text null for a field, pages some digests of page contents that have it;
+# ["e", key, nodes] an element; ["?", nodes] an optional group; ["+", nodes] a repeated group.
 
 
-# A wrapper is a list of nodes: ["t", path, text, pages] a slot, text null for a field, pages up to two digests of page contents that have it; ["?", nodes] an optional group; ["+", nodes] a repeated group.
+def core(node: list) -> list:
+    """A node without the marks that say how often it comes; groups of several nodes are their own."""
+    while node[0] in "?+" and len(node[1]) == 1:
+        node = node[1][0]
+    return node
+
 
+def key(node: list) -> str:
+    node = core(node)
+    return "t" if node[0] == "t" else node[1] if node[0] == "e" else f"({','.join(map(key, node[1]))})"
 
-def same(a: list, b: list) -> bool:
-    return a[0] == b[0] and (a[1] == b[1] if a[0] == "t" else len(a[1]) == len(b[1]) and all(map(same, a[1], b[1])))
+
+def inner_keys(node: list) -> list[str]:
+    """The keys of a group's nodes; of another node, its own."""
+    node = core(node)
+    return list(map(key, node[1])) if node[0] in "?+" else [key(node)]
+
+
+def marks(node: list) -> set[str]:
+    out = set()
+    while node[0] in "?+":
+        out.add(node[0])
+        node = node[1][0] if len(node[1]) == 1 else ["t"]
+    return out
+
+
+def marked(node: list, names: set[str]) -> list:
+    """A bare node, or the group that ``core`` gave, under marks."""
+    inner = node[1] if node[0] in "?+" else [node]
+    for m in ("+", "?"):
+        if m in names:
+            inner = [[m, inner]]
+    return inner[0]
 
 
 def join_nodes(a: list, b: list) -> list:
-    """One node that matches what either matches; the two have the same shape."""
-    if a[0] == "t":
-        return ["t", a[1], a[2] if a[2] == b[2] else None, *([sorted({*a[3], *b[3]})[:2]] if len(a) > 3 and len(b) > 3 else [])]
-    return [a[0], [join_nodes(x, y) for x, y in zip(a[1], b[1], strict=True)]]
+    """One node that matches what either matches; the two have equal keys."""
+    x, y, names = core(a), core(b), marks(a) | marks(b)
+    if x[0] == "t":
+        same = x[1] is not None and x[1] == y[1]
+        return marked(["t", x[1] if same else None, sorted({*x[2], *y[2]})[:INSIDE] if same else [], x[3] + y[3]], names)
+    if x[0] == "e":
+        return marked(["e", x[1], align(x[2], y[2])], names)
+    return marked(["+", [join_nodes(p, q) for p, q in zip(x[1], y[1], strict=True)]], names)
 
 
 def fold(nodes: list) -> list:
-    """Collapses a stretch of nodes that repeats the one before it into a repeated group."""
-    out: list = []
-    for node in nodes:
-        if out and out[-1][0] == "+" and len(out[-1][1]) == 1 and same(out[-1][1][0], node):
-            out[-1] = ["+", [join_nodes(out[-1][1][0], node)]]
-        elif out and node[0] == "+" and len(node[1]) == 1 and same(node[1][0], out[-1]):
-            out[-1] = ["+", [join_nodes(node[1][0], out[-1])]]
-        elif out and node[0] == out[-1][0] == "+" and same(node, out[-1]):
-            out[-1] = join_nodes(node, out[-1])
-        elif out and same(out[-1], node) and node[0] == "t":
-            out[-1] = ["+", [join_nodes(out[-1], node)]]
-        else:
-            out.append(node)
-    return out
+    """Collapses a stretch of nodes that repeats the one before it into a repeated group, shorter stretches first."""
+    for size in range(1, PERIOD + 1):
+        out, i = [], 0
+        names = list(map(key, nodes))
+        while i < len(nodes):
+            here = names[i : i + size]
+            if len(here) == size and out and "+" in marks(out[-1]) and inner_keys(out[-1]) == here:
+                group = core(out[-1])
+                before = group[1] if group[0] == "+" else [group]
+                out[-1] = marked(["+", [join_nodes(p, q) for p, q in zip(before, nodes[i : i + size], strict=True)]], marks(out[-1]))
+                i += size
+            elif len(here) == size and names[i + size : i + 2 * size] == here and not (size == 1 and here == ["t"]):
+                out.append(["+", [join_nodes(p, q) for p, q in zip(nodes[i : i + size], nodes[i + size : i + 2 * size], strict=True)]])
+                i += 2 * size
+            else:
+                out.append(nodes[i])
+                i += 1
+        nodes = out
+    return nodes
 
 
-def core(node: list) -> list:
-    """A node without the marks that say how often it comes."""
-    while node[0] != "t" and len(node[1]) == 1:
-        node = node[1][0]
-    return node
+def optional(node: list) -> list:
+    return node if node[0] == "?" else ["?", [node]]
 
 
 def align(a: list, b: list) -> list:
-    """A wrapper that matches what a and b match. Nodes pair in order; what only one side has becomes optional."""
+    """A wrapper that matches what a and b match. Nodes pair in order, a group with its single occurrence; what only one side has becomes optional."""
     out, i, j = [], 0, 0
+    a_keys, b_keys = list(map(key, a)), list(map(key, b))
     places: dict[str, list[int]] = {}
-    for k, node in enumerate(b):
-        places.setdefault(str(core(node)[1]), []).append(k)
+    for k, name in enumerate(b_keys):
+        places.setdefault(name, []).append(k)
+
+    def group(node: list, others: list, names: list[str], at: int) -> list | None:
+        """A group of several nodes joined with one occurrence of them on the other side."""
+        held = core(node)
+        if held[0] in "?+" and len(held[1]) > 1 and names[at : at + len(held[1])] == inner_keys(held):
+            return marked(["+", [join_nodes(p, q) for p, q in zip(held[1], others[at : at + len(held[1])], strict=True)]], marks(node))
+        return None
+
     while i < len(a) and j < len(b):
-        x, y = core(a[i]), core(b[j])
-        if x[0] == y[0] and x[1] == y[1]:
-            inner = join_nodes(x, y) if x[0] == "t" else [x[0], align(x[1], y[1])]
-            marks = {n[0] for n in (a[i], b[j]) if n[0] != "t"}
-            for mark in ("+", "?"):
-                if mark in marks or any(n[0] != "t" and n[1][0][0] == mark for n in (a[i], b[j])):
-                    inner = [mark, [inner]]
-            out.append(inner)
+        if a_keys[i] == b_keys[j]:
+            out.append(join_nodes(a[i], b[j]))
             i, j = i + 1, j + 1
-            continue
-        ahead = next((k for k in places.get(str(x[1]), ()) if k >= j), None)
-        if ahead is None:
-            out.append(optional(a[i]))
-            i += 1
+        elif found := group(a[i], b, b_keys, j):
+            out.append(found)
+            i, j = i + 1, j + len(inner_keys(a[i]))
+        elif found := group(b[j], a, a_keys, i):
+            out.append(found)
+            i, j = i + len(inner_keys(b[j])), j + 1
         else:
-            out += [optional(n) for n in b[j:ahead]]
-            j = ahead
-    return fold(out + [optional(n) for n in a[i:]] + [optional(n) for n in b[j:]])
+            ahead = next((k for k in places.get(a_keys[i], ()) if k >= j), None)
+            if ahead is None:
+                out.append(optional(a[i]))
+                i += 1
+            else:
+                out += map(optional, b[j:ahead])
+                j = ahead
+    return fold([*out, *map(optional, a[i:]), *map(optional, b[j:])])
 
 
-def optional(node: list) -> list:
-    return node if node[0] == "?" else ["?", [node]]
+def texts_of(nodes: list) -> Iterator[str]:
+    """The texts of a page's tree without its boilerplate elements."""
+    for x in nodes:
+        if isinstance(x, str):
+            yield x
+        elif not x[0].endswith("!"):
+            yield from texts_of(x[1])
 
 
 def page_wrapper(page: str) -> list:
-    slots = page_slots(page)
-    content = hashlib.blake2b("\n".join(f"{s.path} {s.text}" for s in slots if not s.dropped).encode("utf-8", "replace"), digest_size=8).hexdigest()
-    return fold([["t", s.path, s.text if s.dropped or not s.article else None, [content]] for s in slots])
+    """The wrapper that matches one page. Boilerplate elements stay as tags without text."""
+    tree = page_tree(page)
+    content = hashlib.blake2b("\n".join(texts_of(tree)).encode("utf-8", "replace"), digest_size=6).hexdigest()
 
+    def of(nodes: list) -> list:
+        return fold([["t", x, [content], len(x)] if isinstance(x, str) else ["e", x[0], [] if x[0].endswith("!") else of(x[1])] for x in nodes])
 
-def constants(wrapper: list) -> set[tuple[str, str]]:
-    """(path, text) of the slots on whose text pages with different content agree; slots that tell no pages count as such."""
-    out: set[tuple[str, str]] = set()
-    for node in wrapper:
-        if node[0] == "t":
-            if node[2] is not None and (len(node) == 3 or len(node[3]) > 1):
-                out.add((node[1], node[2]))
-        elif node[0] == "+" or node[0] == "?":
-            out |= constants(node[1])
-    return out
+    return of(tree)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -266,11 +327,99 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     return parts.repartition("host").sortWithinPartitions("host", "pages", "wrapper").mapInArrow(merge, schema)
 
 
-def extract(page: str, template: set[tuple[str, str]]) -> str:
-    """The article's blocks, without boilerplate elements and without the host's constant slots outside the article; all of them if none is left."""
-    slots = [s for s in page_slots(page) if not s.dropped]
-    inside = [s for s in slots if s.article]
-    return "\n".join(s.text for s in (inside or [s for s in slots if (s.path, s.text) not in template] or slots))
+class Template:
+    """A host's wrapper made ready for extraction: its nodes in a line per element, with the region and the template slots marked."""
+
+    def __init__(self, wrapper: list):
+        self.weights: dict[int, float] = {}
+        for node in wrapper:
+            self._weigh(node)
+        self.regions = {id(x) for x in self._region(wrapper) if x[1].partition(".")[0] not in ("html", "body")}
+        self.lines: dict[int, list] = {}
+        self.top = self._line(wrapper)
+
+    def _weigh(self, node: list) -> float:
+        """Characters of fields below each node; a constant weighs like a field while few pages back it."""
+        if node[0] == "t":
+            w = node[3] if node[1] is None or len(node[2]) < OUTSIDE else 0
+        elif node[0] == "e":
+            w = 0 if node[1].endswith("!") else sum(map(self._weigh, node[2]))
+        else:
+            w = sum(map(self._weigh, node[1]))
+        self.weights[id(node)] = w
+        return w
+
+    @staticmethod
+    def _elements(nodes: list, repeated: bool = False) -> Iterator[tuple[list, bool]]:
+        for x in nodes:
+            if x[0] == "e":
+                yield x, repeated
+            elif x[0] in "?+":
+                yield from Template._elements(x[1], repeated or x[0] == "+")
+
+    def _region(self, nodes: list) -> list:
+        """The elements that hold the host's text: from the top down into the heaviest container, till it is marked or parts."""
+        found: list = []
+        while True:
+            inside = list(self._elements(nodes))
+            total = sum(self.weights[id(n)] for n in nodes)
+            name = lambda e: e[1].partition(".")[0]
+            chosen = [e for e, _ in inside if name(e) in ("article", "main") and not e[1].endswith("!")]
+            if chosen and total and sum(self.weights[id(e)] for e in chosen) >= MARKED * total:
+                return chosen
+            if found and any(name(e) in ("h1", "h2") for e, _ in inside):
+                return found
+            heavy = [e for e, repeated in inside if not repeated and name(e) in CONTAINERS and total and self.weights[id(e)] >= ENTER * total]
+            if not heavy:
+                return found
+            found, nodes = heavy[:1], heavy[0][2]
+
+    def _line(self, nodes: list, often: str = "") -> list:
+        """(key, node, place where the repeated group around it begins, how often) of each node, groups opened out."""
+        out: list = []
+
+        def put(items: list, loop: int | None, how: str) -> None:
+            for x in items:
+                if x[0] in "?+":
+                    put(x[1], len(out) if x[0] == "+" else loop, how + x[0])
+                else:
+                    out.append(("t" if x[0] == "t" else x[1], x, loop, how))
+
+        put(nodes, None, often)
+        return out
+
+    def line(self, node: list, how: str) -> list:
+        if id(node) not in self.lines:
+            self.lines[id(node)] = self._line(node[2], how)
+        return self.lines[id(node)]
+
+    def walk(self, nodes: list, line: list, inside: bool, out: list) -> None:
+        """Puts (in the region, template, text) of a page's texts, matched in order with a line of the wrapper."""
+        at = 0
+        for x in nodes:
+            name = "t" if isinstance(x, str) else x[0]
+            found = next((k for k in range(at, len(line)) if line[k][0] == name), None)
+            if found is None:  # another round of the repeated group last met
+                begin = next((line[k][2] for k in range(min(at, len(line) - 1), -1, -1) if line[k][2] is not None), None)
+                found = next((k for k in range(begin, len(line)) if line[k][0] == name), None) if begin is not None else None
+            _, node, loop, how = line[found] if found is not None else (None, None, None, "")
+            if found is not None:
+                at = found if loop is not None else found + 1
+            if isinstance(x, str):
+                pages = len(node[2]) if node is not None and node[1] == x else 0
+                fixed = pages >= INSIDE and not how if inside and self.regions else pages >= INSIDE and "+" not in how or pages >= OUTSIDE and not how
+                out.append((inside, fixed, x))
+            elif not name.endswith("!"):
+                self.walk(x[1], self.line(node, how) if node is not None else [], inside or (node is not None and id(node) in self.regions), out)
+
+    def extract(self, page: str) -> str:
+        """The texts of the region without the template; without any, all but the template; without any, all."""
+        seen: list = []
+        self.walk(page_tree(page), self.top, not self.regions, seen)
+        for keep in (lambda inside, fixed: inside and not fixed, lambda inside, fixed: not fixed, lambda inside, fixed: True):
+            if texts := [text for inside, fixed, text in seen if keep(inside, fixed)]:
+                return "\n".join(texts)
+        return ""
 
 
 def host_of(url) -> F.Column:
@@ -280,24 +429,25 @@ def host_of(url) -> F.Column:
 def main_texts(pages: DataFrame, kept: Kept) -> DataFrame:
     """page_id, url and text of every page."""
     given = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), host_of(F.col("url")).alias("host"), F.col("html").cast("string"))
-    wrappers = kept.put(infer_wrappers(given).where("pages > 1").select(F.col("host").alias("_host"), "wrapper"))
+    wrappers = kept.put(infer_wrappers(given))
     if (wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_CHARS:
-        wrappers = F.broadcast(wrappers)
-    joined = given.join(wrappers, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "wrapper")
+        joined = given.join(F.broadcast(wrappers.drop("pages")), "host")
+    else:
+        joined = join_unique(given, wrappers, "host", "pages")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set] = {}
+        known: dict[str, Template] = {}
         for batch in batches:
             out = []
-            for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if wrapper not in known:
+            for page, host, wrapper in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[wrapper] = constants(json.loads(wrapper)) if wrapper else set()
-                out.append(extract(page or "", known[wrapper]))
+                    known[host] = Template(json.loads(wrapper))
+                out.append(known[host].extract(page or ""))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "host", "wrapper").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op7_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

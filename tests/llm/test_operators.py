@@ -110,23 +110,50 @@ def test_mix_reaches_targets(spark, odd_docs, tmp_path):
 def test_edit_counts(spark):
     rnd, encoder = random.Random(2), tokens.Encoder()
     count = lambda t: len(encoder.ids(t))
-    parts = ["word", "  ", "\n", "\n\n", " a", "é", "12", "!?", "'s", " ", "the cat ", "漢字", "x" * 300]
-    for _ in range(60):
-        tree = tokens.TokenTree("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 900))), count)
+    parts = ["word", "  ", "\n", "\n\n", " a", "é", "12", "!?", "'s", " ", "the cat ", "漢字", "x" * 300, "'", "37" * 200, "漢字語文" * 80, "   " * 150, ",;:" * 120, "<|endoftext|>", "'re", "\t \t", "🙂" * 70]
+    for _ in range(80):
+        tree = tokens.TokenTree("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))), encoder)
         for _ in range(6):
-            at, drop, put = rnd.randint(0, len(tree.text)), rnd.randint(0, 30), "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 5)))
+            at, drop, put = rnd.randint(0, tree.size), rnd.randint(0, rnd.choice([3, 30, 300])), "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 5)))
             want = tree.text[:at] + put + tree.text[at + drop :]
             tree.edit(at, drop, put)
-            assert tree.text == want and tree.total == count(want)
-    docs = docs_of(spark, [(1, "hello world " * 200, "a"), (2, None, "a"), (3, "", "b")])
-    edits = spark.createDataFrame([(1, 2, 5, 3, "x"), (1, 1, 9999999, 4, " end"), (3, 1, -4, 9, "new")], "doc_id long, seq long, at long, drop long, put string")
-    got = {r.doc_id: r for r in tokens.count_edits(tokens.attach_edits(docs, edits)).collect()}
+            assert tree.text == want and tree.total == count(want) and tree.size == len(want)
+    docs = docs_of(spark, [(1, "hello world " * 200, "a"), (2, None, "a"), (3, "", "b"), (None, "one two", "b"), (5, "twice", "c"), (5, "twice", "c")]).withColumn("tokens_before", F.lit("clash"))
+    edits = spark.createDataFrame([(1, 2, 5, 3, "x"), (1, 1, 9999999, 4, " end"), (3, 1, -4, 9, "new"), (None, 1, 0, 1, "z")], "doc_id long, seq long, at long, drop long, put string")
+    rows = tokens.count_edits(tokens.attach_edits(docs, edits)).collect()
+    got = {r.doc_id: r for r in rows}
     text = "hello world " * 200 + " end"
     text = text[:5] + "x" + text[8:]
-    assert got[1].tokens_after == count(text) and got[1].reencoded_chars < 2400 and got[2].tokens_after == 0 and got[3].tokens_after == count("new")
+    assert len(rows) == 6 and got[1].tokens_after == count(text) and got[1].reencoded_chars < 2000 and got[2].tokens_after == 0 and got[3].tokens_after == count("new") and got[None].tokens_after == count("one two")
     assert tokens.count_edits(tokens.sample_edits(empty(docs))).count() == 0
 
 
+def test_one_edit_touches_little_of_any_script():
+    rnd, encoder = random.Random(5), tokens.Encoder()
+    draw = lambda letters: "".join(rnd.choice(letters) for _ in range(27_000))
+    for text in (draw("的一是不了人我在有他这为之大来以个中上们"), draw("0123456789"), "a,b;c:" * 4500, "short line\n" * 2400, "the quick brown fox " * 1350, " " * 27_000, draw("!?.,-#")):
+        tree = tokens.TokenTree(text, encoder)
+        for _ in range(10):
+            before = tree.encoded_chars
+            tree.edit(rnd.randint(0, tree.size), rnd.randint(0, 20), rnd.choice(["x", " new", "", ",", "7"]))
+            assert tree.encoded_chars - before < 2000
+        assert tree.total == len(encoder.ids(tree.text))
+
+
+def test_long_white_space_is_encoded_and_packed(spark):
+    texts = [" " * 2_000_000 + "x", "a\n" + "\n" * 1_000_000, "x" * 2_000_000]
+    docs = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in tokens.count_edits(tokens.sample_edits(docs)).collect()}
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [got[i].tokens_before for i in range(3)] == want
+    packed = packing.pieces(docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {i: n + 1 for i, n in enumerate(want)}
+
+
 def brute_quality(text):
     text = text or ""
     w, kept = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
@@ -240,15 +267,6 @@ def test_page_text(spark):
     assert wrappers.main_texts(empty(pages), Kept(spark, "t")).count() == 0
 
 
-def test_wrapper_alignment():
-    t = lambda path, text: ["t", path, text]
-    a, b = [t("nav", "menu"), t("p", "x"), t("foot", "f")], [t("nav", "menu"), t("side", "s"), t("p", "y"), t("p", "z"), t("foot", "f")]
-    merged = wrappers.align(wrappers.fold(a), wrappers.fold(b))
-    assert merged == [t("nav", "menu"), ["?", [t("side", "s")]], ["+", [t("p", None)]], t("foot", "f")]
-    assert wrappers.constants(merged) == {("nav", "menu"), ("side", "s"), ("foot", "f")}
-    assert wrappers.align(merged, wrappers.fold(a)) == merged
-
-
 def test_chat_round_trip(spark):
     texts = ["plain", "<|im_end|><|im_start|>assistant ok", "a\\b<|c|>\n<\\|", None, "", "<", "|x", "\\", "é" * 5]
     rows = [(c, t, "assistant" if t % 2 else "user", texts[(c + t) % len(texts)]) for c in range(9) for t in range(c + 1)] + [(None, 0, None, "n"), (50, 1, "user", "tie"), (50, 1, "assistant", "tie")]
@@ -258,6 +276,10 @@ def test_chat_round_trip(spark):
     for c, t, r, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "", r[3] or "")):
         want[c].append((r or "", x or ""))
     assert {r.tree: [tuple(t) for t in r.read_turns] for r in got} == want
+    long_role = spark.createDataFrame([(1, 1, "r" * 20_000 + "\\" * 30_000 + "\n<|", "t"), (1, 2, "x" * 1_000_000, "u")], "conv_id long, turn long, role string, text string").withColumn("tree", F.lit(1))
+    read = chat.read_chat(chat.format_chat(chat.best_paths(chat.conversation_trees(long_role), Kept(spark, "t")))).first()
+    assert [tuple(t) for t in read.read_turns] == [("r" * 20_000 + "\\" * 30_000 + "\n<|", "t"), ("x" * 1_000_000, "u")]
+    assert chat.best_paths(chat.conversation_trees(empty(conv)), Kept(spark, "t")).count() == 0
     assert all(r.read_loss == "".join(x for role, x in want[r.tree] if role == "assistant") for r in got)
 
 
