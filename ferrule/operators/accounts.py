@@ -21,6 +21,12 @@ def next_reset(base: Column, day: Column) -> Column:
     return F.make_timestamp(F.year(month), F.month(month), F.least(day, F.dayofmonth(F.last_day(month))), F.lit(8), F.lit(0), F.lit(0))
 
 
+def reset_after(at: Column, day: Column) -> Column:
+    """The first reset after a time, however many months have passed."""
+    this = F.make_timestamp(F.year(at), F.month(at), F.least(day, F.dayofmonth(F.last_day(at))), F.lit(8), F.lit(0), F.lit(0))
+    return F.when(this > at, this).otherwise(next_reset(at, day))
+
+
 def shown(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
@@ -161,10 +167,10 @@ LEDGER_STATE = "struct<used:long,purchased:long,reset:timestamp,out:array<struct
 
 
 def ledger_step(s: Column, e: Column, limit: Column, day: Column, catch_up: bool) -> Column:
-    """A user's state after an event. A read moves a passed reset date by one month (catch_up: as often as needed, up to a year)."""
+    """A user's state after an event. A read moves a passed reset date by one month (catch_up: past the event, however many months)."""
     def read(st: Column) -> Column:
         due = e["ts"] >= st["reset"]
-        return F.struct(F.when(due, F.lit(0).cast("long")).otherwise(st["used"]).alias("used"), st["purchased"].alias("purchased"), F.when(due, next_reset(st["reset"], day)).otherwise(st["reset"]).alias("reset"))
+        return F.struct(F.when(due, F.lit(0).cast("long")).otherwise(st["used"]).alias("used"), st["purchased"].alias("purchased"), F.when(due, reset_after(e["ts"], day) if catch_up else next_reset(st["reset"], day)).otherwise(st["reset"]).alias("reset"))
 
     def let(value: Column, body) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
@@ -180,8 +186,7 @@ def ledger_step(s: Column, e: Column, limit: Column, day: Column, catch_up: bool
 
     start = F.struct(s["used"].alias("used"), s["purchased"].alias("purchased"), s["reset"].alias("reset"))
     if catch_up:
-        ready = F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, lambda st, _: read(st))
-        return let(ready, lambda st: apply(st, limit - st["used"] + st["purchased"] > 0))
+        return let(let(start, read), lambda st: apply(st, limit - st["used"] + st["purchased"] > 0))
     # A job reads the balance before it starts and again when it deducts.
     return let(let(start, read), lambda first: let(F.when(e["kind"] == "deduct", read(first)).otherwise(first), lambda st: apply(st, limit - first["used"] + first["purchased"] > 0)))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-import tempfile
 import time
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import types as S
 from pyspark.sql.functions import udtf
 
 from ferrule.plans.registry import operator, query
+from ferrule.sources.shared import shared_dir
 from ferrule.sources.views import TABLES, view
 
 MAX_BYTES = 50 * 1024 * 1024
@@ -119,7 +119,7 @@ def text_chunks(documents: DataFrame, max_len: int = 6000) -> DataFrame:
 @query("snapshot_export")
 def snapshot_export(spark: SparkSession, sf_dir: str, path: str | None = None, date: str = "2024-01-31") -> DataFrame:
     """A dated copy of the tables under a path; table and row count of each. Without a path it goes to the shared folder."""
-    path = path or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ferrule-")
+    path = path or shared_dir(spark)
     counts = None
     for name in TABLES:
         target = f"{path}/snapshot/{date}/{name}"

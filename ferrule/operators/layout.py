@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
 from ferrule.plans.registry import operator
+from ferrule.sources.shared import written
 
-DEPTH = 4  # levels up that an enclosing table is looked for
+DEPTH = 4  # levels that a container may lie below the root
 
 
 @operator("link_text_under_rect", ["annotations", "text_items"], """SELECT doc_id, page, annot_id, visible_text, trim(visible_text) = '' OR lower(trim(visible_text)) IN ('click here','here','read more','more','learn more','link','this link','download','see more','details','continue') AS is_bad FROM (
@@ -64,41 +65,64 @@ def dangling_annots(nodes: DataFrame, annotations: DataFrame) -> DataFrame:
     return loose.select("doc_id", F.col("seq").alias("node_id"), F.when(F.col("alt") == "", "remove").when(scaffold, "artifact").otherwise("to_p").alias("action"))
 
 
-@operator("role_map", ["nodes", "roles"], "SELECT n.doc_id, n.node_id, n.raw_role, coalesce(r.role, n.raw_role) AS role FROM nodes n LEFT JOIN roles r ON r.raw_role = n.raw_role")
+@operator("role_map", ["nodes", "roles"], "SELECT n.doc_id, n.node_id, n.raw_role, coalesce((SELECT max(role) FROM roles r WHERE r.doc_id = n.doc_id AND r.raw_role = n.raw_role), n.raw_role) AS role FROM nodes n")
 def role_map(nodes: DataFrame, roles: DataFrame) -> DataFrame:
-    return nodes.join(roles, "raw_role", "left").select("doc_id", "node_id", "raw_role", F.coalesce("role", "raw_role").alias("role"))
+    """Roles by the map of the node's own document."""
+    return nodes.join(roles, ["doc_id", "raw_role"], "left").select("doc_id", "node_id", "raw_role", F.coalesce("role", "raw_role").alias("role"))
 
 
-def with_table(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds the nearest enclosing Table of each node, by joins one level at a time."""
-    up = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("parent_id").alias("up"), F.col("raw_role").alias("r"))
-    out = nodes.withColumn("at", F.col("parent_id")).withColumn("table_id", F.lit(None).cast("long"))
-    for _ in range(depth):
-        joined = out.join(up, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("n")), "left")
-        out = joined.withColumn("table_id", F.coalesce("table_id", F.when(F.col("r") == "Table", F.col("n")))).withColumn("at", F.when(F.col("table_id").isNull(), F.col("up"))).drop("d", "n", "up", "r")
-    return out.drop("at")
+def climb(nodes: DataFrame, passes: Column) -> DataFrame:
+    """nodes with ``top``, the nearest ancestor whose ``passes`` is false (null: none), and ``path``, the seqs of the ancestors passed, outermost first.
 
+    Pointers are doubled by self-joins, so the rounds are the logarithm of the longest way up, whatever the depth. Nodes on a cycle have no top.
+    """
+    there = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), passes.alias("passes"), F.col("parent_id").alias("above"), "seq")
+    up = (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("n"))
+    went = F.coalesce("passes", F.lit(False))
+    first = nodes.select("doc_id", "node_id", F.col("parent_id").alias("at")).join(there, up, "left")
+    now = written(first.select("doc_id", "node_id", F.when(went, F.col("at")).alias("at"), F.when(~went, F.col("n")).alias("top"), F.when(went, F.array("seq")).otherwise(F.array().cast("array<int>")).alias("path")))
+    for _ in range(40):
+        if now.where("at is not null").isEmpty():
+            break
+        ahead = now.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("at").alias("next"), F.col("top").alias("found"), F.col("path").alias("before"))
+        moving = F.col("at").isNotNull()
+        now = written(now.join(ahead, up, "left").select("doc_id", "node_id", F.when(moving, F.col("next")).alias("at"), F.when(moving, F.col("found")).otherwise(F.col("top")).alias("top"),
+                                                         F.when(moving, F.concat("before", "path")).otherwise(F.col("path")).alias("path")))
+    return nodes.join(now.select("doc_id", "node_id", "top", "path"), ["doc_id", "node_id"])
 
-@operator("orphan_table_parts", ["nodes"], """SELECT n.doc_id, n.node_id, 'no_table' AS issue FROM nodes n LEFT JOIN nodes p ON p.doc_id = n.doc_id AND p.node_id = n.parent_id LEFT JOIN nodes q ON q.doc_id = p.doc_id AND q.node_id = p.parent_id LEFT JOIN nodes r ON r.doc_id = q.doc_id AND r.node_id = q.parent_id
-    WHERE n.raw_role IN ('TR', 'TH', 'TD') AND coalesce(p.raw_role, '') <> 'Table' AND coalesce(q.raw_role, '') <> 'Table' AND coalesce(r.raw_role, '') <> 'Table'
+
+_UP_SQL = """up AS (SELECT doc_id, node_id, parent_id AS held_by, 1 AS far FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT u.doc_id, u.node_id, p.parent_id, far + 1 FROM up u JOIN nodes p ON p.doc_id = u.doc_id AND p.node_id = u.held_by WHERE p.parent_id IS NOT NULL AND far < 200)"""
+
+
+@operator("orphan_table_parts", ["nodes"], f"""WITH RECURSIVE {_UP_SQL} SELECT n.doc_id, n.node_id, 'no_table' AS issue FROM nodes n WHERE n.raw_role IN ('TR', 'TH', 'TD') AND NOT EXISTS (SELECT 1 FROM up u JOIN nodes a ON a.doc_id = u.doc_id AND a.node_id = u.held_by WHERE u.doc_id = n.doc_id AND u.node_id = n.node_id AND a.raw_role = 'Table')
     UNION ALL SELECT t.doc_id, t.node_id, 'no_rows' FROM nodes t WHERE t.raw_role = 'Table' AND NOT EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = t.doc_id AND c.parent_id = t.node_id AND c.raw_role = 'TR')""")
 def orphan_table_parts(nodes: DataFrame) -> DataFrame:
-    """Rows and cells outside any table, and tables without rows."""
-    loose = with_table(nodes.where("raw_role is not null")).where("raw_role in ('TR', 'TH', 'TD') and table_id is null").select("doc_id", "node_id", F.lit("no_table").alias("issue"))
+    """Rows and cells outside any table, however deep, and tables without rows."""
+    role = F.coalesce("raw_role", F.lit(""))
+    loose = climb(nodes, role != "Table").where("raw_role in ('TR', 'TH', 'TD') and top is null").select("doc_id", "node_id", F.lit("no_table").alias("issue"))
     rows = nodes.where("raw_role = 'TR'").select("doc_id", F.col("parent_id").alias("node_id"))
     bare = nodes.where("raw_role = 'Table'").join(rows, ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id", F.lit("no_rows").alias("issue"))
     return loose.unionByName(bare)
 
 
-@operator("cell_nest_repair", ["nodes"], """SELECT c.doc_id, c.node_id, CASE WHEN p.raw_role IN ('TH', 'TD') THEN p.parent_id ELSE c.parent_id END AS new_parent_id, row_number() OVER (PARTITION BY c.doc_id, CASE WHEN p.raw_role IN ('TH', 'TD') THEN p.parent_id ELSE c.parent_id END ORDER BY CASE WHEN p.raw_role IN ('TH', 'TD') THEN p.seq ELSE c.seq END, CASE WHEN p.raw_role IN ('TH', 'TD') THEN c.seq ELSE 0 END, c.node_id) AS new_seq
-    FROM nodes c LEFT JOIN nodes p ON p.doc_id = c.doc_id AND p.node_id = c.parent_id WHERE c.raw_role IN ('TH', 'TD')""")
+#: Roles of content that stands in a line of text; other children of a cell are blocks.
+INLINE = ("Span", "Link", "Quote", "Note", "Reference", "Code", "Em", "Strong", "Lbl", "Ruby", "Annot")
+_INLINE_SQL = "(" + ", ".join(f"'{r}'" for r in INLINE) + ")"
+
+
+@operator("cell_nest_repair", ["nodes"], f"""WITH RECURSIVE w AS (SELECT doc_id, node_id, parent_id AS held_by, seq, [seq] AS path FROM nodes WHERE raw_role IN ('TH', 'TD') UNION ALL SELECT w.doc_id, w.node_id, p.parent_id, w.seq, list_concat([p.seq], w.path) FROM w JOIN nodes p ON p.doc_id = w.doc_id AND p.node_id = w.held_by WHERE p.raw_role IN ('TH', 'TD')),
+    o AS (SELECT doc_id, node_id, arg_max(held_by, len(path)) AS new_parent_id, arg_max(path, len(path)) AS path FROM w GROUP BY 1, 2),
+    k AS (SELECT doc_id, parent_id AS node_id, bool_or(raw_role IN {_INLINE_SQL}) AND bool_or(raw_role NOT IN {_INLINE_SQL} AND raw_role NOT IN ('TH', 'TD')) AS mixed FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1, 2)
+    SELECT o.doc_id, o.node_id, new_parent_id, row_number() OVER (PARTITION BY o.doc_id, new_parent_id ORDER BY path, o.node_id) AS new_seq, coalesce(k.mixed, false) AS mixed FROM o LEFT JOIN k ON k.doc_id = o.doc_id AND k.node_id = o.node_id""")
 def cell_nest_repair(nodes: DataFrame) -> DataFrame:
-    """A cell inside a cell moves up to the row, right after the cell that held it."""
-    p = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("parent_id").alias("grand"), F.col("raw_role").alias("pr"), F.col("seq").alias("pseq"))
-    joined = nodes.where("raw_role in ('TH', 'TD')").join(p, (F.col("doc_id") == F.col("d")) & (F.col("parent_id") == F.col("n")), "left")
-    nested = F.coalesce(F.col("pr").isin("TH", "TD"), F.lit(False))
-    moved = joined.select("doc_id", "node_id", F.when(nested, F.col("grand")).otherwise(F.col("parent_id")).alias("new_parent_id"), F.when(nested, F.col("pseq")).otherwise(F.col("seq")).alias("a"), F.when(nested, F.col("seq")).otherwise(0).alias("b"))
-    return moved.withColumn("new_seq", F.row_number().over(W.partitionBy("doc_id", "new_parent_id").orderBy("a", "b", "node_id"))).drop("a", "b")
+    """A cell inside cells, however many, moves up to the row, right after the cell that held it; mixed says whether a cell has inline and block children."""
+    role = F.coalesce("raw_role", F.lit(""))
+    cells = climb(nodes, role.isin("TH", "TD")).where("raw_role in ('TH', 'TD')")
+    moved = cells.select("doc_id", "node_id", F.col("top").alias("new_parent_id"), F.concat("path", F.array("seq")).alias("p"))
+    inline = F.col("raw_role").isin(*INLINE)
+    kids = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg((F.bool_or(inline) & F.bool_or(~inline & ~F.col("raw_role").isin("TH", "TD"))).alias("mixed"))
+    placed = moved.withColumn("new_seq", F.row_number().over(W.partitionBy("doc_id", "new_parent_id").orderBy("p", "node_id"))).drop("p")
+    return placed.join(kids, ["doc_id", "node_id"], "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
 
 
 @operator("table_structure", ["nodes"], """WITH j AS (SELECT n.*, p.raw_role AS pr FROM nodes n LEFT JOIN nodes p ON p.doc_id = n.doc_id AND p.node_id = n.parent_id), e AS (SELECT t.doc_id, t.node_id FROM nodes t WHERE t.raw_role = 'Table' AND NOT EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = t.doc_id AND c.parent_id = t.node_id AND c.raw_role = 'TR'))
@@ -155,18 +179,45 @@ def background_images(marks: DataFrame) -> DataFrame:
     return large.select("doc_id", "page", "mark_id", share.alias("area_share"), ((width >= 0.9 * F.col("page_w")) & (height >= 0.9 * F.col("page_h"))).alias("is_full_bleed"))
 
 
-@operator("element_bbox", ["boxes"], "SELECT doc_id, page, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM boxes GROUP BY 1, 2")
-def element_bbox(boxes: DataFrame) -> DataFrame:
-    """The union of the boxes under each element (here a page)."""
-    return boxes.groupBy("doc_id", "page").agg(*[F.round(f(c), 4).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+_BOXED_SQL = """sub AS (SELECT doc_id, node_id AS elem_id, node_id AS under FROM nodes UNION ALL SELECT s.doc_id, s.elem_id, c.node_id FROM sub s JOIN nodes c ON c.doc_id = s.doc_id AND c.parent_id = s.under)"""
+
+
+def ancestors(nodes: DataFrame, depth: int | None = None) -> DataFrame:
+    """(doc_id, node_id, elem_id, far): each node with itself and every ancestor, or those up to a distance. One join a level, until none is left."""
+    up = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("parent_id").alias("above"))
+    level = nodes.select("doc_id", "node_id", F.col("node_id").alias("elem_id"), F.lit(0).alias("far"))
+    out, seen = level, 0
+    while depth is None or seen < depth:
+        seen += 1
+        level = written(level.join(up, (F.col("doc_id") == F.col("d")) & (F.col("elem_id") == F.col("n"))).where("above is not null").select("doc_id", "node_id", F.col("above").alias("elem_id"), F.lit(seen).alias("far")))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
+@operator("element_bbox", ["nodes", "node_boxes"], f"""WITH RECURSIVE {_BOXED_SQL} SELECT s.doc_id, s.elem_id, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM sub s JOIN node_boxes b ON b.doc_id = s.doc_id AND b.node_id = s.under WHERE x0 IS NOT NULL GROUP BY 1, 2""")
+def element_bbox(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
+    """The union of the boxes of all content under each element, itself included. Boxes are joined into one a node before they climb."""
+    union = lambda g: g.agg(*[F.round(f(c), 4).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+    own = union(boxes.where("x0 is not null").groupBy("doc_id", "node_id"))
+    return union(ancestors(nodes).join(own, ["doc_id", "node_id"]).groupBy("doc_id", "elem_id"))
 
 
-@operator("content_container", ["nodes"], """WITH k AS (SELECT doc_id, parent_id AS node_id, count(*) AS n FROM nodes WHERE parent_id IS NOT NULL GROUP BY 1, 2), b AS (SELECT doc_id, node_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, node_id) AS r FROM k WHERE n >= 2)
+@operator("content_container", ["nodes", "node_boxes"], f"""WITH RECURSIVE {_BOXED_SQL}, lev AS (SELECT doc_id, node_id, 0 AS depth FROM nodes WHERE parent_id IS NULL UNION ALL SELECT l.doc_id, c.node_id, depth + 1 FROM lev l JOIN nodes c ON c.doc_id = l.doc_id AND c.parent_id = l.node_id),
+    res AS (SELECT DISTINCT s.doc_id, s.elem_id AS node_id FROM sub s JOIN node_boxes b ON b.doc_id = s.doc_id AND b.node_id = s.under WHERE x0 IS NOT NULL),
+    k AS (SELECT n.doc_id, n.parent_id AS node_id, count(*) AS n FROM nodes n JOIN res r ON r.doc_id = n.doc_id AND r.node_id = n.node_id JOIN lev l ON l.doc_id = n.doc_id AND l.node_id = n.parent_id WHERE l.depth <= {DEPTH} GROUP BY 1, 2),
+    b AS (SELECT doc_id, node_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, node_id) AS r FROM k WHERE n >= 2)
     SELECT d.doc_id, coalesce(b.node_id, d.root) AS node_id, coalesce(b.n, 0) AS resolvable_children FROM (SELECT doc_id, min(node_id) AS root FROM nodes WHERE parent_id IS NULL GROUP BY 1) d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1""")
-def content_container(nodes: DataFrame) -> DataFrame:
-    """The node with the most children per document, two at least, else the root."""
-    kids = nodes.where("parent_id is not null").groupBy("doc_id", F.col("parent_id").alias("k")).agg(F.count("*").alias("n")).where("n >= 2")
-    best = kids.groupBy("doc_id").agg(F.max_by(F.struct("k", "n"), F.struct("n", -F.col("k"))).alias("b"))
+def content_container(nodes: DataFrame, boxes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """The node, at most ``depth`` levels below the root, with the most children that hold content with a box; two at least, else the root."""
+    above = ancestors(nodes)
+    boxed = boxes.where("x0 is not null").select("doc_id", "node_id").distinct()
+    holding = above.join(boxed, ["doc_id", "node_id"]).select("doc_id", F.col("elem_id").alias("node_id")).distinct()
+    levels = above.groupBy("doc_id", F.col("node_id").alias("k")).agg(F.max("far").alias("level"))
+    kids = nodes.where("parent_id is not null").join(holding, ["doc_id", "node_id"]).groupBy("doc_id", F.col("parent_id").alias("k")).agg(F.count("*").alias("n")).where("n >= 2")
+    shallow = kids.join(levels, ["doc_id", "k"]).where(F.col("level") <= depth)
+    best = shallow.groupBy("doc_id").agg(F.max_by(F.struct("k", "n"), F.struct("n", -F.col("k"))).alias("b"))
     roots = nodes.where("parent_id is null").groupBy("doc_id").agg(F.min("node_id").alias("root"))
     return roots.join(best, "doc_id", "left").select("doc_id", F.coalesce("b.k", "root").alias("node_id"), F.coalesce("b.n", F.lit(0)).alias("resolvable_children"))
 

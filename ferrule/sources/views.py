@@ -77,7 +77,7 @@ VIEWS: dict[str, str] = {
     "invites": """
         SELECT concat('org_', CAST(s_nationkey AS STRING)) AS org_id, CASE WHEN s_suppkey % 3 = 0 THEN 'accepted' ELSE 'pending' END AS status FROM {supplier}""",
     "seat_requests": """
-        SELECT o_orderkey AS request_id, concat('org_', CAST(o_custkey % 25 AS STRING)) AS org_id, CAST(o_orderkey % 9 - 4 AS INT) AS delta FROM {orders} WHERE o_orderkey % 10 = 1""",
+        SELECT o_orderkey AS request_id, concat('org_', CAST(o_custkey % 25 AS STRING)) AS org_id, CAST(o_orderkey % 9 - 4 AS INT) AS delta FROM {orders}""",
     "subscriptions": """
         SELECT concat('sub_', CAST(l_orderkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS sub_id, concat('user_', CAST(o_custkey AS STRING)) AS user_id,
           CASE l_orderkey % 5 WHEN 0 THEN 'canceled' WHEN 1 THEN 'past_due' WHEN 2 THEN 'trialing' ELSE 'active' END AS status, CASE WHEN l_linenumber % 2 = 0 THEN 'team' ELSE 'individual' END AS plan,
@@ -85,11 +85,11 @@ VIEWS: dict[str, str] = {
           concat('price_', CAST(l_suppkey % 6 AS STRING)) AS price_id, CAST(floor(l_extendedprice) AS BIGINT) AS unit_amount,
           CASE l_linenumber % 4 WHEN 0 THEN 'month' WHEN 1 THEN 'year' WHEN 2 THEN 'week' ELSE 'day' END AS recur, CAST(1 + l_linenumber % 3 AS INT) AS interval_count,
           CAST(l_quantity AS INT) AS quantity, CAST(o_orderdate AS TIMESTAMP) AS ts
-        FROM {items} JOIN {orders} ON o_orderkey = l_orderkey WHERE l_orderkey % 8 = 1""",
+        FROM {items} JOIN {orders} ON o_orderkey = l_orderkey""",
     "prices": "SELECT concat('price_', CAST(r_regionkey AS STRING)) AS price_id, r_name AS plan FROM {region} WHERE r_regionkey < 3",
     "refund_requests": """
         SELECT o_orderkey AS request_id, concat('user_', CAST(o_custkey AS STRING)) AS user_id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey WHEN o_orderkey % 3 = 1 THEN o_orderkey + 1 ELSE NULL END AS job_id,
-          concat('file', CAST(o_orderkey % 5 AS STRING), '.pdf') AS input_name FROM {orders} WHERE o_orderkey % 6 < 3""",
+          concat('file', CAST(o_orderkey % 5 AS STRING), '.pdf') AS input_name FROM {orders}""",
     "deleted_users": "SELECT CASE WHEN c_custkey % 14 = 0 THEN concat('x', CAST(c_custkey AS STRING)) ELSE concat('user_', CAST(c_custkey AS STRING)) END AS user_id FROM {customer} WHERE c_custkey % 7 = 0",
     "ledger_events": """
         SELECT concat('user_', CAST(o_custkey AS STRING)) AS user_id, o_orderkey AS seq, CAST(o_orderdate AS TIMESTAMP) AS ts,
@@ -100,18 +100,18 @@ VIEWS: dict[str, str] = {
           CASE o_orderkey % 4 WHEN 0 THEN 'past_due' WHEN 1 THEN 'trialing' ELSE 'active' END AS status FROM {orders}""",
     "kb_source": """
         SELECT concat('kb', CAST(doc_id AS STRING)) AS id, CAST(doc_id % 6 AS INT) AS section, concat('Section ', CAST(doc_id % 6 AS STRING)) AS section_name, CAST(doc_id AS INT) AS order_num,
-          substring(text, 1, 40) AS title, substring(text, 41, 80) AS summary, concat('[\"kb', CAST(doc_id + 2 AS STRING), '\",\"none\",\"kb', CAST(doc_id + 1 AS STRING), '\"]') AS related_ids
+          substring(text, 1, 40) AS title, substring(text, 41) AS summary, concat('[\"kb', CAST(doc_id + 2 AS STRING), '\",\"none\",\"kb', CAST(doc_id + 1 AS STRING), '\"]') AS related_ids
         FROM {documents} WHERE doc_id % 5 < 4""",
     "kb_live": """
         SELECT concat('kb', CAST(doc_id AS STRING)) AS id, CAST(doc_id % 6 AS INT) AS section, concat('Section ', CAST(doc_id % 6 AS STRING)) AS section_name, CAST(doc_id AS INT) AS order_num,
-          CASE WHEN doc_id % 7 = 0 THEN 'Old title' ELSE substring(text, 1, 40) END AS title, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE substring(text, 41, 80) END AS summary,
+          CASE WHEN doc_id % 7 = 0 THEN 'Old title' ELSE substring(text, 1, 40) END AS title, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE substring(text, 41) END AS summary,
           concat('[\"kb', CAST(doc_id + 2 AS STRING), '\",\"none\",\"kb', CAST(doc_id + 1 AS STRING), '\"]') AS related_ids
         FROM {documents} WHERE doc_id % 5 > 0""",
     "kb_patches": """
         SELECT concat('kb', CAST(doc_id AS STRING)) AS id, doc_id % 2 = 0 AS has_title, 'Patched title' AS title, doc_id % 3 = 0 AS has_summary, CAST(NULL AS STRING) AS summary
         FROM {documents} WHERE doc_id % 9 = 1""",
     "posts": """
-        SELECT concat('post-', CAST(doc_id AS STRING)) AS slug, substring(text, 1, 30) AS title, lang AS category, CAST(CAST('2024-01-01' AS DATE) + CAST(doc_id % 300 AS INT) AS DATE) AS published_at,
+        SELECT concat('post-', CAST(doc_id AS STRING)) AS slug, text AS title, lang AS category, CAST(CAST('2024-01-01' AS DATE) + CAST(doc_id % 300 AS INT) AS DATE) AS published_at,
           CASE WHEN doc_id % 3 = 0 THEN CAST(CAST('2024-12-01' AS DATE) + CAST(doc_id % 20 AS INT) AS DATE) ELSE NULL END AS updated_at, doc_id % 97 = 0 AS featured FROM {documents}""",
     "routes": """
         SELECT concat('/', lower(n_name)) AS path, CASE WHEN n_nationkey % 2 = 0 THEN 'weekly' ELSE NULL END AS changefreq, CASE WHEN n_nationkey % 3 = 0 THEN 0.9 ELSE NULL END AS priority FROM {nation}""",
@@ -144,33 +144,36 @@ VIEWS: dict[str, str] = {
         FROM {items} GROUP BY l_orderkey""",
     "fragments": """
         SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS seq, CASE l_linenumber % 4 WHEN 0 THEN concat('```html', chr(10), '<p>a', CAST(l_partkey AS STRING), '</p>', chr(10), '```')
-          WHEN 1 THEN concat('<div class="x" lang="en">', chr(10), '<p>b', CAST(l_suppkey AS STRING), '</p></div>') WHEN 2 THEN ' <p>c</p> ' ELSE '<div><p>d</p></div>' END AS html FROM {items} WHERE l_orderkey % 4 = 1""",
+          WHEN 1 THEN concat('<div class="x" lang="en">', chr(10), '<p>b', CAST(l_suppkey AS STRING), '</p></div>') WHEN 2 THEN ' <p>c</p> ' ELSE '<div><p>d</p></div>' END AS html FROM {items}""",
     "point_lines": """
         SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS seq, CASE l_linenumber % 3 WHEN 0 THEN concat('**Quiz ', CAST(l_partkey AS STRING), '**....', CAST(CAST(l_quantity AS INT) AS STRING), ' pts')
-          WHEN 1 THEN concat('Essay ', CAST(l_suppkey AS STRING), ' ........ ', CAST(CAST(l_quantity AS INT) AS STRING), ' points') ELSE '** plain line' END AS line FROM {items} WHERE l_orderkey % 4 = 2""",
+          WHEN 1 THEN concat('Essay ', CAST(l_suppkey AS STRING), ' ........ ', CAST(CAST(l_quantity AS INT) AS STRING), ' points') ELSE '** plain line' END AS line FROM {items}""",
     "words": """
         SELECT media_id, pos, text, s AS start, s + 0.35 AS stop FROM (
           SELECT conv_id AS media_id, CAST(pos AS INT) AS pos, text, CAST(pos AS DOUBLE) * 0.4 + floor(pos / 7) * 2.0 + floor(pos / 19) * 1.0 AS s FROM (
             SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, p) - 1 AS pos, line AS text FROM (SELECT conv_id, turn, {EXPLODE_WORDS} FROM {conversations}) a) b) c""",
-    "headings": "SELECT doc_id, seq, CAST(1 + (length(line) + seq) % 6 AS INT) AS level, substring(line, 1, 20) AS text FROM {lines} WHERE length(line) % 3 <> 0",
+    "headings": "SELECT doc_id, seq, CAST(1 + (length(line) + seq) % 6 AS INT) AS level, line AS text FROM {lines}",
     "cells": """
         SELECT l_orderkey AS doc_id, CAST(floor((l_linenumber - 1) / 4) AS INT) AS table_seq, concat('t', CAST(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE floor((l_linenumber - 1) / 4) END AS STRING)) AS table_tag_id,
           CAST((l_linenumber - 1) % 4 AS INT) AS row, CAST(c AS INT) AS col,
           CASE WHEN (l_linenumber - 1) % 4 = 0 AND l_orderkey % 2 = 0 THEN 'th' WHEN c = 0 AND l_orderkey % 5 = 0 THEN 'th' ELSE 'td' END AS tag, CAST(CASE WHEN c = 1 AND l_linenumber % 3 = 0 THEN 2 ELSE 1 END AS INT) AS colspan,
           CASE WHEN l_orderkey % 6 = 1 AND c < 2 THEN '' ELSE concat('v', CAST(l_partkey AS STRING), '_', CAST(c AS STRING)) END AS text
-        FROM {items} CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE c < 2 + l_partkey % 2 AND l_orderkey % 4 < 2""",
+        FROM {items} CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE c < 2 + l_partkey % 2""",
     "tagged_cells": """
         SELECT l_orderkey AS doc_id, CAST(l_linenumber * 10 + c AS BIGINT) AS seq, CAST(l_linenumber AS BIGINT) AS row_id, CAST(c AS INT) AS col,
           CASE WHEN l_linenumber % 3 = 1 OR (c = 0 AND l_orderkey % 7 = 0) THEN 'TH' ELSE 'TD' END AS role, CASE WHEN l_linenumber % 3 = 1 AND c <> 2 THEN concat('h', CAST(l_linenumber AS STRING), '_', CAST(c AS STRING)) ELSE NULL END AS id,
           CASE WHEN c = 1 AND l_partkey % 5 = 0 THEN 'given' ELSE NULL END AS headers, CASE WHEN l_partkey % 3 = 0 THEN 'Row' ELSE NULL END AS scope
-        FROM {items} CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k WHERE l_orderkey % 4 = 3 OR l_orderkey % 4 = 0""",
+        FROM {items} CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) k""",
     "nodes": """
         SELECT l_orderkey AS doc_id, CAST(1 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS seq, 'Table' AS raw_role, CAST(NULL AS STRING) AS scope, false AS has_headers FROM {items} WHERE l_linenumber = 1
         UNION ALL SELECT l_orderkey, CAST(l_linenumber * 10 AS BIGINT), CASE WHEN l_partkey % 29 = 0 THEN CAST(NULL AS BIGINT) ELSE CAST(1 AS BIGINT) END, l_linenumber, CASE WHEN l_partkey % 31 = 0 THEN 'P' WHEN l_partkey % 37 = 0 THEN 'Zeile' ELSE 'TR' END, NULL, false FROM {items}
         UNION ALL SELECT l_orderkey, CAST(l_linenumber * 10 + c AS BIGINT), CAST(CASE WHEN c = 2 AND l_partkey % 23 = 0 THEN l_linenumber * 10 + 1 ELSE l_linenumber * 10 END AS BIGINT), c,
           CASE WHEN l_linenumber = 1 THEN 'TH' ELSE 'TD' END, CASE WHEN l_linenumber = 1 AND c = 1 THEN 'Column' WHEN l_linenumber = 1 AND l_partkey % 4 = 0 THEN 'Bad' ELSE NULL END, l_suppkey % 2 = 0
           FROM {items} CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2) k""",
-    "roles": "SELECT 'Zeile' AS raw_role, 'TR' AS role FROM {region} WHERE r_regionkey = 0",
+    "roles": "SELECT o_orderkey AS doc_id, 'Zeile' AS raw_role, CASE WHEN o_orderkey % 2 = 0 THEN 'TR' ELSE 'P' END AS role FROM {orders}",
+    "node_boxes": """
+        SELECT l_orderkey AS doc_id, CAST(l_linenumber * 10 + c AS BIGINT) AS node_id, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_quantity * 8 + c * 100 AS DOUBLE) END AS x0, CAST(l_discount * 5000 AS DOUBLE) AS y0,
+          CAST(l_quantity * 8 + c * 100 + 60 AS DOUBLE) AS x1, CAST(l_discount * 5000 + 10 + l_partkey % 40 AS DOUBLE) AS y1 FROM {items} CROSS JOIN (SELECT 1 AS c UNION ALL SELECT 2) k""",
     "boxes": """
         SELECT l_orderkey AS doc_id, CAST(1 + l_suppkey % 2 AS INT) AS page, CAST(l_linenumber AS INT) AS elem_id,
           CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CAST(l_quantity * 8 AS DOUBLE) END AS x0, CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE CAST(l_discount * 5000 AS DOUBLE) END AS y0,
@@ -189,10 +192,10 @@ VIEWS: dict[str, str] = {
     "marks": """
         SELECT doc_id, page, img_idx AS mark_id, CASE WHEN img_idx % 3 = 0 THEN 'Artifact' ELSE 'Figure' END AS tag, CAST(img_idx AS INT) AS mcid, bpc = 8 AS has_image, x0, y0, x1, y1, page_w, page_h FROM {images}""",
     "decisions": "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS mcid, l_partkey % 3 = 0 AS decorative, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE concat('alt ', CAST(l_partkey AS STRING)) END AS alt_text FROM {items} WHERE l_suppkey % 3 <> 0",
-    "figures": "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS mcid, CASE WHEN l_partkey % 2 = 0 THEN concat('old ', CAST(l_partkey AS STRING)) ELSE NULL END AS existing_alt FROM {items} WHERE l_orderkey % 2 = 0",
+    "figures": "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS mcid, CASE WHEN l_partkey % 2 = 0 THEN concat('old ', CAST(l_partkey AS STRING)) ELSE NULL END AS existing_alt FROM {items}",
     "html_refs": """
         SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS seq, CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE concat('cid:img', CAST(l_linenumber AS STRING)) END AS src, CASE WHEN l_partkey % 3 = 0 THEN '' ELSE concat('alt ', CAST(l_partkey AS STRING)) END AS alt,
-          CASE WHEN l_partkey % 5 = 0 THEN repeat('caption ', 80) ELSE NULL END AS caption FROM {items} WHERE l_orderkey % 5 = 1""",
+          CASE WHEN l_partkey % 5 = 0 THEN repeat('caption ', 80) ELSE NULL END AS caption FROM {items}""",
     "ref_images": "SELECT l_orderkey AS doc_id, concat('img', CAST(l_linenumber AS STRING)) AS image_id FROM {items} WHERE l_suppkey % 4 <> 0",
     "page_signals": """
         SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 9 = 0 THEN 'docx' ELSE 'pdf' END AS ext, CAST(l_linenumber AS INT) AS page, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INT) AS total_pages, CAST(l_partkey % 120 AS INT) AS text_len,
@@ -266,6 +269,7 @@ def with_views(names, body: str) -> str:
     if not parts:
         return body
     tail = body.strip()
-    if tail.upper().startswith("WITH "):
-        return "WITH " + ", ".join(parts) + ", " + tail[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if tail.startswith(start):
+            return start + ", ".join(parts) + ", " + tail[len(start):]
     return "WITH " + ", ".join(parts) + " " + tail
