@@ -74,14 +74,16 @@ def role_map(nodes: DataFrame, roles: DataFrame) -> DataFrame:
 def climb(nodes: DataFrame, passes: Column) -> DataFrame:
     """nodes with ``top``, the nearest ancestor whose ``passes`` is false (null: none), and ``path``, the seqs of the ancestors passed, outermost first.
 
-    Pointers are doubled by self-joins, so the rounds are the logarithm of the longest way up, whatever the depth. Nodes on a cycle have no top.
+    Pointers are doubled by self-joins, so the rounds are the logarithm of the longest way up, whatever the depth. Nodes on a cycle have no top:
+    what still moves after as many steps as a document has nodes is on one.
     """
+    most = nodes.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     there = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), passes.alias("passes"), F.col("parent_id").alias("above"), "seq")
     up = (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("n"))
     went = F.coalesce("passes", F.lit(False))
     first = nodes.select("doc_id", "node_id", F.col("parent_id").alias("at")).join(there, up, "left")
     now = written(first.select("doc_id", "node_id", F.when(went, F.col("at")).alias("at"), F.when(~went, F.col("n")).alias("top"), F.when(went, F.array("seq")).otherwise(F.array().cast("array<int>")).alias("path")))
-    for _ in range(40):
+    for _ in range(most.bit_length()):
         if now.where("at is not null").isEmpty():
             break
         ahead = now.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("at").alias("next"), F.col("top").alias("found"), F.col("path").alias("before"))
