@@ -6,10 +6,11 @@
    in fewer lists with others than that are out; the rest are joined into candidate groups by their lists. This loses no link,
    whatever the texts are.
 3. Within a group, T-occurrence search with DivideSkip finds links: of a query's inverted lists the longest are set aside, the
-   short ones are merged and counted, and candidates with enough hits are probed for the long lists by binary search. Only links between
+   short ones are merged as sorted runs and counted, and candidates with enough hits are probed for the long lists by binary search. Only links between
    different components matter, so a group that has become one component ends the search.
-4. Groups over a size bound are first compared with one pivot. What is linked to it is one component; the rest is
-   searched against the whole group in bounded pairs of blocks of compatible sizes.
+4. Groups over a size bound are first compared with one pivot. What is linked to it is one component; links of the rest are searched by inverted
+   lists over the whole cluster: in one order from rare to common shingles, linked sets meet among the first few of either. Sets of
+   the pivot's component are not compared with each other, so a large group of near copies is no square.
 
 Links, not pairs, are the result: a group of m near copies gives m - 1 links, and the links span exactly the components of all pairs.
 
@@ -25,14 +26,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Kept, components, table
+from .common import Kept, components, join_unique, table
 
 WORDS, PERCENT = 3, 90
-#: Shingles of a group, or of a block of a larger group, that one task holds.
+#: Shingles of a group that one task holds; larger groups are searched by many tasks.
 TASK_SHINGLES = 4_000_000
 #: How often sets that occur in too few lists are taken out; each time lists lose members, and more sets may follow.
 PEELINGS = 2
@@ -143,6 +144,10 @@ def class_of(s: np.ndarray) -> int:
     return int(mix(np.array([x], _U)).view(np.int64)[0])
 
 
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), n and class of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +156,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             columns = [batch.column("doc_id"), batch.column("row"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(class_of, sets)), pa.int64())]
             yield pa.record_batch(columns, ["doc_id", "row", "n", "class"])
 
-    given = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("string"))
+    given = docs.select(F.col("doc_id").cast("long"), row_hash().alias("row"), F.col("text").cast("string"))
     return given.mapInArrow(run, "doc_id long, row long, n long, class long")
 
 
@@ -182,8 +187,8 @@ def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def divide_skip(names: list[int], sets: list[np.ndarray], sides: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that span the components of a group of sets. With sides, only links between side 0 and side 1, searched from side 0."""
+def divide_skip(names: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that span the components of a group of sets."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(m), sizes)
@@ -200,11 +205,10 @@ def divide_skip(names: list[int], sets: list[np.ndarray], sides: list[int] | Non
         return x
 
     links, left = [], m
-    order = [q for q in range(m) if not sides or sides[q] == 0]
-    for turn, q in enumerate(order):
+    for q in range(m):
         if left == 1:
             break
-        if turn and not sides and root(q) == root(order[0]):
+        if q and root(q) == root(0):
             continue  # a link to another component is found from there
         lists = of[q][np.argsort(counts[of[q]], kind="stable")]
         n = len(lists)
@@ -212,12 +216,15 @@ def divide_skip(names: list[int], sets: list[np.ndarray], sides: list[int] | Non
         longest = int(counts[lists[-1]])
         aside = min(least - 1, int(least / (0.01 * np.log2(longest + 1) + 1)))
         short, long_ = lists[: n - aside], lists[n - aside :]
-        merged = np.bincount(np.concatenate([by_token[begin[t] : begin[t + 1]] for t in short]), minlength=m)
-        for c in np.flatnonzero(merged >= least - aside):
-            if c == q or (sides and sides[c] == 0) or root(c) == root(q):
+        merged = np.sort(np.concatenate([by_token[begin[t] : begin[t + 1]] for t in short]), kind="stable")  # a merge of sorted runs
+        edges = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1], [True])))
+        runs = np.diff(edges)
+        for at_run in np.flatnonzero(runs >= least - aside):
+            c, hits = int(merged[edges[at_run]]), int(runs[at_run])
+            if c == q or root(c) == root(q):
                 continue
             at = np.searchsorted(of[c], long_)
-            common = int(merged[c]) + int((of[c][np.minimum(at, len(of[c]) - 1)] == long_).sum())
+            common = hits + int((of[c][np.minimum(at, len(of[c]) - 1)] == long_).sum())
             if linked(common, n, int(sizes[c]), percent):
                 parent[root(c)] = root(q)
                 links.append((names[q], names[c]))
@@ -226,81 +233,88 @@ def divide_skip(names: list[int], sets: list[np.ndarray], sides: list[int] | Non
 
 
 def group_links(units: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """From rows (unit, side, class, shingles) sorted by unit within partitions: links (a, b) found in each unit."""
+    """From rows (unit, class, shingles) sorted by unit within partitions: links (a, b) found in each unit."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
 
         def search() -> pa.RecordBatch:
-            two = len({r[0] for r in rows}) == 2
-            found = divide_skip([r[1] for r in rows], [np.frombuffer(r[2], _U) for r in rows], [r[0] for r in rows] if two else None, percent) if len(rows) > 1 else []
+            found = divide_skip([r[0] for r in rows], [np.frombuffer(r[1], _U) for r in rows], percent) if len(rows) > 1 else []
             return pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for unit, side, name, held in zip(*(batch.column(k).to_pylist() for k in ("unit", "side", "class", "shingles")), strict=True):
+            for unit, name, held in zip(*(batch.column(k).to_pylist() for k in ("unit", "class", "shingles")), strict=True):
                 if unit != now:
                     if rows:
                         yield search()
                     now, rows = unit, []
-                rows.append((side, name, held))
+                rows.append((name, held))
         if rows:
             yield search()
 
-    return units.select("unit", "side", "class", "shingles").mapInArrow(run, "a long, b long")
+    return units.select("unit", "class", "shingles").mapInArrow(run, "a long, b long")
 
 
 def member_sets(docs: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """The members (doc_id, class, group, n) with their shingles, from one text of each class."""
-    wanted = members.select(F.col("doc_id").alias("_doc"), "class", "group", "n")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    """The members (row, class, group) with n and their shingles, from one text of each class."""
+    wanted = members.select(F.col("row").alias("_row"), "class", "group")
+    joined = docs.select(row_hash().alias("_key"), F.col("text").cast("string").alias("text")).join(wanted, F.col("_key") == F.col("_row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             ok = pa.array([class_of(s) == c for s, c in zip(sets, batch.column("class").to_pylist(), strict=True)], pa.bool_())
-            out = [batch.column("class"), batch.column("group"), batch.column("n"), pa.array([s.tobytes() for s in sets], pa.binary())]
+            out = [batch.column("class"), batch.column("group"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.record_batch([x.filter(ok) for x in out], ["class", "group", "n", "shingles"])
 
-    return joined.select("text", "class", "group", "n").mapInArrow(run, "class long, group long, n long, shingles binary").dropDuplicates(["class"])
+    return joined.select("text", "class", "group").mapInArrow(run, "class long, group long, n long, shingles binary").dropDuplicates(["class"])
 
 
-def search_large(large: DataFrame, kept: Kept, percent: int) -> DataFrame:
-    """Links in groups over the bound: to one pivot first, then of what is not linked to it against all, by pairs of blocks."""
-    pivots = large.groupBy("group").agg(F.min_by("shingles", F.xxhash64("class")).alias("pivot"), F.min_by("class", F.xxhash64("class")).alias("pivot_class"))
-
+def linked_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of rows (a, b, x, y), classes and their shingles: a and b of those that link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = []
-            for s, p in zip(batch.column("shingles").to_pylist(), batch.column("pivot").to_pylist(), strict=True):
+            for s, p in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 a, b = np.frombuffer(s, _U), np.frombuffer(p, _U)
                 hit.append(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b), percent))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("class", "group", "n", "shingles", "pivot_class")), pa.array(hit, pa.bool_())], ["class", "group", "n", "shingles", "pivot_class", "hit"])
-
-    seen = kept.put(large.join(pivots, "group").mapInArrow(run, "class long, group long, n long, shingles binary, pivot_class long, hit boolean"))
-    star = seen.where("hit and class != pivot_class").select(F.col("class").alias("a"), F.col("pivot_class").alias("b"))
-    # Blocks: classes of a group in order of size, cut by running shingles; the running sum is over ranges of size, then inside each.
-    per_size = seen.groupBy("group", "hit", "n").agg(F.sum("n").alias("s"))
-    base = per_size.select("group", "hit", "n", (F.sum("s").over(W.partitionBy("group", "hit").orderBy("n")) - F.col("s")).alias("base"))
-    inside = W.partitionBy("group", "hit", "n").orderBy("class").rowsBetween(W.unboundedPreceding, 0)
-    blocks = seen.join(base, ["group", "hit", "n"]).withColumn("block", F.floor((F.col("base") + F.sum("n").over(inside)) / (TASK_SHINGLES // 2)))
-    blocks = kept.put(blocks.select("group", "hit", "block", "class", "n", "shingles"))
-    spans = blocks.groupBy("group", "hit", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    a, b = spans.where("not hit").alias("a"), spans.alias("b")
-    near = (F.col("a.group") == F.col("b.group")) & (F.col("a.least") * percent <= F.col("b.most") * 100) & (F.col("b.least") * percent <= F.col("a.most") * 100)
-    pairs = a.join(b, near).where("b.hit or a.block <= b.block").select(
-        F.col("a.group").alias("group"), F.col("a.block").alias("x"), F.col("b.block").alias("y"), F.col("b.hit").alias("other"),
-        F.xxhash64("a.group", "a.block", "b.block", "b.hit").alias("unit"))
-    same = (~F.col("other")) & (F.col("x") == F.col("y"))
-    query = pairs.select("unit", "group", F.col("x").alias("block"), F.lit(False).alias("hit"), F.lit(0).alias("side"))
-    target = pairs.where(~same).select("unit", "group", F.col("y").alias("block"), F.col("other").alias("hit"), F.lit(1).alias("side"))
-    units = query.unionByName(target).join(blocks, ["group", "block", "hit"])
-    rest = group_links(units.repartition("unit").sortWithinPartitions("unit"), percent)
-    return star.unionByName(rest)
+            mask = pa.array(hit, pa.bool_())
+            yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def search_large(large: DataFrame, kept: Kept, percent: int) -> DataFrame:
+    """Links in groups over the bound: to one pivot first, then of all that is not linked to it, by inverted lists of rare shingles."""
+    pivots = kept.put(large.groupBy("group").agg(F.min_by("shingles", F.xxhash64("class")).alias("y"), F.min_by("class", F.xxhash64("class")).alias("b"), F.count("*").alias("many")))
+    star = kept.put(linked_pairs(join_unique(large.select("group", F.col("class").alias("a"), F.col("shingles").alias("x")), pivots, "group", "many").where("a != b"), percent))
+    part = large.join(star.select(F.col("a").alias("class"), F.col("b").alias("hub")), "class", "left").withColumn("hub", F.coalesce("hub", "class"))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, name, hub, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = mix(np.frombuffer(held, _U) ^ _U(group & (1 << 64) - 1)).view(np.int64)
+                same = lambda x: pa.array(np.full(len(s), x, np.int64))  # noqa: E731,B023
+                yield pa.record_batch([pa.array(s), same(name), same(hub), same(len(s))], ["g", "class", "hub", "n"])
+
+    each = kept.put(part.select("group", "class", "hub", "shingles").mapInArrow(tokens, "g long, class long, hub long, n long"))
+    often = kept.put(each.groupBy("g").agg(F.count("*").alias("often")).where("often > 1"))
+    shared = join_unique(each, often, "g", "often").withColumn("known", F.count("*").over(W.partitionBy("class")))
+    # Shingles of one set come first in the order and meet nothing; a set only needs to know how many such it has.
+    rank = F.row_number().over(W.partitionBy("class").orderBy("often", "g")) + F.col("n") - F.col("known")
+    first = kept.put(shared.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1))
+    lists = first.groupBy("g", "hub").agg(F.count("*").alias("c")).groupBy("g").agg(F.max_by("hub", F.struct("c", "hub")).alias("main"), F.count("*").alias("several"), F.sum("c").alias("c"))
+    held = kept.put(join_unique(first, kept.put(lists.where("several > 1")), "g", "c").select("g", "main", "hub", "class", "n"))
+    x, y = held.where("hub != main").alias("x"), held.alias("y")
+    near = (F.col("x.g") == F.col("y.g")) & (F.col("x.hub") != F.col("y.hub")) & (F.col("x.n") * percent <= F.col("y.n") * 100) & (F.col("y.n") * percent <= F.col("x.n") * 100)
+    pairs = kept.put(x.join(y, near).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct())
+    sets = lambda id, s: large.select(F.col("class").alias(id), F.col("shingles").alias(s))
+    return star.unionByName(linked_pairs(join_unique(join_unique(pairs, sets("a", "x"), "a"), sets("b", "y"), "b"), percent))
 
 
 def jaccard_classes(docs: DataFrame, kept: Kept, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, row, n_shingles, class (one per distinct set), component (a class of it) and component_id of every row."""
     signed = kept.put(signatures(docs, words))
-    classes = kept.put(signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    classes = kept.put(signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row")))
     keyed = class_keys(docs, words, percent)
     by_key = W.partitionBy("key")
     lists = lambda rows: rows.withColumn("low", F.min("class").over(by_key)).withColumn("high", F.max("class").over(by_key)).where("low != high").drop("high")
@@ -312,14 +326,15 @@ def jaccard_classes(docs: DataFrame, kept: Kept, words: int = WORDS, percent: in
         kept.drop(before)
     edges = met.where("class != low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct()
     groups = kept.put(components(kept, edges))
-    members = groups.join(classes.select("class", "doc_id", "n"), F.col("node") == F.col("class")).select("class", F.col("component").alias("group"), "doc_id", "n")
-    sizes = members.groupBy("group").agg(F.sum("n").alias("held"))
-    sets = kept.put(member_sets(docs, members, words).join(sizes, "group"))
-    small = sets.where(F.col("held") <= TASK_SHINGLES).select(F.col("group").alias("unit"), F.lit(0).alias("side"), "class", "shingles")
+    members = groups.join(classes.select("class", "row"), F.col("node") == F.col("class")).select("class", F.col("component").alias("group"), "row")
+    sets = kept.put(member_sets(docs, members, words))
+    sizes = kept.put(sets.groupBy("group").agg(F.sum("n").alias("held"), F.count("*").alias("many")))
+    sets = join_unique(sets, sizes, "group", "many").drop("many")
+    small = sets.where(F.col("held") <= TASK_SHINGLES).select(F.col("group").alias("unit"), "class", "shingles")
     links = group_links(small.repartition("unit").sortWithinPartitions("unit"), percent)
-    large = sets.where(F.col("held") > TASK_SHINGLES)
-    if not large.isEmpty():
-        links = links.unionByName(search_large(large.drop("held"), kept, percent))
+    if not sizes.where(F.col("held") > TASK_SHINGLES).isEmpty():
+        large = kept.put(sets.where(F.col("held") > TASK_SHINGLES).drop("held"))
+        links = links.unionByName(search_large(large, kept, percent))
     joined = components(kept, kept.put(links))
     named = classes.select("class", "doc_id").join(joined, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
