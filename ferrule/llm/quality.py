@@ -3,7 +3,8 @@
 ``RULES`` lists (name, metric, least, most). ``verdicts`` compiles it into one Spark projection over length, symbol, stop-word and
 line metrics, without user functions, shuffles or explodes: every metric is computed inside the row.
 
-Defined results: a null or empty text has no words and is rejected; ratios over nothing are 0; repeated rows are judged alike; added
+Defined results: a null or empty text has no words and is rejected; ratios over nothing are 0; a text marked as a language that the stop words
+do not cover has no stop-word verdict; repeated rows are judged alike; bounds hold for ties; an empty table gives no rows; added
 columns take the names of ``METRICS`` and ``BASE`` and replace columns of the same names; very long texts are read whole.
 """
 
@@ -36,6 +37,7 @@ RULES = (
     ("bullets", "bullet_line_ratio", None, 0.9),
     ("ellipses", "ellipsis_line_ratio", None, 0.3),
 )
+LANGUAGES = ("en", "de", "fr", "es")  # what the stop words cover
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -44,9 +46,10 @@ def _words(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words within windows of 8 that occur twice or more. Hashes clear most texts; only where some agree are the windows compared."""
+    """Words within windows of 8 that occur twice or more. Hashes of words clear most texts; only where some agree are the windows compared."""
     starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    hashed = F.array(F.transform(words, lambda w: F.xxhash64(w)))
+    hashes = F.flatten(F.transform(hashed, lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, WINDOW)))))
     placed = F.array_sort(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i, F.lit(WINDOW)), " ").alias("w"), i.alias("i"))))
     ahead = F.slice(placed, F.lit(2), F.size(placed))
     same = F.zip_with(F.slice(placed, F.lit(1), F.size(placed) - 1), ahead, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")))
@@ -56,12 +59,13 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).when(F.size(F.array_distinct(hashes)) == F.size(words) - (WINDOW - 1), F.lit(0)).otherwise(covered)
 
 
-def metrics(docs: DataFrame) -> DataFrame:
-    """Adds the base counts and the metrics of the threshold table."""
+def metrics(docs: DataFrame, lang: Column | None = None) -> DataFrame:
+    """Adds the base counts and the metrics of the threshold table. ``lang`` says which language a text is marked as, null where that is unknown."""
     count = lambda pattern: F.regexp_count("_text", F.lit(pattern))
     has_word = r"[^\x20\x09-\x0D]"
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    out = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    known = F.lit(True) if lang is None else F.coalesce(F.lower(F.substring(lang.cast("string"), 1, 2)).isin(*LANGUAGES), F.lit(True))
+    out = docs.withColumn("_known", known).withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
     out = out.withColumn("_words", F.when(F.col("_text").rlike(has_word), _words(F.col("_text"))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(has_word)))
     out = out.withColumns({
@@ -78,12 +82,13 @@ def metrics(docs: DataFrame) -> DataFrame:
         "_bullets": F.size(F.filter("_lines", lambda x: x.rlike(r"^[\x20\x09]*(?:[-*•·]|\d+[.)])[\x20\x09]"))),
         "_ellipses": F.size(F.filter("_lines", lambda x: x.rlike(r"(?:\.\.\.|…)[\x20\x09]*$"))),
     })
+    # Texts marked as another language are not judged by stop words.
     return out.withColumns({
         "mean_word_chars": ratio("word_chars", "n_words"),
         "symbol_ratio": ratio("n_symbols", "n_words"),
         "exclamation_ratio": ratio("_exclamations", "n_words"),
         "capital_ratio": ratio("_capitals", "word_chars"),
-        "stop_ratio": ratio("_stops", "n_words"),
+        "stop_ratio": F.when(F.col("_known"), ratio("_stops", "n_words")),
         "stutter_ratio": ratio("_stutters", "n_words"),
         "dup_line_ratio": ratio("n_dup_lines", "_n_lines"),
         "bullet_line_ratio": ratio("_bullets", "_n_lines"),
@@ -100,20 +105,20 @@ def compile_rules(rules=RULES) -> dict[str, Column]:
             ok = ok & (F.col(metric) >= least)
         if most is not None:
             ok = ok & (F.col(metric) <= most)
-        out[name] = ok
+        out[name] = F.coalesce(ok, F.lit(True))  # no metric, no verdict
     return out
 
 
-def verdicts(docs: DataFrame, rules=RULES) -> DataFrame:
+def verdicts(docs: DataFrame, rules=RULES, lang: Column | None = None) -> DataFrame:
     """Adds base counts, base_failed, kept, and failed_rules, the names of the rules that a text fails."""
     passed = compile_rules(rules)
-    out = metrics(docs).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    out = metrics(docs, lang).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     out = out.withColumn("failed_rules", F.concat_ws(",", *[F.when(~ok, F.lit(name)) for name, ok in passed.items()]))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("failed_rules") == ""))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept", "failed_rules")
+    return verdicts(table(spark, sf_dir, "documents"), lang=F.col("lang")).select("doc_id", *BASE, "base_failed", "kept", "failed_rules")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -122,5 +127,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     The verdict passes through a generator: a plain filter would be pushed below the projection, and compute its metrics many times.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    marked = verdicts(packed).select("_row", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_keep"))
+    marked = verdicts(packed, lang=F.col("_row.lang") if "lang" in docs.columns else None).select("_row", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_keep"))
     return marked.where("_keep").select("_row.*")
