@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ferrule.operators.text import cost
@@ -128,15 +129,25 @@ def traffic_quality(pageviews: DataFrame, as_of=None) -> DataFrame:
     return out.withColumn("contaminated", (F.col("views_per_user") >= 8) | (F.col("not_set_share") >= 0.5)).withColumn("note", F.when(F.col("contaminated"), "testing-contaminated"))
 
 
-@operator("traffic_topk", ["pageviews"], """WITH d AS (SELECT 'path' AS dim, path AS value, 6 AS k FROM pageviews UNION ALL SELECT 'country', country, 6 FROM pageviews UNION ALL SELECT 'source', source_medium, 8 FROM pageviews)
-    SELECT dim, value, n AS count FROM (SELECT dim, value, k, count(*) AS n, row_number() OVER (PARTITION BY dim ORDER BY count(*) DESC, value) AS r FROM d GROUP BY dim, value, k) WHERE r <= k""")
-def traffic_topk(pageviews: DataFrame, tops=(("path", "path", 6), ("country", "country", 6), ("source", "source_medium", 8))) -> DataFrame:
-    """The commonest values of each dimension; equal counts by value."""
-    out = None
-    for dim, column, k in tops:
-        top = pageviews.groupBy(F.col(column).alias("value")).count().orderBy(F.desc("count"), "value").limit(k).select(F.lit(dim).alias("dim"), "value", "count")
-        out = top if out is None else out.unionByName(top)
-    return out
+@operator("traffic_topk", ["pageviews"], """WITH a AS (SELECT max(ts) AS now FROM pageviews), p AS (SELECT 'today' AS period, v.* FROM pageviews v, a WHERE CAST(ts AS DATE) = CAST(now AS DATE) UNION ALL SELECT '7d', v.* FROM pageviews v, a WHERE CAST(ts AS DATE) BETWEEN CAST(now AS DATE) - 6 AND CAST(now AS DATE)),
+    d AS (SELECT period, 'path' AS dim, path AS value, 6 AS k FROM p UNION ALL SELECT period, 'country', country, 6 FROM p UNION ALL SELECT period, 'source', source_medium, 8 FROM p)
+    SELECT period, dim, value, n AS count FROM (SELECT period, dim, value, k, count(*) AS n, row_number() OVER (PARTITION BY period, dim ORDER BY count(*) DESC, value) AS r FROM d GROUP BY period, dim, value, k) WHERE r <= k""")
+def traffic_topk(pageviews: DataFrame, as_of=None, tops=(("path", "path", 6), ("country", "country", 6), ("source", "source_medium", 8))) -> DataFrame:
+    """The commonest values of each dimension today and in seven days, today included; equal counts by value. Views are counted once for all dimensions."""
+    day = F.to_date(F.lit(as_of or latest(pageviews, "ts")).cast("timestamp"))
+    recent = pageviews.where(F.to_date("ts").between(F.date_sub(day, 6), day))
+    periods = F.when(F.to_date("ts") == day, F.array(F.lit("today"), F.lit("7d"))).otherwise(F.array(F.lit("7d")))
+    each = recent.select(periods.alias("p"), F.explode(F.array(*[F.struct(F.lit(dim).alias("dim"), F.col(c).alias("value"), F.lit(k).alias("k")) for dim, c, k in tops])).alias("d"))
+    counted = each.select(F.explode("p").alias("period"), "d.*").groupBy("period", "dim", "value", "k").count()
+    rank = F.row_number().over(W.partitionBy("period", "dim").orderBy(F.desc("count"), "value"))
+    return counted.withColumn("r", rank).where("r <= k").select("period", "dim", "value", "count")
+
+
+@operator("checker_recent", ["checker_usage"], "SELECT id, file_name, file_type, status, score, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM checker_usage ORDER BY created_at DESC, id DESC LIMIT 20")
+def checker_recent(usage: DataFrame, n: int = 20) -> DataFrame:
+    """The feature is the newest n checks; equal times by id."""
+    newest = usage.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+    return newest.select("id", "file_name", "file_type", "status", "score", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created"))
 
 
 @operator("recent_jobs", ["jobs"], "SELECT id, type, status, user_id, page_count, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created FROM jobs ORDER BY created_at DESC, id DESC LIMIT 50")

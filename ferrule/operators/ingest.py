@@ -7,10 +7,9 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
-from pyspark.sql.functions import udtf
 
 from ferrule.plans.registry import operator, query
 from ferrule.sources.shared import shared_dir
@@ -92,28 +91,23 @@ def visit_event_ingest(raw: DataFrame, salt: str = "salt") -> DataFrame:
     return raw.select("event_id", F.sha2(F.concat("visitor_id", F.lit(":"), F.lit(salt)), 256).alias("visitor_id_hash"), day.alias("visit_date"), p.alias("first_path"), reason.isNull().alias("is_valid"), reason.alias("reject_reason"))
 
 
-@udtf(returnType="chunk_no: int, chunk: string")
-class Chunks:
-    """Cuts a text at the last paragraph end or line break before the limit, else at the limit."""
-
-    def eval(self, text: str, limit: int):
-        n, at = 0, 0
-        text = text or ""
-        while at < len(text):
-            end = min(at + limit, len(text))
-            if end < len(text):
-                cuts = [i + len(mark) for mark in ("</p>", "<br>") if (i := text.rfind(mark, at, end)) > at and i + len(mark) <= end]
-                end = max(cuts, default=end)
-            yield n, text[at:end]
-            n, at = n + 1, end
+def chunked(text: Column, max_len: int) -> Column:
+    """A text cut at the last paragraph end or line break before the limit, else at the limit; the rest is the last chunk."""
+    piece = rf"(?s).{{1,{max_len}}}\z|.{{1,{max_len - 4}}}(?:</p>|<br>)|.{{1,{max_len}}}"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(piece), F.lit(0))
 
 
 @operator("text_chunks", ["documents"])
 def text_chunks(documents: DataFrame, max_len: int = 6000) -> DataFrame:
     """doc_id, chunk_no, chunk: chunks joined in order give the text."""
-    spark = documents.sparkSession
-    spark.udtf.register("ferrule_chunks", Chunks)
-    return spark.sql("SELECT d.doc_id, c.chunk_no, c.chunk FROM {docs} d, LATERAL ferrule_chunks(d.text, {n}) c", docs=documents, n=max_len)
+    return documents.select("doc_id", F.posexplode(chunked(F.col("text"), max_len)).alias("chunk_no", "chunk"))
+
+
+@operator("audit_texts", ["documents"], "SELECT doc_id, CASE WHEN length(text) > 14000 THEN substring(text, 1, 14000) || chr(10) || '...[document continues]' ELSE text END AS audit_text FROM documents")
+def audit_texts(documents: DataFrame, limit: int = 14_000) -> DataFrame:
+    """The text that an audit reads: the feature is its cut, which says that the document goes on."""
+    cut = F.concat(F.substring("text", 1, limit), F.lit("\n...[document continues]"))
+    return documents.select("doc_id", F.when(F.length("text") > limit, cut).otherwise(F.col("text")).alias("audit_text"))
 
 
 @query("snapshot_export")

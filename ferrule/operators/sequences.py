@@ -84,29 +84,36 @@ def table_header_scope(cells: DataFrame) -> DataFrame:
 
 
 @operator("table_orphan_rows", ["cells"], """WITH r AS (SELECT doc_id, table_seq, row, max(col) AS last, count(*) FILTER (WHERE text <> '') AS filled, arg_max(text, col) AS tail FROM cells GROUP BY 1, 2, 3),
-    o AS (SELECT *, CASE WHEN filled = 1 AND tail <> '' AND last > 0 THEN 1 ELSE 0 END AS orphan FROM r), g AS (SELECT *, sum(1 - orphan) OVER (PARTITION BY doc_id, table_seq ORDER BY row) AS real FROM o)
-    SELECT doc_id, table_seq, min(row) AS row, string_agg(tail, ' ' ORDER BY row) AS last_text, count(*) - 1 AS joined FROM g WHERE real > 0 GROUP BY doc_id, table_seq, real UNION ALL SELECT doc_id, table_seq, row, tail, 0 FROM g WHERE real = 0""")
+    o AS (SELECT *, CASE WHEN filled = 1 AND tail <> '' AND last > 0 THEN 1 ELSE 0 END AS orphan FROM r), g AS (SELECT *, sum(1 - orphan) OVER (PARTITION BY doc_id, table_seq ORDER BY row) AS real FROM o),
+    k AS (SELECT doc_id, table_seq, min(row) AS row, string_agg(tail, ' ' ORDER BY row) AS last_text, count(*) - 1 AS joined, arg_min(last, row) AS last FROM g WHERE real > 0 GROUP BY doc_id, table_seq, real UNION ALL SELECT doc_id, table_seq, row, tail, 0, last FROM g WHERE real = 0)
+    SELECT c.doc_id, c.table_seq, c.row, c.col, c.tag, CASE WHEN c.col = k.last THEN k.last_text ELSE c.text END AS text, CASE WHEN c.col = k.last THEN k.joined ELSE 0 END AS joined FROM cells c JOIN k ON k.doc_id = c.doc_id AND k.table_seq = c.table_seq AND k.row = c.row""")
 def table_orphan_rows(cells: DataFrame) -> DataFrame:
-    """A row with only a last cell joins the last cell of the real row before it; one before any real row stays."""
+    """The cells, where a row with only a last cell has joined the last cell of the real row before it; one before any real row stays."""
     rows = cells.groupBy("doc_id", "table_seq", "row").agg(F.max("col").alias("last"), F.count_if(F.col("text") != "").alias("filled"), F.max_by("text", "col").alias("tail"))
     orphan = ((F.col("filled") == 1) & (F.col("tail") != "") & (F.col("last") > 0)).cast("int")
     order = W.partitionBy("doc_id", "table_seq").orderBy("row")
     runs = rows.withColumn("real", F.sum(1 - orphan).over(order.rowsBetween(*UNTIL)))
     runs = runs.withColumn("part", F.when(F.col("real") == 0, F.col("row")).otherwise(-1))
-    texts = F.array_sort(F.collect_list(F.struct("row", "tail")))
-    return runs.groupBy("doc_id", "table_seq", "real", "part").agg(F.min("row").alias("row"), F.array_join(F.transform(texts, lambda x: x["tail"]), " ").alias("last_text"), (F.count("*") - 1).alias("joined")).drop("real", "part")
+    texts = F.array_sort(F.collect_list(F.struct("row", "tail", "last")))
+    kept = runs.groupBy("doc_id", "table_seq", "real", "part").agg(F.min("row").alias("row"), texts.alias("t"))
+    kept = kept.select("doc_id", "table_seq", "row", F.array_join(F.transform("t", lambda x: x["tail"]), " ").alias("last_text"), (F.size("t") - 1).cast("long").alias("joined"), F.col("t")[0]["last"].alias("last"))
+    at_end = F.col("col") == F.col("last")
+    return cells.join(kept, ["doc_id", "table_seq", "row"]).select("doc_id", "table_seq", "row", "col", "tag", F.when(at_end, F.col("last_text")).otherwise(F.col("text")).alias("text"), F.when(at_end, F.col("joined")).otherwise(F.lit(0).cast("long")).alias("joined"))
 
 
 @operator("table_page_merge", ["cells"], """WITH t AS (SELECT doc_id, table_seq, max(table_tag_id) AS tid, max(col) AS width, max(CASE WHEN tag = 'th' THEN 1 ELSE 0 END) AS header FROM cells GROUP BY 1, 2),
-    s AS (SELECT *, CASE WHEN tid = lag(tid) OVER w OR (width = lag(width) OVER w AND header = 0) THEN 0 ELSE 1 END AS start FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY table_seq))
-    SELECT doc_id, table_seq, CAST(sum(start) OVER (PARTITION BY doc_id ORDER BY table_seq) AS BIGINT) AS merged_table FROM s""")
+    s AS (SELECT *, CASE WHEN tid = lag(tid) OVER w OR (width = lag(width) OVER w AND header = 0) THEN 0 ELSE 1 END AS start FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY table_seq)),
+    m AS (SELECT doc_id, table_seq, CAST(sum(start) OVER (PARTITION BY doc_id ORDER BY table_seq) AS BIGINT) AS merged_table FROM s)
+    SELECT c.doc_id, m.merged_table, dense_rank() OVER (PARTITION BY c.doc_id, m.merged_table ORDER BY c.table_seq, c.row) - 1 AS merged_row, c.col, c.tag, c.text FROM cells c JOIN m ON m.doc_id = c.doc_id AND m.table_seq = c.table_seq""")
 def table_page_merge(cells: DataFrame) -> DataFrame:
-    """Neighbouring tables are one if their ids agree, or their widths do and the second has no header."""
+    """The cells with their merged table and row there: neighbouring tables are one if their ids agree, or their widths do and the second has no header."""
     t = cells.groupBy("doc_id", "table_seq").agg(F.max("table_tag_id").alias("tid"), F.max("col").alias("width"), F.bool_or(F.col("tag") == "th").alias("header"))
     w = W.partitionBy("doc_id").orderBy("table_seq")
     goes_on = (F.col("tid") == F.lag("tid").over(w)) | ((F.col("width") == F.lag("width").over(w)) & ~F.col("header"))
     started = t.withColumn("start", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
-    return started.select("doc_id", "table_seq", F.sum("start").over(w.rowsBetween(*UNTIL)).cast("long").alias("merged_table"))
+    merged = started.select("doc_id", "table_seq", F.sum("start").over(w.rowsBetween(*UNTIL)).cast("long").alias("merged_table"))
+    row = F.dense_rank().over(W.partitionBy("doc_id", "merged_table").orderBy("table_seq", "row")) - 1
+    return cells.join(merged, ["doc_id", "table_seq"]).select("doc_id", "merged_table", row.cast("long").alias("merged_row"), "col", "tag", "text")
 
 
 @operator("header_backfill", ["tagged_cells"], """WITH r AS (SELECT doc_id, row_id, min(seq) AS at FROM tagged_cells GROUP BY 1, 2 HAVING bool_and(role = 'TH') AND count(*) > 1 AND count(id) > 0),

@@ -93,9 +93,11 @@ VIEWS: dict[str, str] = {
     "deleted_users": "SELECT CASE WHEN c_custkey % 14 = 0 THEN concat('x', CAST(c_custkey AS STRING)) ELSE concat('user_', CAST(c_custkey AS STRING)) END AS user_id FROM {customer} WHERE c_custkey % 7 = 0",
     "ledger_events": """
         SELECT concat('user_', CAST(o_custkey AS STRING)) AS user_id, o_orderkey AS seq, CAST(o_orderdate AS TIMESTAMP) AS ts,
-          CASE WHEN o_orderkey % 13 = 0 THEN 'purchase' WHEN o_orderkey % 11 = 0 THEN 'refund' ELSE 'deduct' END AS kind, CAST(1 + o_orderkey % 60 AS INT) AS amount FROM {orders}""",
+          CASE WHEN o_orderkey % 17 = 0 THEN 'plan' WHEN o_orderkey % 13 = 0 THEN 'purchase' WHEN o_orderkey % 11 = 0 THEN 'refund' ELSE 'deduct' END AS kind,
+          CAST(CASE WHEN o_orderkey % 17 = 0 THEN 130 + 145 * (o_orderkey % 3) ELSE 1 + o_orderkey % 60 END AS INT) AS amount FROM {orders}""",
     "sub_events": """
-        SELECT o_orderkey AS event_id, CAST(o_orderdate AS TIMESTAMP) AS ts, CASE WHEN o_orderkey % 7 = 0 THEN 'deleted' WHEN o_orderkey % 3 = 0 THEN 'created' ELSE 'updated' END AS type,
+        SELECT o_orderkey AS event_id, CAST(o_orderdate AS TIMESTAMP) AS ts, CASE WHEN o_orderkey % 7 = 0 THEN 'deleted' WHEN o_orderkey % 11 = 0 THEN 'credit_pack' WHEN o_orderkey % 3 = 0 THEN 'created' ELSE 'updated' END AS type,
+          CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 THEN CAST(50 AS BIGINT) END AS credits,
           concat('cus_', CAST(o_custkey AS STRING)) AS customer_id, CASE WHEN o_custkey % 2 = 0 THEN 'team' ELSE 'individual' END AS plan, CAST(1 + o_orderkey % 12 AS INT) AS seats,
           CASE o_orderkey % 4 WHEN 0 THEN 'past_due' WHEN 1 THEN 'trialing' ELSE 'active' END AS status FROM {orders}""",
     "kb_source": """

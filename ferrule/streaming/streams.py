@@ -5,18 +5,19 @@ Every query reads the given table as a file stream to its end and returns what t
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ferrule.operators.accounts import SINGLE_CREDITS
 from ferrule.operators.ingest import visit_event_ingest
 from ferrule.plans.registry import query
+from ferrule.sources.shared import shared_dir
 from ferrule.sources.views import VIEWS
 
 
@@ -32,17 +33,30 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, source: str) -> Dat
     return spark.sql(VIEWS[name], **{source: stream(spark, sf_dir, source)})
 
 
-def finish(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream to its end and returns its rows: appended ones, or the last complete result."""
-    spark = df.sparkSession
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='ferrule-')}/stream-{uuid.uuid4().hex}"
+def sink(folder: str):
+    """A writer for foreachBatch. Each batch has its own folder and overwrites it, so a batch that runs again after a failure counts once."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return write
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/out")
 
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+def finish(df: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream to its end and returns its rows: appended ones or, with a key, the newest row of each key (an upsert of updates)."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    q = df.writeStream.outputMode("update" if key else "append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(sink(folder)).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+    out = spark.read.schema(df.schema.add("batch", "long")).parquet(f"{folder}/out")
+    if key:
+        newest = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("batch")))
+        out = out.withColumn("_n", newest).where("_n = 1").drop("_n")
+    return out.drop("batch")
+
+
+_FIRST_VISITS = r"""SELECT DISTINCT sha256(visitor_id || ':' || 'salt') AS visitor_id_hash, CAST(CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS visit_date FROM visits_raw
+    WHERE regexp_full_match(visitor_id, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AND length(path) BETWEEN 1 AND 500 AND engaged_ms BETWEEN 3000 AND 86400000 AND interaction AND NOT regexp_matches(user_agent, 'HeadlessChrome|Playwright|Puppeteer|bot|crawler|spider', 'i')
+      AND NOT regexp_matches(string_split(path, '?')[1], '^(/kb)?/admin(/|$)')"""
 
 
 def first_visits(visits: DataFrame) -> DataFrame:
@@ -52,49 +66,112 @@ def first_visits(visits: DataFrame) -> DataFrame:
     return events.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["visitor_id_hash", "visit_date"])
 
 
-@query("stream_visits", r"""SELECT DISTINCT sha256(visitor_id || ':' || 'salt') AS visitor_id_hash, CAST(CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS visit_date FROM visits_raw
-    WHERE regexp_full_match(visitor_id, '[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}') AND length(path) BETWEEN 1 AND 500 AND engaged_ms BETWEEN 3000 AND 86400000 AND interaction AND NOT regexp_matches(user_agent, 'HeadlessChrome|Playwright|Puppeteer|bot|crawler|spider', 'i')
-      AND NOT regexp_matches(string_split(path, '?')[1], '^(/kb)?/admin(/|$)')""", ("visits_raw",))
+@query("stream_visits", _FIRST_VISITS, ("visits_raw",))
 def stream_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finish(first_visits(stream_view(spark, sf_dir, "visits_raw", "events")), "append").select("visitor_id_hash", "visit_date")
+    return finish(first_visits(stream_view(spark, sf_dir, "visits_raw", "events"))).select("visitor_id_hash", "visit_date")
+
+
+def happenings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, ts) of events and jobs as one stream."""
+    events = stream(spark, sf_dir, "events").select(F.lit("events").alias("kind"), "ts")
+    return events.unionByName(stream(spark, sf_dir, "orders").select(F.lit("jobs").alias("kind"), F.col("o_orderdate").cast("timestamp").alias("ts")))
 
 
-@query("stream_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS events FROM events GROUP BY 1")
+_HAPPENED = "h AS (SELECT 'events' AS kind, ts FROM events UNION ALL SELECT 'jobs', CAST(o_orderdate AS TIMESTAMP) FROM orders)"
+
+
+@query("stream_daily", f"WITH {_HAPPENED} SELECT kind, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n FROM h GROUP BY 1, 2 UNION ALL SELECT 'visitors', visit_date, count(*) FROM ({_FIRST_VISITS}) GROUP BY 2", ("visits_raw",))
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per UTC day in tumbling windows."""
-    days = stream(spark, sf_dir, "events").withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("events"))
-    return finish(days.select(F.to_date("window.start").cast("string").alias("date"), "events"), "complete")
+    """Events and jobs per UTC day in tumbling windows, and visitors per day; a day's state goes when the watermark has passed it."""
+    days = happenings(spark, sf_dir).withWatermark("ts", "1 day").groupBy("kind", F.window("ts", "1 day")).agg(F.count("*").alias("n"))
+    counted = finish(days.select("kind", F.to_date("window.start").cast("string").alias("date"), "n"), ("kind", "date"))
+    visitors = stream_visits(spark, sf_dir).groupBy(F.lit("visitors").alias("kind"), F.col("visit_date").alias("date")).agg(F.count("*").alias("n"))
+    return counted.unionByName(visitors)
 
 
-@query("stream_rolling", "SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * k, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM events, range(12) r(k) GROUP BY 1")
+@query("stream_rolling", """SELECT 'hour' AS span, strftime(time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * k, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM events, range(12) r(k) GROUP BY 2
+    UNION ALL SELECT 'day', strftime(time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k, '%Y-%m-%d %H:%M:%S'), count(*) FROM events, range(24) r(k) GROUP BY 2""")
 def stream_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of the last hour, every five minutes."""
-    hours = stream(spark, sf_dir, "events").withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour", "5 minutes")).agg(F.count("*").alias("events"))
-    return finish(hours.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events"), "complete")
+    """Events of the last hour, every five minutes, and of the last 24 hours, every hour."""
+    def rolling(span: str, width: str, step: str) -> DataFrame:
+        counted = stream(spark, sf_dir, "events").withWatermark("ts", "1 day").groupBy(F.window("ts", width, step)).agg(F.count("*").alias("events"))
+        return finish(counted.select(F.lit(span).alias("span"), F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events"), ("start",))
+
+    return rolling("hour", "1 hour", "5 minutes").unionByName(rolling("day", "24 hours", "1 hour"))
+
 
+ENGAGED = "visitor_id string, date string, engaged_ms long, reached_at string"
+LEAST_VISIBLE = 3_000  # milliseconds
 
-@query("stream_engagement", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events), s AS (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
-    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS events FROM s GROUP BY user_id, n""")
+
+def engagement_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Adds up a visitor's visible time of a day; gives one row when it has reached the threshold and there was an interaction."""
+    events = pd.concat(parts).sort_values(["ts", "event_id"])
+    visible, since, touched, sent = state.get if state.exists else (0, -1, False, False)
+    out = []
+    for at, shown, interacted in zip(events["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[events["ts"].dt.unit], events["state"] == "visible", events["interacted"], strict=True):
+        if since >= 0:
+            visible += int(at) - since
+        since, touched = (int(at) if shown else -1), touched or bool(interacted)
+        if touched and visible >= LEAST_VISIBLE and not sent:
+            sent = True
+            out.append((*key, visible, pd.Timestamp(int(at), unit="ms").strftime("%Y-%m-%d %H:%M:%S")))
+    state.update((int(visible), int(since), bool(touched), bool(sent)))
+    yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in ENGAGED.split(", ")])
+
+
+@query("stream_engagement", """WITH s AS (SELECT visitor_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, ts, event_id, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER w AS before, lag(state) OVER w AS was, bool_or(interacted) OVER w AS touched FROM visibility_events WINDOW w AS (PARTITION BY visitor_id, CAST(ts AS DATE) ORDER BY ts, event_id)),
+    r AS (SELECT *, coalesce(sum(CASE WHEN was = 'visible' THEN ms - before ELSE 0 END) OVER (PARTITION BY visitor_id, date ORDER BY ts, event_id), 0) AS visible FROM s)
+    SELECT visitor_id, date, CAST(arg_min(visible, (ts, event_id)) AS BIGINT) AS engaged_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS reached_at FROM r WHERE touched AND visible >= 3000 GROUP BY 1, 2""", ("visibility_events",))
 def stream_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a visitor: events under half an hour apart."""
-    sessions = stream(spark, sf_dir, "events").withWatermark("ts", "1 day").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("events"))
-    return finish(sessions.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events"), "complete")
+    """When a visitor's visible time of a day reached three seconds with an interaction, once a day, and how long it was then."""
+    events = stream_view(spark, sf_dir, "visibility_events", "events").withColumn("date", F.to_date("ts").cast("string"))
+    out = events.groupBy("visitor_id", "date").applyInPandasWithState(engagement_update, ENGAGED, "visible long, since long, touched boolean, sent boolean", "append", GroupStateTimeout.NoTimeout)
+    return finish(out)
 
 
-@query("stream_subscriptions", """SELECT customer_id, arg_max(CASE WHEN type = 'deleted' THEN NULL ELSE plan END, (ts, event_id)) IS NULL AS ended, max(event_id) FILTER (WHERE r = 1) AS last_event FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ts DESC, event_id DESC) AS r FROM sub_events) WHERE r = 1 GROUP BY 1""", ("sub_events",))
+@query("stream_subscriptions", """WITH c AS (SELECT customer_id, coalesce(sum(credits), 0) AS credits FROM sub_events GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ts DESC, event_id DESC) AS r FROM sub_events WHERE type <> 'credit_pack')
+    SELECT c.customer_id, CASE WHEN n.type <> 'deleted' THEN n.plan END AS plan, CASE WHEN n.type <> 'deleted' AND n.plan = 'team' THEN n.seats END AS seats, coalesce(n.type <> 'deleted' AND n.plan = 'team' AND n.status NOT IN ('active', 'trialing'), false) AS restricted, coalesce(n.type = 'deleted', false) AS ended, CAST(c.credits AS BIGINT) AS credits, n.event_id AS last_event
+    FROM c LEFT JOIN n ON n.customer_id = c.customer_id AND n.r = 1""", ("sub_events",))
 def stream_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's newest subscription state."""
+    """Each customer's newest plan, seats and restriction (a team whose payment is not in order), and the credits of packs bought so far."""
     events = stream_view(spark, sf_dir, "sub_events", "orders")
-    newest = F.max_by(F.struct("type", "event_id"), F.struct("ts", "event_id"))
-    state = events.groupBy("customer_id").agg(newest.alias("s"))
-    return finish(state.select("customer_id", (F.col("s.type") == "deleted").alias("ended"), F.col("s.event_id").alias("last_event")), "complete")
+    change = F.when(F.col("type") != "credit_pack", F.struct("ts", "event_id"))
+    newest = F.max_by(F.struct("type", "event_id", "plan", "seats", "status"), change)
+    s = F.col("s")
+    state = events.groupBy("customer_id").agg(newest.alias("s"), F.coalesce(F.sum("credits"), F.lit(0)).alias("credits"))
+    live, team = s["type"] != "deleted", s["plan"] == "team"
+    out = state.select(
+        "customer_id", F.when(live, s["plan"]).alias("plan"), F.when(live & team, s["seats"]).alias("seats"), F.coalesce(live & team & ~s["status"].isin("active", "trialing"), F.lit(False)).alias("restricted"),
+        F.coalesce(s["type"] == "deleted", F.lit(False)).alias("ended"), "credits", s["event_id"].alias("last_event"))
+    return finish(out, ("customer_id",))
+
+
+def retained(df: DataFrame, day: str, days: int) -> DataFrame:
+    """Runs a stream into a store by day. After each batch, days before the horizon, counted from the newest day seen, are dropped from the store."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy(day).parquet(f"{folder}/out/batch={number}")
+        held = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+        horizon = held.agg(F.date_sub(F.max(day), days).alias("h"))
+        old = held.select("batch", day).distinct().join(horizon, F.col(day) < F.col("h"))
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for r in old.toLocalIterator():  # a folder per day and batch
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out/batch={r['batch']}/{day}={r[day]}"), True)
+
+    q = df.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema.add("batch", "long")).parquet(f"{folder}/out").drop("batch")
 
 
-@query("stream_retention", "SELECT event_id, user_id FROM events")
+@query("stream_retention", "SELECT o_orderkey AS id, concat('user_', o_custkey) AS user_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT max(CAST(o_orderdate AS DATE)) FROM orders) - 90")
 def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct events, remembered for 90 days; later copies of older events are beyond the horizon."""
-    events = stream(spark, sf_dir, "events").withWatermark("ts", "90 days").dropDuplicates(["event_id", "ts"])
-    return finish(events.select("event_id", "user_id"), "append")
+    """Jobs of the last 90 days; older ones leave the store."""
+    jobs = stream(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("user_"), F.col("o_custkey").cast("string")).alias("user_id"), F.to_date("o_orderdate").alias("day"))
+    return retained(jobs, "day", 90).withColumn("day", F.col("day").cast("string"))
 
 
 LEDGER = "user_id string, seq long, used long, purchased long, remaining long, reset_at string, allowed boolean"
@@ -108,35 +185,36 @@ def month_on(at: pd.Timestamp, day: int) -> pd.Timestamp:
 def ledger_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Folds a user's new events, in order, into the balance kept between micro-batches."""
     events = pd.concat(parts).sort_values(["ts", "seq"])
-    used, bought, reset, day = state.get if state.exists else (0, 0, None, 0)
+    used, bought, reset, day, limit = state.get if state.exists else (0, 0, None, 0, SINGLE_CREDITS)
     out = []
     for e in events.itertuples():
         if reset is None:
             day = e.ts.day
             reset = int(month_on(e.ts, day).timestamp())
         due = pd.Timestamp(reset, unit="s")
+        limit = int(e.amount) if e.kind == "plan" else limit
         reads = 2 if e.kind == "deduct" else 1
         for n in range(reads):
             if e.ts >= due:
                 used, due = 0, month_on(due, day)
-            allowed = SINGLE_CREDITS - used + bought > 0 if n == 0 else allowed
+            allowed = limit - used + bought > 0 if n == 0 else allowed
         reset = int(due.timestamp())
         if e.kind == "deduct":
-            monthly = min(max(0, SINGLE_CREDITS - used), e.amount)
+            monthly = min(max(0, limit - used), e.amount)
             used, bought = used + monthly, max(0, bought - (e.amount - monthly))
         elif e.kind == "refund":
             back = min(used, e.amount)
             used, bought = used - back, bought + e.amount - back
         elif e.kind == "purchase":
             bought += e.amount
-        out.append((key[0], e.seq, used, bought, max(0, SINGLE_CREDITS - used) + bought, str(due), allowed))
-    state.update((int(used), int(bought), reset, int(day)))
+        out.append((key[0], e.seq, used, bought, max(0, limit - used) + bought, str(due), allowed))
+    state.update((int(used), int(bought), reset, int(day), int(limit)))
     yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in LEDGER.split(", ")])
 
 
 @query("stream_ledger")
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-user credit state over the event stream, every user on the single plan from the first event's day."""
+    """Per-user credit state over the event stream, every user on the single plan from the first event's day until a plan change."""
     events = stream_view(spark, sf_dir, "ledger_events", "orders")
-    out = events.groupBy("user_id").applyInPandasWithState(ledger_update, LEDGER, "used long, purchased long, reset long, day long", "append", GroupStateTimeout.NoTimeout)
-    return finish(out, "append")
+    out = events.groupBy("user_id").applyInPandasWithState(ledger_update, LEDGER, "used long, purchased long, reset long, day long, limit long", "append", GroupStateTimeout.NoTimeout)
+    return finish(out)
