@@ -75,7 +75,7 @@ def metrics(docs: DataFrame, lang: Column | None = None) -> DataFrame:
         "_n_lines": F.size("_lines"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-        "_stops": count(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(set(STOP_WORDS), key=lambda w: (-len(w), w))) + r")(?![\p{L}\p{N}])"),
+        "_stops": count(r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(set(STOP_WORDS), key=lambda w: (-len(w), w))) + r")(?![\p{L}\p{N}])"),
         "_capitals": count(r"\p{Lu}"),
         "_exclamations": count("!"),
         "_stutters": count(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++\1(?![^\x20\x09-\x0D])"),
@@ -129,3 +129,29 @@ def keep_good(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
     marked = verdicts(packed, lang=F.col("_row.lang") if "lang" in docs.columns else None).select("_row", F.explode_outer(F.when(F.col("kept"), F.array(F.lit(True)))).alias("_keep"))
     return marked.where("_keep").select("_row.*")
+
+
+def _verdict_sql(name: str, metric: str, least: float | None, most: float | None) -> str:
+    bad = " OR ".join([*([f"{metric} < {least}"] if least is not None else []), *([f"{metric} > {most}"] if most is not None else [])])
+    return f"CASE WHEN {bad} THEN '{name}' END"
+
+
+#: The query in SQL, metric by metric from the rules' own words: windows and runs of words are rows here.
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT rid, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
+rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM win) WHERE c > 1) GROUP BY rid),
+pos AS (SELECT rid, x, p, p - row_number() OVER (PARTITION BY rid, x ORDER BY p) AS island FROM (SELECT rid, unnest(ws) AS x, unnest(range(len(ws))) AS p FROM w)),
+stut AS (SELECT rid, sum(c // 2) AS n FROM (SELECT rid, count(*) AS c FROM pos GROUP BY rid, x, island) GROUP BY rid),
+b AS (SELECT d.rid, doc_id, lang, t, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(stut.n, 0) AS stutters, length(t) - length(replace(t, '!', '')) AS shouts, len(regexp_extract_all(t, '\p{{Lu}}')) AS capitals,
+  len(list_filter(regexp_extract_all(t, '[\p{{L}}\p{{N}}]+'), lambda x: list_contains([{", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}], lower(x)))) AS stops,
+  len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09]*(?:[-*•·]|[0-9]+[.)])[\x20\x09]'))) AS bullets, len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|…)[\x20\x09]*$'))) AS dots
+  FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN stut USING (rid)),
+m AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word_chars, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbol_ratio, CASE WHEN n_words > 0 THEN shouts / n_words ELSE 0 END AS exclamation_ratio,
+  CASE WHEN word_chars > 0 THEN capitals / word_chars ELSE 0 END AS capital_ratio, CASE WHEN lang IS NOT NULL AND lower(substring(lang, 1, 2)) NOT IN {LANGUAGES} THEN NULL WHEN n_words > 0 THEN stops / n_words ELSE 0 END AS stop_ratio,
+  CASE WHEN n_words > 0 THEN stutters / n_words ELSE 0 END AS stutter_ratio, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_ratio, CASE WHEN n_lines > 0 THEN bullets / n_lines ELSE 0 END AS bullet_line_ratio, CASE WHEN n_lines > 0 THEN dots / n_lines ELSE 0 END AS ellipsis_line_ratio FROM b),
+v AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, concat_ws(',', {", ".join(_verdict_sql(*r) for r in RULES)}) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM v
+"""

@@ -22,5 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": quality.OP4_SQL,
+        "op6_ngram_jaccard": jaccard.OP6_SQL,
         "op8_reply_chat": chat.OP8_SQL,
     }
