@@ -3,9 +3,11 @@
 ``encode_audio`` carries a payload losslessly in the ancillary bytes of Layer III frames (every frame is valid, silent and
 protected by the standard's CRC-16) behind an ID3v2 tag and a Xing table. ``read_audio`` is a reader for any MPEG audio bytes:
 it skips tags, resynchronises on frame headers, verifies checksums, reads Xing, Info and VBRI tables, and gives exact durations
-and the byte offset of every frame.
+(without the encoder's delay and padding where its tag names them) and the byte offset of every frame. Checksums of Layer II and frames of
+free format are not read.
 
-Defined results: null or empty texts give one block of padding; null media gives null features; damaged bytes are skipped and
+Defined results: null or empty texts give one block of padding; equal texts, however long, give equal media, and repeated rows and null doc_ids one
+row each; empty tables give no rows; null media gives null features; damaged bytes are skipped and
 counted in ``skipped_bytes``; bytes with no frame give zero frames; other columns pass through unread, whatever their names.
 """
 
@@ -55,9 +57,9 @@ checksum = lru_cache(1 << 14)(crc16)
 
 
 class Header:
-    """A frame header's fields; ``parse`` gives None where four bytes are none."""
+    """A frame header's fields; ``parse`` gives None where four bytes are none. ``guarded``: bytes behind the checksum that it covers, 0: not known."""
 
-    __slots__ = ("version", "layer", "protected", "bitrate", "rate", "channels", "length", "samples", "side")
+    __slots__ = ("version", "layer", "protected", "bitrate", "rate", "channels", "length", "samples", "side", "guarded")
 
     @classmethod
     @lru_cache(1 << 12)
@@ -80,6 +82,8 @@ class Header:
             h.samples = 576 if layer == 3 and family == 2 else 1152
             h.length = h.samples // 8 * 1000 * h.bitrate // h.rate + pad
         h.side = {(1, 1): 17, (1, 2): 32, (2, 1): 9, (2, 2): 17}[family, h.channels] if layer == 3 else 0
+        bound = 32 * (h.channels - 1) if four[3] >> 6 != 1 else 4 + 4 * (four[3] >> 4 & 3)  # subbands of Layer I with an allocation per channel
+        h.guarded = h.side if layer == 3 else (32 + bound) // 2 if layer == 1 else 0
         return h
 
 
@@ -115,27 +119,37 @@ def encode_audio(payload: bytes, title: str = "") -> bytes:
     return b"ID3\x04\0\0" + syncsafe(len(tag)) + tag + frame(b"", 9, info) + b"".join(frames)
 
 
+def whole(raw: bytes, bits: int) -> int:
+    """A big-endian number whose bytes carry so many bits each."""
+    n = 0
+    for b in raw:
+        n = n << bits | b
+    return n
+
+
 def id3v2(data: bytes, at: int) -> tuple[int, dict[str, str]]:
-    """Where the tag at a place ends, and its text fields."""
+    """Where the tag at a place ends, and its text fields. Extended headers are passed over, and unsynchronisation is undone."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or max(data[at + 6 : at + 10]) > 127:
         return at, {}
     major, flags = data[at + 3], data[at + 5]
-    size = int.from_bytes(bytes(4), "big")
-    for b in data[at + 6 : at + 10]:
-        size = size << 7 | b
-    end, fields, i = min(len(data), at + 10 + size), {}, at + 10
-    wide = 3 if major == 2 else 4
-    while i + (6 if wide == 3 else 10) <= end and data[i : i + 1].isalnum():
-        name = data[i : i + wide].decode("latin-1")
-        raw = data[i + wide : i + 2 * wide]
-        n = 0
-        for b in raw:
-            n = n << (7 if major == 4 else 8) | b
-        i += 6 if wide == 3 else 10
-        if name[0] == "T" and n:
-            coding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(data[i], "latin-1")
-            fields[name] = data[i + 1 : min(i + n, end)].decode(coding, "replace").rstrip("\0")
-        i += n
+    end, fields, i = min(len(data), at + 10 + whole(data[at + 6 : at + 10], 7)), {}, 0
+    tag = data[at + 10 : end]
+    if flags & 0x80 and major < 4:
+        tag = tag.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and major > 2:
+        i = whole(tag[:4], 7) if major == 4 else 4 + whole(tag[:4], 8)
+    wide, head = (3, 6) if major == 2 else (4, 10)
+    while i + head <= len(tag) and tag[i : i + 1].isalnum():
+        name, n = tag[i : i + wide].decode("latin-1"), whole(tag[i + wide : i + 2 * wide], 7 if major == 4 else 8)
+        text = tag[i + head : i + head + n]
+        if major == 4 and tag[i + 9] & 1:
+            text = text[4:]  # the length before unsynchronisation
+        if major == 4 and tag[i + 9] & 2:
+            text = text.replace(b"\xff\0", b"\xff")
+        if name[0] == "T" and text:
+            coding = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(text[0], "latin-1")
+            fields[name] = text[1:].decode(coding, "replace").rstrip("\0")
+        i += head + n
     return end + (10 if flags & 16 and major == 4 else 0), fields
 
 
@@ -148,7 +162,11 @@ def vbr_table(data: bytes, at: int, h: Header) -> dict | None:
             if flags & bit:
                 out[name], i = int.from_bytes(data[i : i + 4], "big"), i + 4
         if flags & 4:
-            out["toc"] = list(data[i : i + 100])
+            out["toc"], i = list(data[i : i + 100]), i + 100
+        i += 4 * (flags >> 3 & 1)
+        if data[i : i + 4] in (b"LAME", b"Lavc", b"Lavf") and i + 24 <= at + h.length:  # the encoder's delay and padding, 12 bits each
+            both = int.from_bytes(data[i + 21 : i + 24], "big")
+            out["delay"], out["padding"] = both >> 12, both & 0xFFF
         return out
     i = at + 36
     if data[i : i + 4] == b"VBRI" and len(data) >= i + 26:
@@ -159,7 +177,7 @@ def vbr_table(data: bytes, at: int, h: Header) -> dict | None:
 
 
 def read_audio(data: bytes) -> dict:
-    """Features of MPEG audio bytes, with the bytes carried behind each frame's side information if this module wrote them.
+    """Features of MPEG audio bytes, with the bytes carried behind each frame's side information where that says that no audio follows.
 
     A header counts as a frame only if the next frame, a tag or the end follows it; else the search goes on one byte later.
     """
@@ -168,6 +186,8 @@ def read_audio(data: bytes) -> dict:
     if data[-128:-125] == b"TAG":
         end, tail = end - 128, "ID3v1"
     at, fields = id3v2(data, 0)
+    if tail and "TIT2" not in fields:
+        fields["TIT2"] = data[end + 3 : end + 33].split(b"\0")[0].decode("latin-1").rstrip()
     tags = [x for x in ("ID3v2" if at else "", tail) if x]
     skipped = bad = checked = bits = samples = 0
     vbr, shape, offsets, parts = None, None, [], []
@@ -182,9 +202,9 @@ def read_audio(data: bytes) -> dict:
             skipped, at = skipped + near - at, near
             continue
         body = at + 4 + 2 * h.protected + h.side
-        if h.protected and h.layer == 3:
+        if h.protected and h.guarded:
             checked += 1
-            bad += checksum(data[at + 2 : at + 4] + data[at + 6 : body]) != int.from_bytes(data[at + 4 : at + 6], "big")
+            bad += checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.guarded]) != int.from_bytes(data[at + 4 : at + 6], "big")
         table = None if offsets or vbr else vbr_table(data, at, h)
         shape = (h.version, h.layer, h.rate)
         if table:
@@ -192,14 +212,16 @@ def read_audio(data: bytes) -> dict:
         else:
             offsets.append(at)
             samples, bits = samples + h.samples, bits + h.length * 8
-            parts.append(data[body + 2 : body + 2 + int.from_bytes(data[body : body + 2], "big")])
+            if h.layer == 3 and not any(data[body - h.side : body]):  # no audio bits: what follows was put there by ``frame``
+                parts.append(data[body + 2 : body + 2 + int.from_bytes(data[body : body + 2], "big")])
         at = follows
     if at < end:
         skipped += end - at
     version, layer, rate = shape or (0, 0, 1)
+    heard = max(0, samples - (vbr or {}).get("delay", 0) - (vbr or {}).get("padding", 0))
     return {
         "version": {3: "1", 2: "2", 0: "2.5"}[version] if shape else "", "layer": layer, "sample_rate": rate if shape else 0,
-        "frames": len(offsets), "samples": samples, "duration_us": samples * 1_000_000 // rate, "mean_bitrate": bits * rate // samples if samples else 0,
+        "frames": len(offsets), "samples": samples, "duration_us": heard * 1_000_000 // rate, "mean_bitrate": bits * rate // samples if samples else 0,
         "tags": ",".join(tags), "title": fields.get("TIT2", ""), "vbr": vbr["kind"] if vbr else "", "vbr_frames": (vbr or {}).get("frames", 0),
         "vbr_bytes": (vbr or {}).get("bytes", 0), "checked": checked, "bad_checksums": bad, "skipped_bytes": skipped,
         "seek_offsets": offsets, "payload": b"".join(parts),

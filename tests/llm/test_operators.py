@@ -65,6 +65,32 @@ def test_media_round_trip_and_resync():
     assert media.read_audio(b"")["frames"] == media.read_audio(b"\xff" * 99)["frames"] == 0
 
 
+def test_tags_delays_and_layer_one():
+    body = media.encode_audio(b"p" * 300)
+    audio = body[media.id3v2(body, 0)[0] :]
+    text = b"\x03Name"
+    frame = b"TIT2" + media.syncsafe(len(text)) + b"\0\0" + text
+    extended = b"\0\0\0\x06\x01\0"
+    for tag in (b"ID3\x04\0\x40" + media.syncsafe(len(extended + frame)) + extended + frame, b"ID3\x03\0\x40" + media.syncsafe(10 + len(frame)) + b"\0\0\0\x06" + bytes(6) + frame):
+        assert media.read_audio(tag + audio)["title"] == "Name" and media.read_audio(tag + audio)["payload"] == b"p" * 300
+    loud = b"\x01\xff\xfea\0\xff\0\x01"  # utf-16 text with an unsynchronised byte pair
+    tag = b"TIT2" + len(loud).to_bytes(4, "big") + b"\0\0" + loud
+    assert media.read_audio(b"ID3\x03\0\x80" + media.syncsafe(len(tag)) + tag + audio)["title"].startswith("a")
+    assert media.read_audio(audio + (b"TAG" + b"Old title".ljust(30, b"\0")).ljust(128, b"\0"))["title"] == "Old title"
+    info = b"Info" + (1).to_bytes(4, "big") + (3).to_bytes(4, "big") + b"LAME3.100" + bytes(12) + (576 << 12 | 100).to_bytes(3, "big")
+    tagged = media.frame(b"", 9, info) + media.frame(b"x", 9) * 3
+    assert media.read_audio(tagged)["duration_us"] == (3 * 1152 - 676) * 1_000_000 // 32000
+    head = bytes((0xFF, 0xFE, 0x40, 0xC0))  # Layer I, 128 kbit/s, 44100 Hz, one channel, protected
+    size = media.Header.parse(head).length
+    one = head + media.crc16(head[2:] + bytes(16)).to_bytes(2, "big") + bytes(size - 6)
+    got = media.read_audio(one * 4)
+    assert (got["layer"], got["frames"], got["checked"], got["bad_checksums"], got["samples"], got["payload"]) == (1, 4, 4, 0, 1536, b"")
+    assert media.read_audio(one[:10] + b"\x01" + one[11:] + one)["bad_checksums"] == 1
+    noisy = bytearray(media.frame(b"payload", 9))
+    noisy[8] = 1  # side information that says audio follows
+    assert media.read_audio(bytes(noisy) * 2)["payload"] == b""
+
+
 def test_media_columns(spark, odd_docs):
     got = media.media_features(media.texts_to_media(odd_docs)).collect()
     texts = Counter((r.doc_id, r.text or "") for r in odd_docs.collect())
