@@ -120,7 +120,7 @@ def engagement_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupSta
     yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in ENGAGED.split(", ")])
 
 
-@query("stream_engagement", """WITH s AS (SELECT visitor_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, ts, event_id, epoch_ms(ts) AS ms, lag(epoch_ms(ts)) OVER w AS before, lag(state) OVER w AS was, bool_or(interacted) OVER w AS touched FROM visibility_events WINDOW w AS (PARTITION BY visitor_id, CAST(ts AS DATE) ORDER BY ts, event_id)),
+@query("stream_engagement", """WITH s AS (SELECT visitor_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, ts, event_id, epoch_us(ts) // 1000 AS ms, lag(epoch_us(ts) // 1000) OVER w AS before, lag(state) OVER w AS was, bool_or(interacted) OVER w AS touched FROM visibility_events WINDOW w AS (PARTITION BY visitor_id, CAST(ts AS DATE) ORDER BY ts, event_id)),
     r AS (SELECT *, coalesce(sum(CASE WHEN was = 'visible' THEN ms - before ELSE 0 END) OVER (PARTITION BY visitor_id, date ORDER BY ts, event_id), 0) AS visible FROM s)
     SELECT visitor_id, date, CAST(arg_min(visible, (ts, event_id)) AS BIGINT) AS engaged_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS reached_at FROM r WHERE touched AND visible >= 3000 GROUP BY 1, 2""", ("visibility_events",))
 def stream_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
