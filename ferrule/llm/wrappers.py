@@ -211,6 +211,8 @@ def fold(nodes: list) -> list:
     for size in range(1, PERIOD + 1):
         out, i = [], 0
         names = list(map(key, nodes))
+        if len(set(names)) == len(names) and not any(n[0] == "(" for n in names):
+            break
         while i < len(nodes):
             here = names[i : i + size]
             if len(here) == size and out and "+" in marks(out[-1]) and inner_keys(out[-1]) == here:
@@ -234,6 +236,8 @@ def optional(node: list) -> list:
 
 def align(a: list, b: list) -> list:
     """A wrapper that matches what a and b match. Nodes pair in order, a group with its single occurrence; what only one side has becomes optional."""
+    if len(a) == len(b) == 1 and key(a[0]) == key(b[0]):
+        return [join_nodes(a[0], b[0])]
     out, i, j = [], 0, 0
     a_keys, b_keys = list(map(key, a)), list(map(key, b))
     places: dict[str, list[int]] = {}
