@@ -96,7 +96,7 @@ def components(kept: Kept, edges: DataFrame) -> DataFrame:
         else:
             out = joined.where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
                 least.where("u != m").select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where("a != b").distinct()
+        return out.where("a != b") if large else out.where("a != b").distinct()
 
     mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     current = kept.put(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
