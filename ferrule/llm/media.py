@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
