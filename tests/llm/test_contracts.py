@@ -6,11 +6,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from ferrule.llm import jaccard, lines, media, mixing, packing, quality, secrets, tokens
+from ferrule.llm import jaccard, lines, media, mixing, packing, quality, registry, secrets, tokens
 from tests.llm.test_operators import WORD, brute_components, brute_quality, brute_targets, random_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -178,6 +179,16 @@ def test_an_empty_table_gives_no_rows(spark, no_rows, query):
     assert query(spark, no_rows).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.sql(registry.oracle_sql()[name])
+    got = registry.queries()[name](spark, sf).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_pipeline_run(spark, folder):
     """run() against the stages' brute-force versions, on a table with nulls, copies and a hot source."""
     rows = corpus_pipeline.run(spark, folder[0]).collect()

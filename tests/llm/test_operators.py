@@ -6,7 +6,6 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -422,14 +421,6 @@ def test_packing(spark, odd_docs):
     assert packing.pack(packing.pieces(empty(docs)), Kept(spark, "t")).count() == 0
 
 
-def test_chat_sql(spark):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
-    rel = con.sql(registry.oracle_sql()["op8_reply_chat"])
-    got = chat.op8_reply_chat(spark, SF).select(*rel.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall())
-
-
 def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
