@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, lines, media, mixing, packing, quality, secrets, tokens, wrappers
+from . import align, bpe, chat, infill, jaccard, lines, media, mixing, packing, quality, secrets, tokens, wrappers
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op7_page_text": wrappers.op7_page_text,
         "op9_line_dedup": lines.op9_line_dedup,
         "op10_best_fit_pack": packing.op10_best_fit_pack,
+        "op11_fill_in_middle": infill.op11_fill_in_middle,
+        "op12_token_alignment": align.op12_token_alignment,
+        "op13_forced_boundary_bpe": bpe.op13_forced_boundary_bpe,
     }
 
 
@@ -25,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality.OP4_SQL,
         "op6_ngram_jaccard": jaccard.OP6_SQL,
         "op8_reply_chat": chat.OP8_SQL,
+        "op11_fill_in_middle": infill.OP11_SQL,
     }
