@@ -88,7 +88,7 @@ class Aligner:
         whole, a = " " + text, self.encoder.ids(" " + text, special=False)
         b = self.pieces.ids(text)
         data = whole.encode()
-        if b"".join([self.pieces.bytes_of[i] for i in b]) != data or self.encoder.text(a.tolist()) != whole:
+        if b"".join([self.pieces.bytes_of[i] for i in b]) != data or self.encoder.text(a) != whole:
             return none, none
         return a, np.array(b, np.int32)
 

@@ -16,7 +16,6 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -137,16 +136,18 @@ class ForcedEncoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self._known = vocabulary, {}
+        self.spelled = [vocabulary.decoded.get(i, b"") for i in range(max(vocabulary.decoded) + 2)]  # the last one is empty
 
     def ids(self, text: str, special: bool = True) -> np.ndarray:
         if not special or not any(s in text for s in self.vocabulary.special):
-            return np.array(self._plain(text), np.int32)
+            return np.frombuffer(self._plain(text), np.int32)
         split = re.split("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")", text)
-        return np.array([i for k, part in enumerate(split) for i in ([self.vocabulary.special[part]] if k % 2 else self._plain(part))], np.int32)
+        return np.frombuffer(b"".join([np.int32(self.vocabulary.special[part]).tobytes() if k % 2 else self._plain(part) for k, part in enumerate(split)]), np.int32)
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special strings, four bytes each."""
         if not text:
-            return []
+            return b""
         data = text.encode()
         b = np.frombuffer(data, np.uint8)
         cut = self.vocabulary.narrow_cut if HAS_WIDE_SPACE.search(text) else self.vocabulary.cut
@@ -155,21 +156,22 @@ class ForcedEncoder:
         found = list(map(self._known.get, parts))
         if None in found:
             found = [self._fragment(p) if f is None else f for p, f in zip(parts, found)]
-        return list(chain.from_iterable(found))
+        return b"".join(found)
 
-    def _fragment(self, part: bytes) -> tuple[int, ...]:
+    def _fragment(self, part: bytes) -> bytes:
         ids = self._known.get(part)
         if ids is None:
-            ids = tuple(self.vocabulary.fragment(part))
+            ids = np.array(self.vocabulary.fragment(part), np.int32).tobytes()
             if len(part) <= FRAGMENT:
                 if len(self._known) >= REMEMBERED:
                     self._known.clear()
                 self._known[part] = ids
         return ids
 
-    def text(self, ids: list[int]) -> str:
-        get = self.vocabulary.decoded.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+    def text(self, ids: np.ndarray) -> str:
+        most, spelled = len(self.spelled) - 1, self.spelled
+        known = np.where((ids >= 0) & (ids < most), ids, most)
+        return b"".join([spelled[i] for i in known.tolist()]).decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, name: str = "byte_bpe_50k", folder: str | None = None, special: bool = True) -> DataFrame:
@@ -204,7 +206,9 @@ def decode(coded: DataFrame, name: str = "byte_bpe_50k", folder: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ForcedEncoder(Vocabulary(name, folder))
         for batch in batches:
-            texts = pa.array([encoder.text(x.as_py() or []) for x in batch.column(1)], pa.string())
+            lists = batch.column(1)
+            ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            texts = pa.array([encoder.text(ids[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], ["doc_id", "ids", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -91,9 +91,10 @@ def test_bpe_of_random_characters_and_ids(library):
     for _ in range(3000):
         text = "".join(rnd.choice(PARTS) if rnd.random() < 0.5 else chr(rnd.choice((rnd.randrange(0x20, 0x3000), rnd.randrange(0x3000, 0xD800), rnd.randrange(0xE000, 0x20000)))) for _ in range(rnd.randint(0, 30)))
         assert encoder.ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert encoder.text(np.array([50257, -1, 10**6, 64])) == "a"
     for _ in range(300):  # ids that are the encoding of nothing, with bytes that are no UTF-8
         ids = [rnd.randrange(50257) for _ in range(20)]
-        assert encoder.text(ids) == library.decode(ids, skip_special_tokens=False)
+        assert encoder.text(np.array(ids)) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_bpe_borders_and_long_runs(library):
