@@ -44,7 +44,8 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {n: b for b, n in ranks.items()}
         coding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._fast, self._piece = coding.encode_ordinary, coding.encode_single_piece if hasattr(coding, "encode_single_piece") else coding._encode_single_piece
+        self._fast = self.plain = coding.encode_ordinary  # special strings as plain text
+        self._piece = coding.encode_single_piece if hasattr(coding, "encode_single_piece") else coding._encode_single_piece
         self._full = None
 
     def ids(self, text: str) -> list[int]:
