@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ferrule.plans.registry import operator
 
 REMOVED = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-#: A tag: its slash, name and attributes. Quoted values may hold a >; a tag of very many quoted values ends at the first >.
-TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){0,400}+|[^>]*+)>"
+#: A tag: its slash, name and attributes. Quoted values may hold a >; a tag whose last quote stays open ends at the first >.
+TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
 ATTRIBUTE = r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?"
 #: Fixed values of HTML: elements whose text is that of others, so that only what stands before their first tag is their own.
 CONTAINERS = ("html", "head", "body", "main", "article", "section", "nav", "header", "footer", "aside", "div", "form", "fieldset", "table", "thead", "tbody", "tfoot", "tr", "ul", "ol", "dl", "select")
@@ -37,43 +37,66 @@ def decoded(text: Column) -> Column:
 def attributes(text: Column) -> Column:
     """Attributes as a map, in double, single or no quotes or without a value (empty); the first of equal names counts."""
     part = lambda k: F.regexp_extract_all(text, F.lit(ATTRIBUTE), F.lit(k))
-    names = F.transform(part(1), F.lower)
-    pairs = F.arrays_zip(names.alias("k"), part(2).alias("a"), part(3).alias("b"), part(4).alias("c"))
-    firsts = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
-    return F.map_from_entries(F.transform(firsts, lambda p: F.struct(p["k"], F.concat(p["a"], p["b"], p["c"]))))
+
+    def entries(found: Column) -> Column:
+        names, pairs = found["k"], F.arrays_zip(found["k"].alias("k"), found["a"].alias("a"), found["b"].alias("b"), found["c"].alias("c"))
+        firsts = F.when(F.size(F.array_distinct(names)) == F.size(names), pairs).otherwise(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
+        return F.transform(firsts, lambda p: F.struct(p["k"], F.concat(p["a"], p["b"], p["c"])))
+
+    # the lists are bound once as a lambda's variable, for else each attribute would search the tag again
+    found = F.struct(F.transform(part(1), F.lower).alias("k"), part(2).alias("a"), part(3).alias("b"), part(4).alias("c"))
+    return F.map_from_entries(F.get(F.transform(F.array(found), entries), 0))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """page_id, pos, close, tag, raw of every tag, and texts, the page's pieces of text: texts[pos] stands behind the tag.
+    """page_id, pos, close, tag, raw of every tag, and piece, the text between it and the next tag.
 
-    A piece behind a line break begins with ``BREAK``, behind other tags that are not inline with a space.
+    A piece behind a line break begins with ``BREAK``, behind other tags that are not inline with a space. A row holds its own piece alone.
     """
     h = F.col("h")
     part = lambda k: F.regexp_extract_all(h, F.lit(TAG), F.lit(k))
-    found = pages.select("page_id", bare(F.col("html")).alias("h")).select("page_id", F.split(h, TAG, -1).alias("texts"), F.arrays_zip(part(1).alias("slash"), F.transform(part(2), F.lower).alias("tag"), part(3).alias("raw")).alias("tags"))
-    before = lambda t: F.when(t["tag"] == "br", BREAK).when(t["tag"].isin(*INLINE), "").otherwise(" ")
-    found = found.withColumn("texts", F.zip_with(F.slice("texts", F.lit(2), F.size("texts")), "tags", lambda x, t: F.concat(before(t), x)))
-    each = found.select("page_id", "texts", F.posexplode("tags").alias("pos", "t"))
-    return each.select("page_id", "texts", "pos", (F.col("t.slash") == "/").alias("close"), F.col("t.tag").alias("tag"), F.col("t.raw").alias("raw"))
+    texts = F.split(h, TAG, -1)
+    found = pages.select("page_id", bare(F.col("html")).alias("h")).select("page_id", F.arrays_zip(part(1).alias("slash"), F.transform(part(2), F.lower).alias("tag"), part(3).alias("raw"), F.slice(texts, F.lit(2), F.size(texts)).alias("after")).alias("tags"))
+    tag = F.col("t.tag")
+    before = F.when(tag == "br", BREAK).when(tag.isin(*INLINE), "").otherwise(" ")
+    each = found.select("page_id", F.posexplode("tags").alias("pos", "t"))
+    return each.select("page_id", "pos", (F.col("t.slash") == "/").alias("close"), tag.alias("tag"), F.col("t.raw").alias("raw"), F.concat(before, F.col("t.after")).alias("piece"))
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """page_id, seq, tag, attrs map, text and marked (the text before its references are decoded, with line breaks) of every element.
+def spans(pages: DataFrame) -> DataFrame:
+    """Every tag with ``end``, the position of its end tag, or the position after its own where it owns no other text.
 
-    An element's text reaches to its own end tag, over what lies inside; that of containers and of elements without an end tag reaches to the next tag.
-    The end tag is found by depth: of equal names, an opening tag at depth d ends at the next tag that leaves d. One shuffle by page.
+    The end tag is found by depth: of equal names, an opening tag at depth d ends at the next tag that leaves d. All windows lie in one shuffle by page.
     """
     void = F.col("tag").isin(*VOID)
-    t = tokens(pages).where(~(void & F.col("close")))
+    t = tokens(pages).repartition("page_id")
     step = F.when(void, 0).when(F.col("close"), -1).otherwise(1)
     named = W.partitionBy("page_id", "tag").orderBy("pos")
     t = t.withColumn("after", F.sum(step).over(named.rowsBetween(W.unboundedPreceding, 0)))
     t = t.withColumn("depth", F.when(F.col("close"), F.col("after") + 1).otherwise(F.col("after")))
     level = W.partitionBy("page_id", "tag", "depth").orderBy("pos")
     end = F.when(F.lead("close").over(level), F.lead("pos").over(level))
-    t = t.withColumn("end", F.when(void | F.col("tag").isin(*CONTAINERS), None).otherwise(end)).where(~F.col("close"))
-    inside = F.array_join(F.slice("texts", F.col("pos") + 1, F.coalesce(F.col("end") - F.col("pos"), F.lit(1))), "")
-    kept = t.select("page_id", (F.row_number().over(W.partitionBy("page_id").orderBy("pos")) - 1).alias("seq"), "tag", "raw", inside.alias("marked"))
+    return t.withColumn("end", F.coalesce(F.when(~F.col("close") & ~void & ~F.col("tag").isin(*CONTAINERS), end), F.col("pos") + 1)).drop("after", "depth")
+
+
+def elements(pages: DataFrame) -> DataFrame:
+    """page_id, seq, tag, attrs map, text and marked (the text before its references are decoded, with line breaks) of every element.
+
+    An element's text reaches to its own end tag, over what lies inside; that of containers and of elements without an end tag reaches to the next tag.
+    A page's tags meet in one row, in order, and each element slices its own pieces out of it, so memory is that of the page and of its elements' texts.
+    """
+    page = F.array_sort(F.collect_list(F.struct("pos", "end", "close", "tag", "raw", "piece")))
+
+    def inside(all_tags: Column, t: Column) -> Column:
+        pieces = F.slice(all_tags, t["pos"] + 1, t["end"] - t["pos"])
+        return F.when(t["end"] == t["pos"] + 1, t["piece"]).otherwise(F.array_join(F.transform(pieces, lambda x: x["piece"]), ""))
+
+    def opened(all_tags: Column) -> Column:
+        return F.transform(F.filter(all_tags, lambda t: ~t["close"]), lambda t, n: F.struct(n.alias("seq"), t["tag"].alias("tag"), t["raw"].alias("raw"), inside(all_tags, t).alias("marked")))
+
+    # the sorted page is bound once as a lambda's variable, for else each element would sort it again
+    bound = F.get(F.transform(F.array(page), opened), 0)
+    kept = spans(pages).groupBy("page_id").agg(bound.alias("e")).select("page_id", F.inline("e"))
     return kept.select("page_id", "seq", "tag", attributes(F.col("raw")).alias("attrs"), decoded(F.replace("marked", F.lit(BREAK), F.lit(" "))).alias("text"), "marked")
 
 
