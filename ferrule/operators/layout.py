@@ -11,6 +11,7 @@ from ferrule.plans.registry import operator
 from ferrule.sources.shared import written
 
 DEPTH = 4  # levels that a container may lie below the root
+BITS = 1024  # bits that a fold gathers before it puts them aside
 
 
 @operator("link_text_under_rect", ["annotations", "text_items"], """SELECT doc_id, page, annot_id, visible_text, trim(visible_text) = '' OR lower(trim(visible_text)) IN ('click here','here','read more','more','learn more','link','this link','download','see more','details','continue') AS is_bad FROM (
@@ -184,26 +185,45 @@ def background_images(marks: DataFrame) -> DataFrame:
 _BOXED_SQL = """sub AS (SELECT doc_id, node_id AS elem_id, node_id AS under FROM nodes UNION ALL SELECT s.doc_id, s.elem_id, c.node_id FROM sub s JOIN nodes c ON c.doc_id = s.doc_id AND c.parent_id = s.under)"""
 
 
-def ancestors(nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """(doc_id, node_id, elem_id, far): each node with itself and every ancestor, or those up to a distance. One join a level, until none is left."""
-    up = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("parent_id").alias("above"))
-    level = nodes.select("doc_id", "node_id", F.col("node_id").alias("elem_id"), F.lit(0).alias("far"))
-    out, seen = level, 0
-    while depth is None or seen < depth:
-        seen += 1
-        level = written(level.join(up, (F.col("doc_id") == F.col("d")) & (F.col("elem_id") == F.col("n"))).where("above is not null").select("doc_id", "node_id", F.col("above").alias("elem_id"), F.lit(seen).alias("far")))
-        if level.isEmpty():
+def under(nodes: DataFrame, own: DataFrame, merges: dict) -> DataFrame:
+    """(doc_id, node_id) and each column of ``merges`` over the node and all below it; ``own`` has the nodes' own values, one row a node.
+
+    ``merges`` names an aggregate for each column that may meet a value twice, as min and max. Each node holds the merged values of what lies less than
+    2^k below it and points to its ancestor 2^k above; a round hands values to that ancestor and doubles the pointer, so that rows stay those of
+    the nodes and rounds the logarithm of the depth. Cycles end after as many steps as a document has nodes: each node on one has all of it below.
+    Rows that repeat a node count as one, with the smaller parent; parents that are no nodes are none.
+    """
+    once = nodes.where("doc_id is not null and node_id is not null").groupBy("doc_id", "node_id").agg(F.min("parent_id").alias("at"))
+    most = once.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    now = written(once.join(own.select("doc_id", "node_id", *merges), ["doc_id", "node_id"], "left"))
+    for _ in range(most.bit_length()):
+        if now.where("at is not null").isEmpty():
             break
+        above = now.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("at").alias("next"))
+        pairs = now.join(above, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("n")), "left")
+        both = F.array(F.struct(F.col("node_id").alias("node_id"), F.col("next").alias("at")), F.struct(F.col("n").alias("node_id"), F.lit(None).cast(now.schema["at"].dataType).alias("at")))
+        handed = pairs.select("doc_id", F.explode(F.filter(both, lambda x: x["node_id"].isNotNull())).alias("x"), *merges)
+        now = written(handed.groupBy("doc_id", F.col("x.node_id").alias("node_id")).agg(F.max("x.at").alias("at"), *[f(c).alias(c) for c, f in merges.items()]))
+    return now.drop("at")
+
+
+def shallow_nodes(nodes: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, node_id) of the nodes at most ``depth`` levels below a root, walked down from the roots."""
+    child = nodes.select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("below"))
+    level = nodes.where("parent_id is null").select("doc_id", "node_id")
+    out = level
+    for _ in range(depth):
+        level = child.join(level, ["doc_id", "node_id"]).select("doc_id", F.col("below").alias("node_id"))
         out = out.unionByName(level)
-    return out
+    return out.distinct()
 
 
 @operator("element_bbox", ["nodes", "node_boxes"], f"""WITH RECURSIVE {_BOXED_SQL} SELECT s.doc_id, s.elem_id, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM sub s JOIN node_boxes b ON b.doc_id = s.doc_id AND b.node_id = s.under WHERE x0 IS NOT NULL GROUP BY 1, 2""")
 def element_bbox(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     """The union of the boxes of all content under each element, itself included. Boxes are joined into one a node before they climb."""
-    union = lambda g: g.agg(*[F.round(f(c), 4).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
-    own = union(boxes.where("x0 is not null").groupBy("doc_id", "node_id"))
-    return union(ancestors(nodes).join(own, ["doc_id", "node_id"]).groupBy("doc_id", "elem_id"))
+    union = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+    own = boxes.where("x0 is not null").groupBy("doc_id", "node_id").agg(*[f(c).alias(c) for c, f in union.items()])
+    return under(nodes, own, union).where("x0 is not null").select("doc_id", F.col("node_id").alias("elem_id"), *[F.round(c, 4).alias(c) for c in union])
 
 
 @operator("content_container", ["nodes", "node_boxes"], f"""WITH RECURSIVE {_BOXED_SQL}, lev AS (SELECT doc_id, node_id, 0 AS depth FROM nodes WHERE parent_id IS NULL UNION ALL SELECT l.doc_id, c.node_id, depth + 1 FROM lev l JOIN nodes c ON c.doc_id = l.doc_id AND c.parent_id = l.node_id),
@@ -213,12 +233,10 @@ def element_bbox(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     SELECT d.doc_id, coalesce(b.node_id, d.root) AS node_id, coalesce(b.n, 0) AS resolvable_children FROM (SELECT doc_id, min(node_id) AS root FROM nodes WHERE parent_id IS NULL GROUP BY 1) d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1""")
 def content_container(nodes: DataFrame, boxes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The node, at most ``depth`` levels below the root, with the most children that hold content with a box; two at least, else the root."""
-    above = ancestors(nodes)
-    boxed = boxes.where("x0 is not null").select("doc_id", "node_id").distinct()
-    holding = above.join(boxed, ["doc_id", "node_id"]).select("doc_id", F.col("elem_id").alias("node_id")).distinct()
-    levels = above.groupBy("doc_id", F.col("node_id").alias("k")).agg(F.max("far").alias("level"))
+    boxed = boxes.where("x0 is not null").select("doc_id", "node_id").distinct().withColumn("holds", F.lit(True))
+    holding = under(nodes, boxed, {"holds": F.max}).where("holds").select("doc_id", "node_id")
     kids = nodes.where("parent_id is not null").join(holding, ["doc_id", "node_id"]).groupBy("doc_id", F.col("parent_id").alias("k")).agg(F.count("*").alias("n")).where("n >= 2")
-    shallow = kids.join(levels, ["doc_id", "k"]).where(F.col("level") <= depth)
+    shallow = kids.join(shallow_nodes(nodes, depth).withColumnRenamed("node_id", "k"), ["doc_id", "k"])
     best = shallow.groupBy("doc_id").agg(F.max_by(F.struct("k", "n"), F.struct("n", -F.col("k"))).alias("b"))
     roots = nodes.where("parent_id is null").groupBy("doc_id").agg(F.min("node_id").alias("root"))
     return roots.join(best, "doc_id", "left").select("doc_id", F.coalesce("b.k", "root").alias("node_id"), F.coalesce("b.n", F.lit(0)).alias("resolvable_children"))
@@ -236,19 +254,26 @@ def block_order(blocks: DataFrame) -> DataFrame:
 
 @operator("reading_order", ["boxes"])
 def reading_order(boxes: DataFrame, overlap: float = 0.35) -> DataFrame:
-    """Visual order of a page's elements. A row's band shrinks to what its members share, so rows fold one after another."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("y1")).alias("top"), F.col("elem_id").alias("id"), "x0", "y0", "y1")))
-    pages = boxes.groupBy("doc_id", "page").agg(F.filter(order, lambda b: b["y1"].isNotNull()).alias("boxed"), F.array_sort(F.collect_list(F.when(F.col("y1").isNull(), F.col("elem_id")))).alias("loose"))
-    kind = "struct<row:int,low:double,high:double,out:array<struct<row:int,x0:double,nth:int,id:int>>>"
-    start = F.struct(F.lit(0).alias("row"), F.lit(1.0).alias("low"), F.lit(0.0).alias("high"), F.array().alias("out")).cast(kind)
+    """Visual order of a page's elements, those without a box last. A row's band shrinks to what its members share, so boxes fold one after another.
+
+    The fold carries the band alone and writes a bit per box, whether a row starts there; rows and places in them are windows over the bits.
+    """
+    boxed = F.array_sort(F.collect_list(F.struct((-F.col("y1")).alias("top"), F.col("elem_id").alias("id"), "x0", "y0", "y1")))
+    pages = boxes.where("y1 is not null").groupBy("doc_id", "page").agg(boxed.alias("boxed"))
+    kind = "struct<open:boolean,low:double,high:double,bits:string,full:array<string>>"
+    start = F.struct(F.lit(False).alias("open"), F.lit(1.0).alias("low"), F.lit(0.0).alias("high"), F.lit("").alias("bits"), F.array().alias("full")).cast(kind)
 
     def step(s, b):
         shared = F.least(s["high"], b["y1"]) - F.greatest(s["low"], b["y0"])
-        same = (s["row"] > 0) & (shared >= overlap * F.greatest(b["y1"] - b["y0"], F.lit(1.0))) & (shared > 0)
-        row = F.when(same, s["row"]).otherwise(s["row"] + 1)
-        member = F.struct(row.alias("row"), b["x0"].alias("x0"), F.size(s["out"]).alias("nth"), b["id"].alias("id"))
-        return F.struct(row.alias("row"), F.when(same, F.greatest(s["low"], b["y0"])).otherwise(b["y0"]).alias("low"), F.when(same, F.least(s["high"], b["y1"])).otherwise(b["y1"]).alias("high"),
-                        F.concat(s["out"], F.array(member)).alias("out")).cast(kind)
-
-    placed = F.aggregate("boxed", start, step, lambda s: F.transform(F.array_sort(s["out"]), lambda m: m["id"]))
-    return pages.select("doc_id", "page", F.posexplode(F.concat(placed, "loose")).alias("order", "elem_id"))
+        same = F.coalesce(s["open"] & (shared >= overlap * F.greatest(b["y1"] - b["y0"], F.lit(1.0))) & (shared > 0), F.lit(False))
+        bits, whole = F.concat(s["bits"], F.when(same, "0").otherwise("1")), F.length(s["bits"]) >= BITS - 1
+        return F.struct(F.lit(True).alias("open"), F.when(same, F.greatest(s["low"], b["y0"])).otherwise(b["y0"]).alias("low"), F.when(same, F.least(s["high"], b["y1"])).otherwise(b["y1"]).alias("high"),
+                        F.when(whole, "").otherwise(bits).alias("bits"), F.when(whole, F.concat(s["full"], F.array(bits))).otherwise(s["full"]).alias("full")).cast(kind)
+
+    starts = F.aggregate("boxed", start, step, lambda s: F.split(F.concat(F.array_join(s["full"], ""), s["bits"]), ""))
+    each = pages.select("doc_id", "page", F.posexplode(F.arrays_zip(F.col("boxed").alias("b"), starts.alias("s"))).alias("nth", "x")).where("x.b is not null")
+    rows = F.sum(F.col("x.s").cast("int")).over(W.partitionBy("doc_id", "page").orderBy("nth"))
+    placed = each.select("doc_id", "page", F.col("x.b.id").alias("elem_id"), rows.alias("row"), F.col("x.b.x0").alias("x0"), "nth", F.lit(False).alias("loose"))
+    loose = boxes.where("y1 is null").select("doc_id", "page", "elem_id", F.lit(True).alias("loose"))
+    order = F.row_number().over(W.partitionBy("doc_id", "page").orderBy("loose", "row", "x0", "nth", "elem_id")) - 1
+    return placed.unionByName(loose, allowMissingColumns=True).select("doc_id", "page", order.alias("order"), "elem_id")
