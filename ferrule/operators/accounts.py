@@ -21,12 +21,6 @@ def next_reset(base: Column, day: Column) -> Column:
     return F.make_timestamp(F.year(month), F.month(month), F.least(day, F.dayofmonth(F.last_day(month))), F.lit(8), F.lit(0), F.lit(0))
 
 
-def reset_after(at: Column, day: Column) -> Column:
-    """The first reset after a time, however many months have passed."""
-    this = F.make_timestamp(F.year(at), F.month(at), F.least(day, F.dayofmonth(F.last_day(at))), F.lit(8), F.lit(0), F.lit(0))
-    return F.when(this > at, this).otherwise(next_reset(at, day))
-
-
 def shown(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
 
@@ -163,53 +157,6 @@ def billing_owner(orgs: DataFrame, members: DataFrame, users: DataFrame) -> Data
     return best.select("org_id", "owner_id", (F.col("owner_id") != F.col("billing_owner_id")).alias("reassigned"))
 
 
-LEDGER_STATE = "struct<used:long,purchased:long,reset:timestamp,limit:long,out:array<struct<seq:long,used:long,purchased:long,remaining:long,reset_at:timestamp,allowed:boolean>>>"
-
-
-def ledger_step(s: Column, e: Column, day: Column, restricted: Column, catch_up: bool) -> Column:
-    """A user's state after an event. A read moves a passed reset date by one month (catch_up: past the event, however many months)."""
-    def read(st: Column) -> Column:
-        due = e["ts"] >= st["reset"]
-        return F.struct(F.when(due, F.lit(0).cast("long")).otherwise(st["used"]).alias("used"), st["purchased"].alias("purchased"), F.when(due, reset_after(e["ts"], day) if catch_up else next_reset(st["reset"], day)).otherwise(st["reset"]).alias("reset"))
-
-    limit = F.when(e["kind"] == "plan", e["amount"].cast("long")).otherwise(s["limit"])
-
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
-
-    def apply(st: Column, allowed: Column) -> Column:
-        amount = e["amount"].cast("long")
-        monthly = F.least(F.greatest(F.lit(0).cast("long"), limit - st["used"]), amount)
-        back = F.least(st["used"], amount)
-        used = F.when(e["kind"] == "deduct", st["used"] + monthly).when(e["kind"] == "refund", st["used"] - back).otherwise(st["used"])
-        bought = F.when(e["kind"] == "deduct", F.greatest(F.lit(0).cast("long"), st["purchased"] - (amount - monthly))).when(e["kind"] == "refund", st["purchased"] + amount - back).when(e["kind"] == "purchase", st["purchased"] + amount).otherwise(st["purchased"])
-        row = lambda u, p: F.struct(e["seq"].alias("seq"), u.alias("used"), p.alias("purchased"), (F.greatest(F.lit(0).cast("long"), limit - u) + p).alias("remaining"), st["reset"].alias("reset_at"), allowed.alias("allowed"))
-        return F.struct(used.alias("used"), bought.alias("purchased"), st["reset"].alias("reset"), limit.alias("limit"), F.concat(s["out"], F.array(row(used, bought))).alias("out")).cast(LEDGER_STATE)
-
-    start = F.struct(s["used"].alias("used"), s["purchased"].alias("purchased"), s["reset"].alias("reset"))
-    if catch_up:
-        return let(let(start, read), lambda st: apply(st, ~restricted & (limit - st["used"] + st["purchased"] > 0)))
-    # A job reads the balance before it starts and again when it deducts.
-    return let(let(start, read), lambda first: let(F.when(e["kind"] == "deduct", read(first)).otherwise(first), lambda st: apply(st, ~restricted & (limit - first["used"] + first["purchased"] > 0))))
-
-
-@operator("credit_ledger", ["ledger_events", "users", "orgs"])
-def credit_ledger(events: DataFrame, users: DataFrame, orgs: DataFrame | None = None, catch_up: bool = False) -> DataFrame:
-    """Each user's balance after each event: jobs, refunds, purchases, and plan changes, whose amount is the new monthly limit. Members of a team
-    whose payment has failed are allowed nothing. A user's events fold in order inside one row; heavy users belong in the streaming version."""
-    order = F.array_sort(F.collect_list(F.struct("ts", "seq", "kind", "amount")))
-    per_user = events.groupBy("user_id").agg(order.alias("events"), F.min("ts").alias("signup"))
-    plans = users.select(F.col("id").alias("user_id"), limit_of(F.col("plan"), F.col("seats")).alias("limit"), F.dayofmonth("created_at").alias("day"), *([F.col("org_id"), F.col("plan")] if orgs is not None else []))
-    if orgs is None:
-        plans = plans.withColumn("restricted", F.lit(False))
-    else:
-        plans = plans.join(orgs.select("org_id", "billing_restricted"), "org_id", "left").withColumn("restricted", F.coalesce((F.col("plan") == "team") & F.col("billing_restricted"), F.lit(False)))
-    joined = per_user.join(plans, "user_id")
-    zero = F.struct(F.lit(0).alias("used"), F.lit(0).alias("purchased"), next_reset(F.col("signup"), F.col("day")).alias("reset"), F.col("limit").alias("limit"), F.array().alias("out")).cast(LEDGER_STATE)
-    out = F.aggregate("events", zero, lambda s, e: ledger_step(s, e, F.col("day"), F.col("restricted"), catch_up), lambda s: s["out"])
-    return joined.select("user_id", F.inline(out)).withColumn("reset_at", shown(F.col("reset_at")))
-
-
 @operator("posts_by_category", ["posts"], "SELECT slug, category, CAST(published_at AS VARCHAR) AS published, featured AS is_featured FROM posts WHERE category = 'en'")
 def posts_by_category(posts: DataFrame, category: str | None = "en") -> DataFrame:
     picked = posts if category is None else posts.where(F.col("category") == category)

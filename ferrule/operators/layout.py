@@ -268,7 +268,7 @@ def reading_order(boxes: DataFrame, overlap: float = 0.35) -> DataFrame:
         same = F.coalesce(s["open"] & (shared >= overlap * F.greatest(b["y1"] - b["y0"], F.lit(1.0))) & (shared > 0), F.lit(False))
         bits, whole = F.concat(s["bits"], F.when(same, "0").otherwise("1")), F.length(s["bits"]) >= BITS - 1
         return F.struct(F.lit(True).alias("open"), F.when(same, F.greatest(s["low"], b["y0"])).otherwise(b["y0"]).alias("low"), F.when(same, F.least(s["high"], b["y1"])).otherwise(b["y1"]).alias("high"),
-                        F.when(whole, "").otherwise(bits).alias("bits"), F.when(whole, F.concat(s["full"], F.array(bits))).otherwise(s["full"]).alias("full")).cast(kind)
+                        F.when(whole, "").otherwise(bits).alias("bits"), F.when(whole, F.concat(s["full"], F.array(bits))).otherwise(s["full"]).alias("full"))
 
     starts = F.aggregate("boxed", start, step, lambda s: F.split(F.concat(F.array_join(s["full"], ""), s["bits"]), ""))
     each = pages.select("doc_id", "page", F.posexplode(F.arrays_zip(F.col("boxed").alias("b"), starts.alias("s"))).alias("nth", "x")).where("x.b is not null")

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import accounts, html, layout, rules
+from ferrule.operators import html, layout, ledger, rules
 
 FEATURES = dict(n_langs=1, n_headings=1, heading_skips=0, first_level=1, words=9, paragraphs=1, images=0, missing_alt=0, weak_alt=0, links=0, bad_links=0, tables=0, unheaded_tables=0, manual_markers=0)
 
@@ -72,4 +72,4 @@ def test_boxes_under_an_element_and_the_container(spark):
 def test_a_reset_after_thirty_months(spark, catch_up, reset):
     events = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 1), "deduct", 9), ("a", 2, dt.datetime(2026, 7, 15), "purchase", 0)], "user_id string, seq long, ts timestamp, kind string, amount int")
     users = spark.createDataFrame([("a", "individual", 0, dt.datetime(2024, 1, 1))], "id string, plan string, seats int, created_at timestamp")
-    assert {r.seq: r.reset_at for r in accounts.credit_ledger(events, users, catch_up=catch_up).collect()}[2] == reset
+    assert {r.seq: r.reset_at for r in ledger.credit_ledger(events, users, catch_up=catch_up).collect()}[2] == reset

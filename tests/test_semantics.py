@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
-from ferrule.operators import accounts, analytics, content, ingest, layout, sequences
+from ferrule.operators import accounts, analytics, content, ingest, layout, ledger, sequences
 from ferrule.plans.rules import score
 from ferrule.sources import ooxml
 
@@ -38,11 +38,11 @@ def test_ledger_pools_and_stale_reset(spark):
     events = [("a", 1, day(0), "deduct", 128), ("a", 2, day(0), "purchase", 5), ("a", 3, day(1), "deduct", 4), ("b", 1, day(0), "deduct", 1), ("b", 2, day(1), "refund", 4), ("c", 1, day(0), "deduct", 9), ("c", 2, day(100), "purchase", 0)]
     e = spark.createDataFrame(events, "user_id string, seq long, ts timestamp, kind string, amount int")
     u = spark.createDataFrame([(x, "individual", 0, day(0)) for x in "abc"], "id string, plan string, seats int, created_at timestamp")
-    got = {(r.user_id, r.seq): r for r in accounts.credit_ledger(e, u).collect()}
+    got = {(r.user_id, r.seq): r for r in ledger.credit_ledger(e, u).collect()}
     assert (got["a", 3].used, got["a", 3].purchased, got["a", 3].remaining) == (130, 3, 3)
     assert (got["b", 2].used, got["b", 2].purchased) == (0, 3)
     assert (got["c", 2].used, got["c", 2].reset_at) == (0, "2024-03-01 08:00:00")
-    caught = {(r.user_id, r.seq): r for r in accounts.credit_ledger(e, u, catch_up=True).collect()}
+    caught = {(r.user_id, r.seq): r for r in ledger.credit_ledger(e, u, catch_up=True).collect()}
     assert caught["c", 2].reset_at == "2024-05-01 08:00:00"
 
 
