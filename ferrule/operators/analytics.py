@@ -84,6 +84,26 @@ def visitor_summary(visits: DataFrame, as_of=None) -> DataFrame:
     return counted.join(F.broadcast(base), "period", "full").select("period", F.coalesce("visitors", F.lit(0)).alias("visitors"))
 
 
+def visitor_sketches(visits: DataFrame, lg_k: int = 14) -> DataFrame:
+    """date (Los Angeles) and a mergeable sketch of its visitors, 2^lg_k registers at most: kept a day, it need not be counted again."""
+    day = F.to_date(F.from_utc_timestamp("ts", "America/Los_Angeles"))
+    return visits.groupBy(day.alias("date")).agg(F.hll_sketch_agg("visitor_id", lg_k).alias("sketch"))
+
+
+@operator("visitor_summary_approx", ["visits_raw"])
+def visitor_summary_approx(visits: DataFrame, days: int = 7, as_of=None) -> DataFrame:
+    """About how many distinct visitors each of the last days and all of them together had, from one sketch a day."""
+    return visitor_estimates(visitor_sketches(visits), days, as_of)
+
+
+def visitor_estimates(sketches: DataFrame, days: int = 7, as_of=None) -> DataFrame:
+    """period (a date, or the number of days to ``as_of``, by default the newest) and visitors, by merging the days' sketches."""
+    newest = F.lit(as_of).cast("date") if as_of else F.lit(sketches.agg(F.max("date")).first()[0]).cast("date")
+    recent = sketches.where((F.col("date") <= newest) & (F.col("date") > F.date_sub(newest, days)))
+    each = recent.select(F.explode(F.array(F.col("date").cast("string"), F.lit(f"{days}d"))).alias("period"), "sketch")
+    return each.groupBy("period").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("visitors"))
+
+
 @operator("subscriber_summary", ["users"], """SELECT count(*) FILTER (WHERE subscribed AND plan = 'individual') AS individual, count(*) FILTER (WHERE plan = 'team' AND org_id IS NOT NULL AND NOT (subscribed AND plan = 'individual')) AS team_seats,
     count(DISTINCT CASE WHEN plan = 'team' THEN org_id END) AS team_orgs, count(*) AS users, count(*) FILTER (WHERE created_at >= (SELECT max(created_at) FROM users) - INTERVAL 7 DAY) AS signups_7d,
     count(*) FILTER (WHERE created_at >= (SELECT max(created_at) FROM users) - INTERVAL 30 DAY) AS signups_30d,

@@ -11,6 +11,7 @@ from ferrule.plans.registry import operator
 from ferrule.sources.shared import written
 
 DEPTH = 4  # levels that a container may lie below the root
+CELL = 36  # points of the smallest cell of a page's grid
 BITS = 1024  # bits that a fold gathers before it puts them aside
 
 
@@ -18,10 +19,25 @@ BITS = 1024  # bits that a fold gathers before it puts them aside
     SELECT a.doc_id, a.page, a.annot_id, CASE WHEN count(t.str) > 0 THEN string_agg(t.str, ' ' ORDER BY t.x, t.seq) ELSE coalesce(max(a.alt), '') END AS visible_text
     FROM annotations a LEFT JOIN text_items t ON t.doc_id = a.doc_id AND t.page = a.page AND t.x >= a.x1 - 3 AND t.x + t.w <= a.x2 + 4 AND t.y >= a.y1 - 3 AND t.y + t.h <= a.y2 + 3 WHERE a.subtype = 'Link' GROUP BY 1, 2, 3)""")
 def link_text_under_rect(annotations: DataFrame, items: DataFrame) -> DataFrame:
-    """The text inside each link's rectangle, left to right; the alternative text where there is none. Keys stay equi, the range is residual."""
-    t = items.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), "seq", "str", "x", "y", "w", "h")
+    """The text inside each link's rectangle, left to right; the alternative text where there is none.
+
+    A page is a grid: an item lies in the cell of its corner, a link in the few cells that its rectangle reaches, and they meet by cell. A link's
+    cells are as large as it needs (36 points times a power of two), so that it reaches nine on a side at most; items lie in the grids of their page's links.
+    """
+    key, cell = ["doc_id", "page"], ["doc_id", "page", "level", "cx", "cy"]
+    low, high = {"x": F.col("x1") - 3, "y": F.col("y1") - 3}, {"x": F.col("x2") + 4, "y": F.col("y2") + 3}
+    span = F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(1.0))
+    size = F.lit(float(CELL)) * F.pow(F.lit(2.0), F.col("level"))
+    links = annotations.where("subtype = 'Link'").withColumn("level", F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(span / (8 * CELL))).cast("int"), F.lit(0))))
+    reached = lambda c: F.sequence(F.floor(low[c] / size), F.greatest(F.floor(low[c] / size), F.floor(high[c] / size)))
+    spread = links.withColumn("cx", F.explode_outer(reached("x"))).withColumn("cy", F.explode_outer(reached("y"))).select(*cell, "annot_id", "alt", "x1", "y1", "x2", "y2")
+    grids = links.groupBy(*key).agg(F.collect_set("level").alias("levels"))
+    t = items.select(*key, "seq", "str", "x", "y", "w", "h").join(grids, key).withColumn("level", F.explode("levels")).drop("levels")
+    t = t.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
     inside = (F.col("x") >= F.col("x1") - 3) & (F.col("x") + F.col("w") <= F.col("x2") + 4) & (F.col("y") >= F.col("y1") - 3) & (F.col("y") + F.col("h") <= F.col("y2") + 3)
-    joined = annotations.where("subtype = 'Link'").join(t, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & inside, "left")
+    held = t.select(*[F.col(c).alias(f"{c}_") for c in cell], "seq", "str", "x", "y", "w", "h")
+    same = (F.col("doc_id") == F.col("doc_id_")) & (F.col("page") == F.col("page_")) & (F.col("level") == F.col("level_")) & (F.col("cx") == F.col("cx_")) & (F.col("cy") == F.col("cy_"))
+    joined = spread.join(held, same & inside, "left")
     words = F.array_sort(F.collect_list(F.when(F.col("str").isNotNull(), F.struct("x", "seq", "str"))))
     seen = joined.groupBy("doc_id", "page", "annot_id").agg(words.alias("w"), F.max("alt").alias("alt"))
     visible = F.when(F.size("w") > 0, F.array_join(F.transform("w", lambda x: x["str"]), " ")).otherwise(F.coalesce("alt", F.lit("")))

@@ -77,3 +77,31 @@ def test_reading_order_of_a_hundred_thousand_boxes(spark):
     assert time.time() - start < 90
     for p, bs in boxes.items():
         assert got[p] == list(enumerate(loop_order(bs)))
+
+
+ANNOTATIONS = "doc_id long, page int, annot_id long, subtype string, alt string, x1 double, y1 double, x2 double, y2 double"
+ITEMS = "doc_id long, page int, seq int, str string, x double, y double, w double, h double"
+
+
+def test_links_over_grids_equal_all_pairs(spark):
+    rnd = random.Random(12)
+    links = [(1, p, i, rnd.choice(["Link", "Link", "Widget"]), rnd.choice([None, "alt"]), x, y, x + rnd.choice([0, 5, 80, 900, 40_000]), y + rnd.choice([-9, 0, 12, 300])) for p in range(3) for i in range(40) for x, y in [(rnd.uniform(-50, 600), rnd.uniform(-50, 800))]]
+    links += [(1, 0, 90, "Link", "no place", None, None, None, None), (2, 0, 1, "Link", None, 0.0, 0.0, 9.0, 9.0)]
+    items = [(1, p, i, f"w{i}", float(rnd.randint(-60, 700)), float(rnd.randint(-60, 900)), float(rnd.randint(0, 40)), float(rnd.randint(1, 12))) for p in range(4) for i in range(250)]
+    want = {}
+    for d, p, i, kind, alt, x1, y1, x2, y2 in links:
+        if kind == "Link":
+            seen = sorted((x, n, t) for dd, pp, n, t, x, y, w, h in items if x1 is not None and (dd, pp) == (d, p) and x >= x1 - 3 and x + w <= x2 + 4 and y >= y1 - 3 and y + h <= y2 + 3)
+            want[d, p, i] = " ".join(t for _, _, t in seen) if seen else alt or ""
+    got = layout.link_text_under_rect(spark.createDataFrame(links, ANNOTATIONS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.page, r.annot_id): r.visible_text for r in got} == want and len(got) == len(want)
+
+
+def test_a_page_of_ten_thousand_links_and_a_hundred_thousand_items(spark):
+    """Their product is a billion pairs; by cell a link meets the items about it."""
+    place = lambda k, n: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("double")
+    items = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("int").alias("seq"), F.lit("w").alias("str"), place(1, 20_000).alias("x"), place(2, 20_000).alias("y"), F.lit(8.0).alias("w"), F.lit(8.0).alias("h"))
+    links = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), F.col("id").alias("annot_id"), F.lit("Link").alias("subtype"), F.lit("").alias("alt"), place(3, 20_000).alias("x1"), place(4, 20_000).alias("y1")).withColumns({"x2": F.col("x1") + 120, "y2": F.col("y1") + 60})
+    start = time.time()
+    assert layout.link_text_under_rect(links, items).count() == 10_000
+    assert time.time() - start < 60
