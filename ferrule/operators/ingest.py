@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -112,15 +113,32 @@ def audit_texts(documents: DataFrame, limit: int = 14_000) -> DataFrame:
 
 @query("snapshot_export")
 def snapshot_export(spark: SparkSession, sf_dir: str, path: str | None = None, date: str = "2024-01-31") -> DataFrame:
-    """A dated copy of the tables under a path; table and row count of each. Without a path it goes to the shared folder."""
+    """A dated copy of the tables under a path; table and row count of each. Without a path it goes to the shared folder.
+
+    Tables are written to a folder of this run; a manifest that names the folder and the counts comes last, so that a run that ends half-way leaves
+    no snapshot and a second one of a date replaces the first as a whole. ``read_snapshot`` reads what manifests name alone.
+    """
     path = path or shared_dir(spark)
-    counts = None
+    folder, counts = f"{path}/snapshot-data/{date}-{uuid.uuid4().hex}", None
     for name in TABLES:
-        target = f"{path}/snapshot/{date}/{name}"
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.mode("overwrite").parquet(target)
+        target = f"{folder}/{name}"
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(target)
         n = spark.read.parquet(target).agg(F.lit(name).alias("table"), F.count("*").alias("rows"))
         counts = n if counts is None else counts.unionByName(n)
-    return counts
+    manifest = counts.withColumn("folder", F.lit(folder)).withColumn("taken", F.current_timestamp())
+    manifest.coalesce(1).write.mode("append").parquet(f"{path}/snapshot/{date}")
+    return manifest_of(spark, path, date).select("table", "rows")
+
+
+def manifest_of(spark: SparkSession, path: str, date: str) -> DataFrame:
+    """table, rows, folder and taken of a date's newest whole snapshot."""
+    held = spark.read.parquet(f"{path}/snapshot/{date}")
+    return held.join(held.agg(F.max_by("folder", F.struct("taken", "folder")).alias("folder")), "folder", "left_semi")
+
+
+def read_snapshot(spark: SparkSession, path: str, date: str, name: str) -> DataFrame:
+    """A table as the date's newest whole snapshot has it."""
+    return spark.read.parquet(f"{manifest_of(spark, path, date).where(F.col('table') == name).first()['folder']}/{name}")
 
 
 def annotate(df: DataFrame, fn: Callable[[list[str]], list[str]], column: str, batch: int = 4, attempts: int = 3, default: str = "", pause: float = 0.0) -> DataFrame:

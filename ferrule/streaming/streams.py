@@ -105,7 +105,11 @@ LEAST_VISIBLE = 3_000  # milliseconds
 
 
 def engagement_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Adds up a visitor's visible time of a day; gives one row when it has reached the threshold and there was an interaction."""
+    """Adds up a visitor's visible time of a day; gives one row when it has reached the threshold and there was an interaction. The state goes when the
+    watermark has passed the day."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     events = pd.concat(parts).sort_values(["ts", "event_id"])
     visible, since, touched, sent = state.get if state.exists else (0, -1, False, False)
     out = []
@@ -117,6 +121,8 @@ def engagement_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupSta
             sent = True
             out.append((*key, visible, pd.Timestamp(int(at), unit="ms").strftime("%Y-%m-%d %H:%M:%S")))
     state.update((int(visible), int(since), bool(touched), bool(sent)))
+    day_ends = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
+    state.setTimeoutTimestamp(max(day_ends, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in ENGAGED.split(", ")])
 
 
@@ -125,8 +131,8 @@ def engagement_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupSta
     SELECT visitor_id, date, CAST(arg_min(visible, (ts, event_id)) AS BIGINT) AS engaged_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS reached_at FROM r WHERE touched AND visible >= 3000 GROUP BY 1, 2""", ("visibility_events",))
 def stream_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When a visitor's visible time of a day reached three seconds with an interaction, once a day, and how long it was then."""
-    events = stream_view(spark, sf_dir, "visibility_events", "events").withColumn("date", F.to_date("ts").cast("string"))
-    out = events.groupBy("visitor_id", "date").applyInPandasWithState(engagement_update, ENGAGED, "visible long, since long, touched boolean, sent boolean", "append", GroupStateTimeout.NoTimeout)
+    events = stream_view(spark, sf_dir, "visibility_events", "events").withColumn("date", F.to_date("ts").cast("string")).withWatermark("ts", "1 day")
+    out = events.groupBy("visitor_id", "date").applyInPandasWithState(engagement_update, ENGAGED, "visible long, since long, touched boolean, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
     return finish(out)
 
 
