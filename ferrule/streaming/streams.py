@@ -5,6 +5,7 @@ Every query reads the given table as a file stream to its end and returns what t
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Iterator
 
@@ -154,19 +155,22 @@ def stream_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retained(df: DataFrame, day: str, days: int) -> DataFrame:
-    """Runs a stream into a store by day. After each batch, days before the horizon, counted from the newest day seen, are dropped from the store."""
+    """Runs a stream into a store by day. After each batch, days before the horizon, counted from the newest day stored, leave the store.
+
+    Which days are stored is read from the names of their folders alone, never from rows, so a batch costs its own rows and a listing.
+    """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").partitionBy(day).parquet(f"{folder}/out/batch={number}")
-        held = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
-        horizon = held.agg(F.date_sub(F.max(day), days).alias("h"))
-        old = held.select("batch", day).distinct().join(horizon, F.col(day) < F.col("h"))
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for r in old.toLocalIterator():  # a folder per day and batch
-            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out/batch={r['batch']}/{day}={r[day]}"), True)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        pattern = hadoop(f"{folder}/out/batch=*/{day}=*")
+        files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        stored = {str(s.getPath()): dt.date.fromisoformat(str(s.getPath().getName()).split("=")[1]) for s in files.globStatus(pattern) if "__HIVE" not in s.getPath().getName()}
+        for path, held in stored.items():
+            if held < max(stored.values()) - dt.timedelta(days=days):
+                files.delete(hadoop(path), True)
 
     q = df.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
