@@ -5,10 +5,12 @@ strings of one character class are scored by the Shannon entropy of a sliding wi
 are updated by one character in and one out, and kept if the largest window entropy reaches the class's threshold and no
 allow-list pattern matches.
 
-Spans come from splitting at a pattern: lengths of the pieces and of the matches give every start and end in code points.
+Spans come from splitting at a pattern: running sums of the lengths of pieces and matches give every start and end in code points.
+A candidate of n characters takes n steps, a text of m matches m log m additions.
 
-Defined results: null and empty texts have no spans; positions count code points; repeated rows are scanned alike; other columns
-are ignored; texts are scanned whole, whatever their length.
+Defined results: null and empty texts have no spans; an empty table gives no rows; positions count code points; of spans that start
+together the kind listed first in ``ORDER`` comes first; repeated rows are scanned alike; other columns, whatever their names, are
+ignored; texts are scanned whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -45,19 +47,34 @@ ORDER = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Steps of the running sums: an array of up to 2^30 lengths is summed.
+STEPS = [1 << k for k in range(31)]
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable is not computed again where it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running_sums(lengths: Column) -> Column:
+    """Running sums of an array by doubled steps: n log n, where a fold that appends copies what it has at each element."""
+    def shifted(sums: Column, step: Column) -> Column:
+        return F.slice(F.concat(F.array_repeat(F.lit(0), step), sums), F.lit(1), F.size(sums))
+
+    add = lambda sums, step: F.when(F.size(sums) > step, F.zip_with(sums, shifted(sums, step), lambda a, b: a + b)).otherwise(sums)
+    return F.aggregate(F.array(*map(F.lit, STEPS)), lengths, add)
+
+
 def found(text: Column, pattern: str) -> Column:
     """Every match of a pattern, in order, as structs of start, end and text."""
-    pieces = F.split(text, pattern, -1)
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    walk = F.aggregate(
-        pairs, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + F.length(x["match"])).alias("end"), x["match"].alias("match")))).alias("out")),
-        lambda s: s["out"])
-    return F.when(F.size(matches) == 0, none).otherwise(walk)
+
+    def placed(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        ends = running_sums(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m)))
+        return F.zip_with(ends, matches, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: F.when(F.size(matches) == 0, none).otherwise(placed(matches)))
 
 
 def as_spans(matches: Column, kind: int) -> Column:
@@ -74,30 +91,33 @@ def base_spans(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.array_sort(F.concat(*parts))).otherwise(F.array().cast(SPAN))
 
 
-def window_entropy(candidate: Column, alphabet: str, window: int) -> Column:
-    """The largest Shannon entropy of a window over a string, in bits, from counts updated one character at a time."""
-    at = F.transform(F.split(candidate, "(?!^)(?!$)"), lambda c: F.instr(F.lit(alphabet), c))
-    zero = F.array_repeat(F.lit(0), len(alphabet) + 1)
+def window_entropy(candidate: Column, alphabet: str, window: int, enough: float = float("inf")) -> Column:
+    """The largest Shannon entropy of a window over a string, in bits, from counts updated one character at a time.
+
+    Each character meets the one that leaves the window with it (0: none yet), so a step looks at nothing but its pair and the counts.
+    Once a window has reached ``enough``, its entropy stands and the rest is not counted.
+    """
+    places = F.transform(F.split(candidate, "(?!^)(?!$)"), lambda c: F.instr(F.lit(alphabet), c))
+    pairs = bind(places, lambda at: F.zip_with(at, F.slice(F.concat(F.array_repeat(F.lit(0), window), at), F.lit(1), F.size(at)), lambda x, y: F.struct(x.alias("came"), y.alias("gone"))))
     clog = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-    change = lambda counts, i, by: F.concat(F.slice(counts, F.lit(1), i), F.array(F.element_at(counts, i + 1) + by), F.slice(counts, i + 2, F.size(counts)))
-    start = F.struct(zero.alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(0.0).alias("most"))
+    start = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(0.0).alias("most"))
 
-    def step(s: Column, x: Column) -> Column:
-        came = F.element_at(s["counts"], x + 1)
-        added = F.struct(change(s["counts"], x, 1).alias("counts"), (s["sum"] + clog(came + 1) - clog(came)).alias("sum"))
-        gone = F.element_at(at, s["i"] - window + 1)
+    def change(counts: Column, place: Column, by: int) -> Column:
+        return F.concat(F.slice(counts, F.lit(1), place - 1), F.array(F.element_at(counts, place) + by), F.slice(counts, place + 1, F.size(counts)))
 
-        def drop(a: Column) -> Column:
-            n = F.element_at(a["counts"], gone + 1)
-            return F.struct(change(a["counts"], gone, -1).alias("counts"), (a["sum"] + clog(n - 1) - clog(n)).alias("sum"))
+    def moved(s: Column, place: Column, by: int) -> Column:
+        """Counts and sum after a character came or left."""
+        n = F.element_at(s["counts"], place)
+        return F.struct(change(s["counts"], place, by).alias("counts"), (s["sum"] + clog(n + by) - clog(n)).alias("sum"))
 
-        slid = F.element_at(F.transform(F.array(added), lambda a: F.when(s["i"] >= window, drop(a)).otherwise(a)), 1)
+    def step(s: Column, x: Column) -> Column:
         size = F.least(s["i"] + 1, F.lit(window)).cast("double")
-        return F.element_at(F.transform(F.array(slid), lambda a: F.struct(
+        slid = bind(moved(s, x["came"], 1), lambda a: F.when(x["gone"] > 0, moved(a, x["gone"], -1)).otherwise(a))
+        return bind(slid, lambda a: F.struct(
             a["counts"].alias("counts"), a["sum"].alias("sum"), (s["i"] + 1).alias("i"),
-            F.greatest(s["most"], F.when(s["i"] + 1 >= window, F.log2(size) - a["sum"] / size).otherwise(F.lit(0.0))).alias("most"))), 1)
+            F.greatest(s["most"], F.when(s["i"] + 1 >= window, F.log2(size) - a["sum"] / size).otherwise(F.lit(0.0))).alias("most")))
 
-    return F.aggregate(at, start, step, lambda s: s["most"])
+    return F.aggregate(pairs, start, lambda s, x: F.when(s["most"] >= enough, s).otherwise(step(s, x)), lambda s: s["most"])
 
 
 def entropy_spans(text: Column) -> Column:
@@ -105,7 +125,7 @@ def entropy_spans(text: Column) -> Column:
     named = "|".join(f"(?:{p})" for p in ALLOWED)
 
     def spans(name: str, pattern: str, alphabet: str, window: int, least: float) -> Column:
-        keep = lambda m: reduce(and_, [m["match"].rlike(k) for k in KINDS[name]], ~m["match"].rlike(named)) & (window_entropy(m["match"], alphabet, window) >= least)
+        keep = lambda m: reduce(and_, [m["match"].rlike(k) for k in KINDS[name]], ~m["match"].rlike(named)) & (window_entropy(m["match"], alphabet, window, least) >= least)
         return as_spans(F.filter(found(text, pattern), keep), ORDER.index(f"entropy_{name}"))
 
     parts = [spans(*x) for x in CLASSES]
