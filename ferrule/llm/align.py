@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 
 from .bpe import ForcedEncoder, Vocabulary
 from .common import Kept, table
-from .tokens import Encoder
+from .tokens import RUNS, Encoder
 
-#: Runs on which ``tiktoken`` slows down. Texts with one go through forced boundaries, others through ``tiktoken``; the ids are the same.
-RUNS = re.compile(r"\s{100}|\S{1000}")
 #: Bytes of text that are aligned in one go (a longer document by itself), and what an id of A is multiplied by in a pair's number.
 GO, PAIR = 1 << 20, 1 << 16
 
@@ -92,7 +90,7 @@ class Aligner:
         whole, b = " " + text, self.pieces.ids(text)
         if b"".join([self.pieces.bytes_of[i] for i in b]) != whole.encode():
             return none, none
-        # A spells every text byte by byte, so its bytes never differ
+        # texts with long runs go through forced boundaries, others through tiktoken: the ids are the same. A spells every text byte by byte, so its bytes never differ
         a = self.encoder.ids(whole, special=False) if RUNS.search(text) else np.array(self.plain(whole), np.int32)
         return a, np.array(b, np.int32)
 

@@ -12,6 +12,7 @@ whole; empty tables give no rows; other columns, whatever their names, are ignor
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -20,19 +21,22 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import ForcedEncoder, Vocabulary
 from .common import table
 
+#: Runs on which ``tiktoken`` slows down.
+RUNS = re.compile(r"\s{100}|\S{1000}")
+
 
 class Encoder:
     """Ids of the byte-level vocabulary as the ``tokenizers`` library gives them (add_special_tokens=False).
 
-    ``tiktoken`` gives the same ids from the same vocabulary several times faster, so it encodes all but texts that hold the special string,
-    and texts with runs of ``RUN`` white space characters, on which its pattern matcher overflows its stack; ``tokenizers`` encodes those.
+    ``tiktoken`` gives the same ids from the same vocabulary several times faster than ``tokenizers``, so it encodes all but texts that hold the
+    special string or ``RUNS``, on which it slows down with the square of a run; forced boundaries encode those in n log n at most.
     ``folder`` is where the vocabulary files lie, by default the installed package's.
     """
 
     SPECIAL = "<|endoftext|>"
-    RUN = re.compile(r"\s{20000}")
 
     def __init__(self, name: str = "byte_bpe_50k", folder: str | None = None):
         import public_tokenizers
@@ -46,16 +50,14 @@ class Encoder:
         coding = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._fast = self.plain = coding.encode_ordinary  # special strings as plain text
         self._piece = coding.encode_single_piece if hasattr(coding, "encode_single_piece") else coding._encode_single_piece
-        self._full = None
+        self._folder, self._forced = folder, None
 
     def ids(self, text: str) -> list[int]:
-        if self.SPECIAL not in text and (len(text) < 20_000 or not self.RUN.search(text)):
+        if self.SPECIAL not in text and not RUNS.search(text):
             return self._fast(text)
-        if self._full is None:
-            from tokenizers import Tokenizer
-
-            self._full = Tokenizer.from_file(self._path(f"{self._name}.json"))
-        return self._full.encode(text, add_special_tokens=False).ids
+        if self._forced is None:
+            self._forced = ForcedEncoder(Vocabulary(self._name, self._folder))
+        return self._forced.ids(text).tolist()
 
     def side_by_side(self, a: int, b: int) -> bool:
         """Whether two tokens of one pre-token can follow each other. Tokens whose neighbours all can are the encoding of their bytes."""
@@ -98,12 +100,14 @@ class TokenTree:
 
     def _leaves(self, text: str) -> list[Leaf]:
         self.encoded_chars += len(text)
+        special = self.encoder.SPECIAL
+        borders = [x for m in re.finditer(re.escape(special), text) for x in m.span()]  # texts are cut there before all else
         out, at = [], 0
         while at < len(text):
             m = SAFE.search(text, min(at + LEAF, len(text) - 1))
-            while m and (over := self._special_over(text, m.start())):
-                m = SAFE.search(text, over)
-            end = m.start() if m and m.start() > at else len(text)
+            end = (self._special_over(text, m.start()) or m.start()) if m and m.start() > at else len(text)
+            if end - at > 2 * LEAF and (k := bisect.bisect_right(borders, at)) < len(borders):
+                end = min(end, borders[k])
             part = text[at:end]
             ids = self.encoder.ids(part)
             out += [Leaf(part, ids)] if len(part) <= 2 * LEAF else self._split(part, ids)
@@ -118,8 +122,6 @@ class TokenTree:
 
     def _split(self, text: str, ids: list[int]) -> list[Leaf]:
         """A long stretch without a safe place, cut between tokens that lie inside one run."""
-        if self.encoder.SPECIAL in text:
-            return [Leaf(text, ids)]
         out, at, chars, began = [], 0, 0, 0
         for k, i in enumerate(ids):
             piece = self.encoder.bytes_of[i]
@@ -174,6 +176,8 @@ class TokenTree:
             return True
         if self._special_over(before + after, len(before)):
             return False
+        if before.endswith(self.encoder.SPECIAL) or after.startswith(self.encoder.SPECIAL):
+            return True
         around = left.text[-1:] + right.text[:2]
         if SAFE.match(around, 1):
             return True
