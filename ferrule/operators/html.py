@@ -64,40 +64,43 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def spans(pages: DataFrame) -> DataFrame:
-    """Every tag with ``end``, the position of its end tag, or the position after its own where it owns no other text.
+    """Every tag with ``end``, the position of its end tag, or the position after its own where it owns no other text, and ``tables``, the number of tables open there.
 
     The end tag is found by depth: of equal names, an opening tag at depth d ends at the next tag that leaves d. All windows lie in one shuffle by page.
     """
     void = F.col("tag").isin(*VOID)
     t = tokens(pages).repartition("page_id")
+    so_far = W.partitionBy("page_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    t = t.withColumn("opened", F.sum(F.when(F.col("tag") != "table", 0).when(F.col("close"), -1).otherwise(1)).over(so_far))
+    t = t.withColumn("tables", (F.col("opened") - F.least(F.lit(0), F.min("opened").over(so_far))).cast("int"))  # end tags without a table close nothing
     step = F.when(void, 0).when(F.col("close"), -1).otherwise(1)
     named = W.partitionBy("page_id", "tag").orderBy("pos")
     t = t.withColumn("after", F.sum(step).over(named.rowsBetween(W.unboundedPreceding, 0)))
     t = t.withColumn("depth", F.when(F.col("close"), F.col("after") + 1).otherwise(F.col("after")))
     level = W.partitionBy("page_id", "tag", "depth").orderBy("pos")
     end = F.when(F.lead("close").over(level), F.lead("pos").over(level))
-    return t.withColumn("end", F.coalesce(F.when(~F.col("close") & ~void & ~F.col("tag").isin(*CONTAINERS), end), F.col("pos") + 1)).drop("after", "depth")
+    return t.withColumn("end", F.coalesce(F.when(~F.col("close") & ~void & ~F.col("tag").isin(*CONTAINERS), end), F.col("pos") + 1)).drop("after", "depth", "opened")
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """page_id, seq, tag, attrs map, text and marked (the text before its references are decoded, with line breaks) of every element.
+    """page_id, seq, tag, attrs map, text, marked (the text before its references are decoded, with line breaks) and tables (how many are open there, itself included) of every element.
 
     An element's text reaches to its own end tag, over what lies inside; that of containers and of elements without an end tag reaches to the next tag.
     A page's tags meet in one row, in order, and each element slices its own pieces out of it, so memory is that of the page and of its elements' texts.
     """
-    page = F.array_sort(F.collect_list(F.struct("pos", "end", "close", "tag", "raw", "piece")))
+    page = F.array_sort(F.collect_list(F.struct("pos", "end", "close", "tag", "raw", "piece", "tables")))
 
     def inside(all_tags: Column, t: Column) -> Column:
         pieces = F.slice(all_tags, t["pos"] + 1, t["end"] - t["pos"])
         return F.when(t["end"] == t["pos"] + 1, t["piece"]).otherwise(F.array_join(F.transform(pieces, lambda x: x["piece"]), ""))
 
     def opened(all_tags: Column) -> Column:
-        return F.transform(F.filter(all_tags, lambda t: ~t["close"]), lambda t, n: F.struct(n.alias("seq"), t["tag"].alias("tag"), t["raw"].alias("raw"), inside(all_tags, t).alias("marked")))
+        return F.transform(F.filter(all_tags, lambda t: ~t["close"]), lambda t, n: F.struct(n.alias("seq"), t["tag"].alias("tag"), t["raw"].alias("raw"), inside(all_tags, t).alias("marked"), t["tables"].alias("tables")))
 
     # the sorted page is bound once as a lambda's variable, for else each element would sort it again
     bound = F.get(F.transform(F.array(page), opened), 0)
     kept = spans(pages).groupBy("page_id").agg(bound.alias("e")).select("page_id", F.inline("e"))
-    return kept.select("page_id", "seq", "tag", attributes(F.col("raw")).alias("attrs"), decoded(F.replace("marked", F.lit(BREAK), F.lit(" "))).alias("text"), "marked")
+    return kept.select("page_id", "seq", "tag", attributes(F.col("raw")).alias("attrs"), decoded(F.replace("marked", F.lit(BREAK), F.lit(" "))).alias("text"), "marked", "tables")
 
 
 _CLEAN = r"regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
