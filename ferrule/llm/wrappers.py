@@ -8,10 +8,10 @@ occurrence. Two wrappers align alike, so partial wrappers of any number of slice
 one task, and all pages take part.
 
 The wrapper says where a host's text is: from the body down, the article or main element, else the container that holds most of the text of fields;
-it stops at a heading or where the text spreads; hosts that spread it over the body have no region. It also says what is template: inside the region
-constants that pages of ``INSIDE`` different contents have at a place that is neither optional nor repeated, elsewhere those that ``OUTSIDE``
-such pages have at such a place, or ``INSIDE`` at an optional one.
-Extraction walks a page along its host's wrapper and keeps the texts of the region without the template. A page that has nothing in the
+it stops at a heading or where the text spreads; hosts that spread it over the body have no region. It also says what is template outside the region:
+constants that pages of ``OUTSIDE`` different contents have at a place that is neither optional nor repeated, or ``INSIDE`` at an optional one.
+What pages share inside the region (headings such as Abstract) is the article's.
+Extraction walks a page along its host's wrapper and keeps the texts of the region; hosts without one lose the template. A page that has nothing in the
 region keeps all but the template; one that is template throughout keeps all. Elements that are boilerplate by their name, class or role are left
 out before, and weigh nothing.
 
@@ -26,7 +26,7 @@ import hashlib
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +46,23 @@ BLOCKS = {
     "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul",
 }
 DROPPED = {"aside", "button", "dialog", "footer", "form", "head", "header", "menu", "nav", "title"}
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|form|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|"
-    r"notice|notices|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.I)
-#: Nodes that a repeat may have; nesting that is kept; pages of different content that make a constant template outside and inside the region;
+# Words of class names and ids. A name is boilerplate if all its words are in the two lists and one is in the first.
+NOISE = set(
+    "ad ads advert advertisement advertisements advertising adverts banner banners breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr header "
+    "masthead menu modal nav navbar navigation newsletter notice notices popup promo promos promoted promotion related replies reply respond share sharing sidebar signup social sponsor "
+    "sponsored sponsors subscribe toolbar widget widgets".split()
+)
+NEUTRAL = set(
+    "area article articles bar block body bottom box btn button buttons container content email entry foot form global group head icon icons inner item items label left link links list main media "
+    "message mobile outer page panel policy post posts primary right row secondary section site slot sticky stories story text this thread title top unit us wrap wrapper".split()
+)
+#: What heads an article is its own.
+HEADS = {"header", "masthead"}
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)(?:>|\Z)|[^<]+|<", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*+)))?", re.I)
+#: Raw-text elements whose content ends at the first end tag of the name; others end at the one that closes them. Of those, some may end at once.
+RAW_TEXT, CLOSED_AT_ONCE = {"script", "style", "noscript", "textarea", "iframe"}, {"svg", "math"}
+#: Nodes that a repeat may have; nesting that is kept; pages of different content that make a constant template at a sure and at an optional place;
 #: shares of field text that a container needs to be entered, and an article or main to be chosen.
 PERIOD, DEPTH, OUTSIDE, INSIDE = 6, 150, 2, 5
 ENTER, MARKED = 0.7, 0.25
@@ -76,33 +87,50 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
             continue
         yield "open", name, m[3] or ""
-        if name in RAW and not (m[3] or "").endswith("/"):
-            stop = re.compile(rf"</{name}\s*(?:>|$)", re.I).search(page, at)
-            at = stop.end() if stop else end
+        if name in RAW:
+            if name not in CLOSED_AT_ONCE or not (m[3] or "").endswith("/"):
+                at = raw_end(page, name, at)
             yield "close", name, ""
 
 
-def noisy(name: str, attributes: str) -> bool:
-    """Whether an element is boilerplate by its name, class, id or role."""
-    if name in DROPPED or name in RAW:
+def raw_end(page: str, name: str, at: int) -> int:
+    """Where the content of an element that is passed over ends: behind its end tag, or with the page."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif name not in RAW_TEXT and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
+def attribute_values(attributes: str) -> Iterator[tuple[str, str]]:
+    return ((m[1].lower(), m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes))
+
+
+def noisy(name: str, attributes: str, headed: Callable[[], bool] = lambda: False) -> bool:
+    """Whether an element is boilerplate by its name, class, id or role; ``headed`` says whether it is in an article, whose header is its own."""
+    if name in RAW or (name in DROPPED and not (name in HEADS and headed())):
         return True
-    for m in ATTRIBUTE.finditer(attributes):
-        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    for key, value in attribute_values(attributes):
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key == "role" and value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"):
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and NOISE.search(value):
-            return True
+        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            for token in value.lower().split():
+                words = {w.strip("0123456789") for w in re.split("[-_]", token)} - {""}
+                found = words & NOISE
+                if found and words <= NOISE | NEUTRAL and not (found <= HEADS and headed()):
+                    return True
     return False
 
 
 def class_of(attributes: str) -> str:
     """An element's class without digits, which number pages and posts."""
-    for m in ATTRIBUTE.finditer(attributes):
-        if m[1].lower() == "class":
-            return re.sub(r"\d+", "", m[2] or m[3] or m[4] or "")
-    return ""
+    return next((re.sub(r"\d+", "", value) for key, value in attribute_values(attributes) if key == "class"), "")
 
 
 def page_tree(page: str) -> list:
@@ -138,7 +166,7 @@ def page_tree(page: str) -> list:
             elif name in RAW:
                 held.append(" ")
             if name not in VOID and name not in RAW:
-                noise = noisy(name, rest)
+                noise = noisy(name, rest, lambda: any(n in ("article", "main") for n, _ in stack))
                 node = stack[-1][1]
                 if (name in BLOCKS or noise) and len(stack) < DEPTH:
                     flush()
@@ -411,7 +439,7 @@ class Template:
                 at = found if loop is not None else found + 1
             if isinstance(x, str):
                 pages = len(node[2]) if node is not None and node[1] == x else 0
-                fixed = pages >= INSIDE and not how if inside and self.regions else pages >= INSIDE and "+" not in how or pages >= OUTSIDE and not how
+                fixed = not (inside and self.regions) and (pages >= INSIDE and "+" not in how or pages >= OUTSIDE and not how)
                 out.append((inside, fixed, x))
             elif not name.endswith("!"):
                 self.walk(x[1], self.line(node, how) if node is not None else [], inside or (node is not None and id(node) in self.regions), out)
