@@ -188,7 +188,7 @@ def duplicate_titles(slides: DataFrame) -> DataFrame:
     return slides.where("title != ''").groupBy("doc_id", F.lower("title").alias("title")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-@operator("kb_sections", ["kb_source"], "SELECT section, section_name, string_agg(id, ',' ORDER BY order_num, id) AS articles FROM kb_source GROUP BY 1, 2")
+@operator("kb_sections", ["kb_articles"], "SELECT section, section_name, string_agg(id, ',' ORDER BY order_num, id) AS articles FROM kb_articles GROUP BY 1, 2")
 def kb_sections(articles: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("order_num", "id")))
     return articles.groupBy("section", "section_name").agg(F.array_join(F.transform(ordered, lambda a: a["id"]), ",").alias("articles"))

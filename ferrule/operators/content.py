@@ -10,8 +10,8 @@ from ferrule.plans.registry import operator
 FIELDS = ("section", "section_name", "order_num", "title", "summary", "related_ids")
 
 
-@operator("kb_related", ["kb_source"], """SELECT a.id, string_agg(b.id || ':' || b.title, '|' ORDER BY r.p) AS related FROM kb_source a,
-    LATERAL (SELECT unnest(CAST(json(a.related_ids) AS VARCHAR[])) AS rid, unnest(range(3)) AS p) r JOIN kb_source b ON b.id = r.rid GROUP BY a.id""")
+@operator("kb_related", ["kb_articles"], """SELECT a.id, string_agg(b.id || ':' || b.title, '|' ORDER BY r.p) AS related FROM kb_articles a,
+    LATERAL (SELECT unnest(CAST(json(a.related_ids) AS VARCHAR[])) AS rid, unnest(range(3)) AS p) r JOIN kb_articles b ON b.id = r.rid GROUP BY a.id""")
 def kb_related(articles: DataFrame) -> DataFrame:
     """Related articles in the order given; unknown ids drop out."""
     ids = articles.select("id", F.posexplode(F.from_json("related_ids", "array<string>")).alias("p", "rid"))
@@ -39,7 +39,7 @@ def kb_patch(live: DataFrame, patches: DataFrame) -> DataFrame:
     return live.join(p, F.col("id") == F.col("pid"), "left").select("id", "section", pick("has_title", "pt", "title"), pick("has_summary", "ps", "summary"))
 
 
-@operator("kb_search", ["kb_source"], "SELECT id, section, title FROM kb_source WHERE title ILIKE '%th_n%' OR summary ILIKE '%th_n%' OR section_name ILIKE '%th_n%'")
+@operator("kb_search", ["kb_articles"], "SELECT id, section, title FROM kb_articles WHERE title ILIKE '%th_n%' OR summary ILIKE '%th_n%' OR section_name ILIKE '%th_n%'")
 def kb_search(articles: DataFrame, q: str = "th_n") -> DataFrame:
     """Case-insensitive search in title, summary and section; % and _ in the query are wildcards; a blank query finds nothing."""
     if not q.strip():
@@ -50,7 +50,7 @@ def kb_search(articles: DataFrame, q: str = "th_n") -> DataFrame:
     return articles.where(hit).orderBy("section", "order_num", "id").select("id", "section", "title")
 
 
-@operator("kb_list", ["kb_source"], "SELECT id, section, order_num, array_to_string(CAST(json(related_ids) AS VARCHAR[]), ',') AS related FROM kb_source WHERE section = 2")
+@operator("kb_list", ["kb_articles"], "SELECT id, section, order_num, array_to_string(CAST(json(related_ids) AS VARCHAR[]), ',') AS related FROM kb_articles WHERE section = 2")
 def kb_list(articles: DataFrame, id: str | None = None, section: int | None = 2) -> DataFrame:
     picked = articles if id is None else articles.where(F.col("id") == id)
     picked = picked if section is None else picked.where(F.col("section") == section)
@@ -72,8 +72,8 @@ def kb_shared(source: DataFrame, live: DataFrame) -> DataFrame:
     return source.select("id").intersect(live.select("id"))
 
 
-@operator("sitemap_union", ["routes", "posts", "kb_source"], """SELECT path AS loc, coalesce(changefreq, 'monthly') AS changefreq, coalesce(CAST(priority AS DOUBLE), 0.7) AS priority, CAST(NULL AS VARCHAR) AS lastmod FROM routes
-    UNION ALL SELECT '/blog/' || slug, 'monthly', 0.7, CAST(coalesce(updated_at, published_at) AS VARCHAR) FROM posts UNION ALL SELECT '/guides/' || id, 'monthly', 0.6, NULL FROM kb_source""")
+@operator("sitemap_union", ["routes", "posts", "kb_articles"], """SELECT path AS loc, coalesce(changefreq, 'monthly') AS changefreq, coalesce(CAST(priority AS DOUBLE), 0.7) AS priority, CAST(NULL AS VARCHAR) AS lastmod FROM routes
+    UNION ALL SELECT '/blog/' || slug, 'monthly', 0.7, CAST(coalesce(updated_at, published_at) AS VARCHAR) FROM posts UNION ALL SELECT '/guides/' || id, 'monthly', 0.6, NULL FROM kb_articles""")
 def sitemap_union(routes: DataFrame, posts: DataFrame, articles: DataFrame) -> DataFrame:
     r = routes.select(F.col("path").alias("loc"), "changefreq", F.col("priority").cast("double"))
     p = posts.select(F.concat(F.lit("/blog/"), "slug").alias("loc"), F.coalesce("updated_at", "published_at").cast("string").alias("lastmod"))

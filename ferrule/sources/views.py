@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+_ARTICLES = """
+        SELECT concat('kb', CAST(doc_id AS STRING)) AS id, CAST(doc_id % 6 AS INT) AS section, concat('Section ', CAST(doc_id % 6 AS STRING)) AS section_name, CAST(doc_id AS INT) AS order_num,
+          substring(text, 1, 40) AS title, substring(text, 41) AS summary, concat('[\"kb', CAST(doc_id + 2 AS STRING), '\",\"none\",\"kb', CAST(doc_id + 1 AS STRING), '\"]') AS related_ids
+        FROM {documents}"""
 VIEWS: dict[str, str] = {
     "items": """
         SELECT l_orderkey, l_partkey, l_suppkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS l_linenumber,
@@ -100,10 +104,8 @@ VIEWS: dict[str, str] = {
           CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0 THEN CAST(50 AS BIGINT) END AS credits,
           concat('cus_', CAST(o_custkey AS STRING)) AS customer_id, CASE WHEN o_custkey % 2 = 0 THEN 'team' ELSE 'individual' END AS plan, CAST(1 + o_orderkey % 12 AS INT) AS seats,
           CASE o_orderkey % 4 WHEN 0 THEN 'past_due' WHEN 1 THEN 'trialing' ELSE 'active' END AS status FROM {orders}""",
-    "kb_source": """
-        SELECT concat('kb', CAST(doc_id AS STRING)) AS id, CAST(doc_id % 6 AS INT) AS section, concat('Section ', CAST(doc_id % 6 AS STRING)) AS section_name, CAST(doc_id AS INT) AS order_num,
-          substring(text, 1, 40) AS title, substring(text, 41) AS summary, concat('[\"kb', CAST(doc_id + 2 AS STRING), '\",\"none\",\"kb', CAST(doc_id + 1 AS STRING), '\"]') AS related_ids
-        FROM {documents} WHERE doc_id % 5 < 4""",
+    "kb_articles": _ARTICLES,
+    "kb_source": _ARTICLES + " WHERE doc_id % 5 < 4",
     "kb_live": """
         SELECT concat('kb', CAST(doc_id AS STRING)) AS id, CAST(doc_id % 6 AS INT) AS section, concat('Section ', CAST(doc_id % 6 AS STRING)) AS section_name, CAST(doc_id AS INT) AS order_num,
           CASE WHEN doc_id % 7 = 0 THEN 'Old title' ELSE substring(text, 1, 40) END AS title, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE substring(text, 41) END AS summary,
