@@ -216,17 +216,23 @@ VIEWS: dict[str, str] = {
     "placements": "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS elem_id, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, CAST(-l_tax AS DOUBLE) AS c, CAST(l_quantity / 2 AS DOUBLE) AS d, CAST(l_suppkey AS DOUBLE) AS e, CAST(l_linenumber AS DOUBLE) AS f FROM {items}",
     "runs": "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS elem_id, CAST(l_partkey % 30 AS INT) AS n_glyphs, CAST(0.5 + l_discount AS DOUBLE) AS avg_glyph, CAST(8 + l_suppkey % 10 AS DOUBLE) AS size, CAST(l_quantity * 10 AS DOUBLE) AS x, CAST(l_tax * 5000 AS DOUBLE) AS y FROM {items}",
     "part_langs": "SELECT doc_id, lang FROM {documents} UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'en-US' ELSE NULL END FROM {documents} UNION ALL SELECT doc_id, lang FROM {documents} WHERE doc_id % 2 = 0",
-    "doc_features": """
-        SELECT d.doc_id, CASE WHEN d.doc_id % 5 = 0 THEN 'Untitled' WHEN d.doc_id % 5 = 1 THEN '' ELSE substring(d.text, 1, 30) END AS title, CASE WHEN d.doc_id % 6 = 0 THEN 0 ELSE 1 + CAST(d.doc_id % 2 AS INT) END AS n_langs,
-          CAST(d.doc_id % 4 AS INT) AS n_headings, CAST(CASE WHEN d.doc_id % 8 = 3 THEN 1 ELSE 0 END AS INT) AS heading_skips, CAST(1 + d.doc_id % 2 AS INT) AS first_level, CAST(CASE WHEN d.doc_id % 50 = 0 THEN 0 ELSE floor(d.n_chars / 6) END AS INT) AS words,
-          CAST(d.doc_id % 9 AS INT) AS paragraphs, CAST(d.doc_id % 7 AS INT) AS images, CAST(CASE WHEN d.doc_id % 7 > 3 THEN d.doc_id % 3 ELSE 0 END AS INT) AS missing_alt, CAST(CASE WHEN d.doc_id % 7 > 1 THEN d.doc_id % 2 ELSE 0 END AS INT) AS weak_alt,
-          CAST(d.doc_id % 5 AS INT) AS links, CAST(CASE WHEN d.doc_id % 5 > 2 THEN 1 ELSE 0 END AS INT) AS bad_links, CAST(d.doc_id % 3 AS INT) AS tables, CAST(CASE WHEN d.doc_id % 3 > 1 THEN d.doc_id % 2 ELSE 0 END AS INT) AS unheaded_tables,
-          CAST(d.doc_id % 4 AS INT) AS manual_markers, CAST(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END AS INT) AS flagged FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id""",
+    "doc_titles": """
+        SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Untitled' WHEN doc_id % 5 = 1 THEN '' ELSE substring(text, 1, 30) END AS title, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 1 + CAST(doc_id % 2 AS INT) END AS n_langs FROM {documents}""",
+    "doc_parts": """
+        SELECT doc_id, CAST(p AS BIGINT) AS seq, CASE (p + doc_id) % 7 WHEN 0 THEN 'link' WHEN 1 THEN 'image' WHEN 2 THEN 'table' ELSE 'paragraph' END AS kind, concat('Picture ', CAST(p AS STRING)) AS name,
+          CASE (p + doc_id) % 7 WHEN 0 THEN CASE doc_id % 4 WHEN 0 THEN 'click here' WHEN 1 THEN '' WHEN 2 THEN 'https://example.org/an/address/of/some/length' ELSE substring(line, 1, 80) END
+            WHEN 1 THEN CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'image 3' ELSE substring(line, 1, 50) END WHEN 2 THEN '' ELSE CASE WHEN p % 5 = 4 THEN concat('- ', line) ELSE line END END AS text,
+          CASE WHEN (p + doc_id) % 7 = 3 THEN CAST(1 + (p + doc_id) % 4 AS INT) END AS level, p % 6 = 5 AS listed, doc_id % 2 = 1 AS headed, p % 4 <> 3 AS judged
+        FROM (SELECT doc_id, {EXPLODE_LINES} FROM {documents}) e""",
     "slides": """
         SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS slide, CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 6 < 3 THEN 'Agenda' ELSE concat('Slide ', CAST(o_orderkey AS STRING)) END AS title,
-          CAST(o_orderkey % 3 AS INT) AS images, CAST(CASE WHEN o_orderkey % 9 = 2 THEN 1 ELSE 0 END AS INT) AS missing_alt, CAST(CASE WHEN o_orderkey % 12 = 1 THEN 1 ELSE 0 END AS INT) AS weak_alt, CAST(o_orderkey % 2 AS INT) AS links,
-          CAST(CASE WHEN o_orderkey % 15 = 1 THEN 1 ELSE 0 END AS INT) AS bad_links, o_orderkey % 10 = 0 AS has_table, CAST(CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE 1 END AS INT) AS n_langs, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 50 END AS INT) AS chars,
+          o_orderkey % 10 = 0 AS has_table, CAST(CASE WHEN o_custkey % 4 = 0 THEN 0 ELSE 1 END AS INT) AS n_langs, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 50 END AS INT) AS chars,
           CASE WHEN o_custkey % 3 = 0 THEN 'Presentation1' ELSE 'Course deck' END AS deck_title FROM {orders}""",
+    "slide_items": """
+        SELECT o.doc_id, o.slide, CAST(i.l_linenumber AS BIGINT) AS item, CASE WHEN i.l_linenumber % 2 = 0 THEN 'link' ELSE 'picture' END AS kind, concat('Picture ', CAST(i.l_linenumber AS STRING)) AS name,
+          CASE WHEN i.l_linenumber % 2 = 0 THEN CASE i.l_partkey % 12 WHEN 0 THEN 'click here' WHEN 1 THEN '' WHEN 2 THEN 'https://example.org/an/address/of/some/length' ELSE concat('Order of part ', CAST(i.l_partkey AS STRING)) END
+            ELSE CASE i.l_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'image 3' WHEN 2 THEN 'a photo with a name of some length.png' ELSE concat('Drawing of part ', CAST(i.l_partkey AS STRING)) END END AS text, i.l_suppkey % 3 = 0 AS decorative
+        FROM {items} i JOIN (SELECT o_orderkey, o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS slide FROM {orders}) o ON o.o_orderkey = i.l_orderkey""",
     "pdf_docs": """
         SELECT o_orderkey AS doc_id, CAST(1 + o_orderkey % 90 AS INT) AS page_count, o_custkey % 3 <> 0 AS marked, CAST(o_custkey % 2 AS INT) AS outline_count, o_custkey % 7 <> 0 AS can_copy, o_custkey % 5 <> 0 AS can_copy_accessibility,
           CASE WHEN o_orderkey % 4 = 0 THEN 'untitled' ELSE 'Syllabus' END AS title, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'en' END AS language, CASE WHEN o_orderkey % 20 = 0 THEN 'bad tree' ELSE NULL END AS table_parse_error FROM {orders}""",
