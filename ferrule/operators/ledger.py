@@ -170,16 +170,21 @@ def purchased_carried(folded: DataFrame) -> DataFrame:
     return ranges.select(*RANGE, came.cast("long").alias("purchased_in"))
 
 
+def account_plans(users: DataFrame, orgs: DataFrame | None = None) -> DataFrame:
+    """user_id, plan_limit, the day of the month that resets fall on, and restricted: whether a team's payment has failed."""
+    plans = users.select(F.col("id").alias("user_id"), limit_of(F.col("plan"), F.col("seats")).alias("plan_limit"), F.dayofmonth("created_at").alias("day"), *([F.col("org_id"), F.col("plan")] if orgs is not None else []))
+    if orgs is None:
+        return plans.withColumn("restricted", F.lit(False))
+    held = F.coalesce((F.col("plan") == "team") & F.col("billing_restricted"), F.lit(False))
+    return plans.join(orgs.select("org_id", "billing_restricted"), "org_id", "left").select("user_id", "plan_limit", "day", held.alias("restricted"))
+
+
 @operator("credit_ledger", ["ledger_events", "users", "orgs"])
 def credit_ledger(events: DataFrame, users: DataFrame, orgs: DataFrame | None = None, catch_up: bool = False, rows: int = ROWS) -> DataFrame:
     """Each user's balance after each event: jobs, refunds, purchases (of no negative amounts), and plan changes, whose amount is the new monthly limit. Members of
     a team whose payment has failed are allowed nothing. A read moves a passed reset date by one month (catch_up: past the event); a job reads twice.
     """
-    plans = users.select(F.col("id").alias("user_id"), limit_of(F.col("plan"), F.col("seats")).alias("plan_limit"), F.dayofmonth("created_at").alias("day"), *([F.col("org_id"), F.col("plan")] if orgs is not None else []))
-    if orgs is None:
-        plans = plans.withColumn("restricted", F.lit(False))
-    else:
-        plans = plans.join(orgs.select("org_id", "billing_restricted"), "org_id", "left").select("user_id", "plan_limit", "day", F.coalesce((F.col("plan") == "team") & F.col("billing_restricted"), F.lit(False)).alias("restricted"))
+    plans = account_plans(users, orgs)
     n = max(1, -(-events.count() // rows))
     ranged = written(events.select("user_id", *EVENT).repartitionByRange(n, "user_id", *EVENT).withColumn("part", F.spark_partition_id()))
     of_user = W.partitionBy("user_id")

@@ -15,11 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ferrule.operators.accounts import SINGLE_CREDITS
 from ferrule.operators.ingest import visit_event_ingest
+from ferrule.operators.ledger import account_plans
 from ferrule.plans.registry import query
 from ferrule.sources.shared import shared_dir
-from ferrule.sources.views import VIEWS
+from ferrule.sources.views import VIEWS, view
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,11 +195,12 @@ def month_on(at: pd.Timestamp, day: int) -> pd.Timestamp:
 def ledger_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Folds a user's new events, in order, into the balance kept between micro-batches."""
     events = pd.concat(parts).sort_values(["ts", "seq"])
-    used, bought, reset, day, limit = state.get if state.exists else (0, 0, None, 0, SINGLE_CREDITS)
+    first = events.iloc[0]
+    used, bought, reset, limit = state.get if state.exists else (0, 0, None, int(first.plan_limit))
+    day, restricted = int(first.day), bool(first.restricted)
     out = []
     for e in events.itertuples():
         if reset is None:
-            day = e.ts.day
             reset = int(month_on(e.ts, day).timestamp())
         due = pd.Timestamp(reset, unit="s")
         limit = int(e.amount) if e.kind == "plan" else limit
@@ -207,7 +208,7 @@ def ledger_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState)
         for n in range(reads):
             if e.ts >= due:
                 used, due = 0, month_on(due, day)
-            allowed = limit - used + bought > 0 if n == 0 else allowed
+            allowed = not restricted and limit - used + bought > 0 if n == 0 else allowed
         reset = int(due.timestamp())
         if e.kind == "deduct":
             monthly = min(max(0, limit - used), e.amount)
@@ -218,13 +219,14 @@ def ledger_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState)
         elif e.kind == "purchase":
             bought += e.amount
         out.append((key[0], e.seq, used, bought, max(0, limit - used) + bought, str(due), allowed))
-    state.update((int(used), int(bought), reset, int(day), int(limit)))
+    state.update((int(used), int(bought), reset, int(limit)))
     yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in LEDGER.split(", ")])
 
 
 @query("stream_ledger")
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-user credit state over the event stream, every user on the single plan from the first event's day until a plan change."""
-    events = stream_view(spark, sf_dir, "ledger_events", "orders")
-    out = events.groupBy("user_id").applyInPandasWithState(ledger_update, LEDGER, "used long, purchased long, reset long, day long, limit long", "append", GroupStateTimeout.NoTimeout)
+    """Per-user credit state over the event stream, from the user's plan and team as they are when a batch runs; the balances of ``credit_ledger``."""
+    plans = account_plans(view(spark, sf_dir, "users"), view(spark, sf_dir, "orgs"))
+    events = stream_view(spark, sf_dir, "ledger_events", "orders").join(plans, "user_id")
+    out = events.groupBy("user_id").applyInPandasWithState(ledger_update, LEDGER, "used long, purchased long, reset long, limit long", "append", GroupStateTimeout.NoTimeout)
     return finish(out)
