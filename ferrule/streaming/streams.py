@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -101,30 +101,32 @@ def stream_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling("hour", "1 hour", "5 minutes").unionByName(rolling("day", "24 hours", "1 hour"))
 
 
-ENGAGED = "visitor_id string, date string, engaged_ms long, reached_at string"
 LEAST_VISIBLE = 3_000  # milliseconds
 
 
-def engagement_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Adds up a visitor's visible time of a day; gives one row when it has reached the threshold and there was an interaction. The state goes when the
-    watermark has passed the day."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    events = pd.concat(parts).sort_values(["ts", "event_id"])
-    visible, since, touched, sent = state.get if state.exists else (0, -1, False, False)
-    out = []
-    for at, shown, interacted in zip(events["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[events["ts"].dt.unit], events["state"] == "visible", events["interacted"], strict=True):
-        if since >= 0:
-            visible += int(at) - since
-        since, touched = (int(at) if shown else -1), touched or bool(interacted)
-        if touched and visible >= LEAST_VISIBLE and not sent:
-            sent = True
-            out.append((*key, visible, pd.Timestamp(int(at), unit="ms").strftime("%Y-%m-%d %H:%M:%S")))
-    state.update((int(visible), int(since), bool(touched), bool(sent)))
-    day_ends = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
-    state.setTimeoutTimestamp(max(day_ends, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in ENGAGED.split(", ")])
+def reached(happened: Column) -> Column:
+    """(engaged_ms, at) of the event by which a visitor's visible time of a day has reached the threshold with an interaction; null before that."""
+    kind = "struct<visible:bigint,since:bigint,touched:boolean,engaged_ms:bigint,at:timestamp>"
+    start = F.struct(F.lit(0).alias("visible"), F.lit(None).alias("since"), F.lit(False).alias("touched"), F.lit(None).alias("engaged_ms"), F.lit(None).alias("at")).cast(kind)
+
+    def step(s, e):
+        at = F.unix_millis(e["ts"])
+        visible, touched = s["visible"] + F.coalesce(at - s["since"], F.lit(0)), s["touched"] | F.coalesce(e["interacted"], F.lit(False))
+        now = s["at"].isNull() & touched & (visible >= LEAST_VISIBLE)
+        return F.struct(visible.alias("visible"), F.when(e["shown"], at).alias("since"), touched.alias("touched"), F.when(now, visible).otherwise(s["engaged_ms"]).alias("engaged_ms"), F.when(now, e["ts"]).otherwise(s["at"]).alias("at"))
+
+    return F.aggregate(F.array_sort(happened), start, step, lambda s: F.when(s["at"].isNotNull(), F.struct(s["engaged_ms"].alias("engaged_ms"), s["at"].alias("at"))))
+
+
+def engagement(events: DataFrame) -> DataFrame:
+    """When a visitor's visible time of a day reached the threshold, as updates by visitor and date.
+
+    A day's events of a visitor are the state, which goes a day after the day has ended; late ones take their place among them.
+    """
+    dated = events.withColumn("day", F.date_trunc("day", "ts")).withColumn("date", F.date_format("day", "yyyy-MM-dd")).withWatermark("day", "2 days")
+    happened = F.collect_list(F.struct("ts", "event_id", (F.col("state") == "visible").alias("shown"), "interacted"))
+    days = dated.groupBy("visitor_id", "date", "day").agg(reached(happened).alias("r")).where("r is not null")
+    return days.select("visitor_id", "date", F.col("r.engaged_ms").alias("engaged_ms"), F.date_format("r.at", "yyyy-MM-dd HH:mm:ss").alias("reached_at"))
 
 
 @query("stream_engagement", """WITH s AS (SELECT visitor_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date, ts, event_id, epoch_us(ts) // 1000 AS ms, lag(epoch_us(ts) // 1000) OVER w AS before, lag(state) OVER w AS was, bool_or(interacted) OVER w AS touched FROM visibility_events WINDOW w AS (PARTITION BY visitor_id, CAST(ts AS DATE) ORDER BY ts, event_id)),
@@ -132,9 +134,7 @@ def engagement_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupSta
     SELECT visitor_id, date, CAST(arg_min(visible, (ts, event_id)) AS BIGINT) AS engaged_ms, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS reached_at FROM r WHERE touched AND visible >= 3000 GROUP BY 1, 2""", ("visibility_events",))
 def stream_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When a visitor's visible time of a day reached three seconds with an interaction, once a day, and how long it was then."""
-    events = stream_view(spark, sf_dir, "visibility_events", "events").withColumn("date", F.to_date("ts").cast("string")).withWatermark("ts", "1 day")
-    out = events.groupBy("visitor_id", "date").applyInPandasWithState(engagement_update, ENGAGED, "visible long, since long, touched boolean, sent boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    return finish(out)
+    return finish(engagement(stream_view(spark, sf_dir, "visibility_events", "events")), ("visitor_id", "date"))
 
 
 @query("stream_subscriptions", """WITH c AS (SELECT customer_id, coalesce(sum(credits), 0) AS credits FROM sub_events GROUP BY 1), n AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY ts DESC, event_id DESC) AS r FROM sub_events WHERE type <> 'credit_pack')
