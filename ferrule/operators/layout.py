@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ferrule.sources.shared import written
 
 DEPTH = 4  # levels that a container may lie below the root
 CELL = 36  # points of the smallest cell of a page's grid
+SHORT = 4  # rounds of doubling before the size of documents is looked up
 BITS = 1024  # bits that a fold gathers before it puts them aside
 
 
@@ -88,26 +91,33 @@ def role_map(nodes: DataFrame, roles: DataFrame) -> DataFrame:
     return nodes.join(roles, ["doc_id", "raw_role"], "left").select("doc_id", "node_id", "raw_role", F.coalesce("role", "raw_role").alias("role"))
 
 
+def rounds(nodes: DataFrame) -> Iterator[int]:
+    """Rounds of doubling, as many as the largest document's nodes ask for; it is looked up only where some short ones do not end."""
+    yield from range(SHORT)
+    most = nodes.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    yield from range(SHORT, most.bit_length())
+
+
 def climb(nodes: DataFrame, passes: Column) -> DataFrame:
     """nodes with ``top``, the nearest ancestor whose ``passes`` is false (null: none), and ``path``, the seqs of the ancestors passed, outermost first.
 
-    Pointers are doubled by self-joins, so the rounds are the logarithm of the longest way up, whatever the depth. Nodes on a cycle have no top:
-    what still moves after as many steps as a document has nodes is on one.
+    Pointers are doubled by self-joins, so the rounds are the logarithm of the longest way up, whatever the depth; rows that have arrived take no
+    further part. Nodes on a cycle have no top: what still moves after as many steps as a document has nodes is on one.
     """
-    most = nodes.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    there = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), passes.alias("passes"), F.col("parent_id").alias("above"), "seq")
+    there = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), passes.alias("passes"), F.col("seq").alias("over"))
     up = (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("n"))
     went = F.coalesce("passes", F.lit(False))
-    first = nodes.select("doc_id", "node_id", F.col("parent_id").alias("at")).join(there, up, "left")
-    now = written(first.select("doc_id", "node_id", F.when(went, F.col("at")).alias("at"), F.when(~went, F.col("n")).alias("top"), F.when(went, F.array("seq")).otherwise(F.array().cast("array<int>")).alias("path")))
-    for _ in range(most.bit_length()):
-        if now.where("at is not null").isEmpty():
+    own = nodes.columns
+    first = nodes.withColumn("at", F.col("parent_id")).join(there, up, "left")
+    now = written(first.select(*own, F.when(went, F.col("at")).alias("at"), F.when(~went, F.col("n")).alias("top"), F.when(went, F.array("over")).otherwise(F.array().cast("array<int>")).alias("path")))
+    for _ in rounds(nodes):
+        moving = now.where("at is not null")
+        if moving.isEmpty():
             break
         ahead = now.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("at").alias("next"), F.col("top").alias("found"), F.col("path").alias("before"))
-        moving = F.col("at").isNotNull()
-        now = written(now.join(ahead, up, "left").select("doc_id", "node_id", F.when(moving, F.col("next")).alias("at"), F.when(moving, F.col("found")).otherwise(F.col("top")).alias("top"),
-                                                         F.when(moving, F.concat("before", "path")).otherwise(F.col("path")).alias("path")))
-    return nodes.join(now.select("doc_id", "node_id", "top", "path"), ["doc_id", "node_id"])
+        went = written(moving.join(ahead, up, "left").select(*own, F.col("next").alias("at"), F.col("found").alias("top"), F.concat("before", "path").alias("path")))
+        now = now.where("at is null").unionByName(went)
+    return now.drop("at")
 
 
 _UP_SQL = """up AS (SELECT doc_id, node_id, parent_id AS held_by, 1 AS far FROM nodes WHERE parent_id IS NOT NULL UNION ALL SELECT u.doc_id, u.node_id, p.parent_id, far + 1 FROM up u JOIN nodes p ON p.doc_id = u.doc_id AND p.node_id = u.held_by WHERE p.parent_id IS NOT NULL AND far < 200)"""
@@ -117,6 +127,7 @@ _UP_SQL = """up AS (SELECT doc_id, node_id, parent_id AS held_by, 1 AS far FROM
     UNION ALL SELECT t.doc_id, t.node_id, 'no_rows' FROM nodes t WHERE t.raw_role = 'Table' AND NOT EXISTS (SELECT 1 FROM nodes c WHERE c.doc_id = t.doc_id AND c.parent_id = t.node_id AND c.raw_role = 'TR')""")
 def orphan_table_parts(nodes: DataFrame) -> DataFrame:
     """Rows and cells outside any table, however deep, and tables without rows."""
+    nodes = written(nodes.select("doc_id", "node_id", "parent_id", "seq", "raw_role"))
     role = F.coalesce("raw_role", F.lit(""))
     loose = climb(nodes, role != "Table").where("raw_role in ('TR', 'TH', 'TD') and top is null").select("doc_id", "node_id", F.lit("no_table").alias("issue"))
     rows = nodes.where("raw_role = 'TR'").select("doc_id", F.col("parent_id").alias("node_id"))
@@ -135,6 +146,7 @@ _INLINE_SQL = "(" + ", ".join(f"'{r}'" for r in INLINE) + ")"
     SELECT o.doc_id, o.node_id, new_parent_id, row_number() OVER (PARTITION BY o.doc_id, new_parent_id ORDER BY path, o.node_id) AS new_seq, coalesce(k.mixed, false) AS mixed FROM o LEFT JOIN k ON k.doc_id = o.doc_id AND k.node_id = o.node_id""")
 def cell_nest_repair(nodes: DataFrame) -> DataFrame:
     """A cell inside cells, however many, moves up to the row, right after the cell that held it; mixed says whether a cell has inline and block children."""
+    nodes = written(nodes.select("doc_id", "node_id", "parent_id", "seq", "raw_role"))
     role = F.coalesce("raw_role", F.lit(""))
     cells = climb(nodes, role.isin("TH", "TD")).where("raw_role in ('TH', 'TD')")
     moved = cells.select("doc_id", "node_id", F.col("top").alias("new_parent_id"), F.concat("path", F.array("seq")).alias("p"))
@@ -210,26 +222,31 @@ def under(nodes: DataFrame, own: DataFrame, merges: dict) -> DataFrame:
     Rows that repeat a node count as one, with the smaller parent; parents that are no nodes are none.
     """
     once = nodes.where("doc_id is not null and node_id is not null").groupBy("doc_id", "node_id").agg(F.min("parent_id").alias("at"))
-    most = once.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     now = written(once.join(own.select("doc_id", "node_id", *merges), ["doc_id", "node_id"], "left"))
-    for _ in range(most.bit_length()):
-        if now.where("at is not null").isEmpty():
+    merged = [f(c).alias(c) for c, f in merges.items()]
+    for _ in rounds(now):
+        moving = now.where("at is not null")
+        if moving.isEmpty():
             break
         above = now.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("at").alias("next"))
-        pairs = now.join(above, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("n")), "left")
-        both = F.array(F.struct(F.col("node_id").alias("node_id"), F.col("next").alias("at")), F.struct(F.col("n").alias("node_id"), F.lit(None).cast(now.schema["at"].dataType).alias("at")))
-        handed = pairs.select("doc_id", F.explode(F.filter(both, lambda x: x["node_id"].isNotNull())).alias("x"), *merges)
-        now = written(handed.groupBy("doc_id", F.col("x.node_id").alias("node_id")).agg(F.max("x.at").alias("at"), *[f(c).alias(c) for c, f in merges.items()]))
+        pairs = moving.join(above, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("n")), "left")
+        none = F.lit(None).cast(now.schema["at"].dataType).alias("at")
+        some = F.size(F.array_compact(F.array(*[F.col(c) for c in merges]))) > 0
+        both = F.array(F.struct(F.col("node_id").alias("node_id"), F.col("next").alias("at")), F.when(some, F.struct(F.col("n").alias("node_id"), none)))
+        handed = pairs.select("doc_id", F.explode(F.filter(both, lambda x: x["node_id"].isNotNull())).alias("x"), *merges).select("doc_id", "x.node_id", "x.at", *merges)
+        now = written(handed.unionByName(now.where("at is null")).groupBy("doc_id", "node_id").agg(F.max("at").alias("at"), *merged))
     return now.drop("at")
 
 
 def shallow_nodes(nodes: DataFrame, depth: int) -> DataFrame:
     """(doc_id, node_id) of the nodes at most ``depth`` levels below a root, walked down from the roots."""
-    child = nodes.select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("below"))
+    child = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("below"))
     level = nodes.where("parent_id is null").select("doc_id", "node_id")
     out = level
     for _ in range(depth):
-        level = child.join(level, ["doc_id", "node_id"]).select("doc_id", F.col("below").alias("node_id"))
+        level = written(child.join(level, ["doc_id", "node_id"]).select("doc_id", F.col("below").alias("node_id")))
+        if level.isEmpty():
+            break
         out = out.unionByName(level)
     return out.distinct()
 
@@ -237,6 +254,7 @@ def shallow_nodes(nodes: DataFrame, depth: int) -> DataFrame:
 @operator("element_bbox", ["nodes", "node_boxes"], f"""WITH RECURSIVE {_BOXED_SQL} SELECT s.doc_id, s.elem_id, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM sub s JOIN node_boxes b ON b.doc_id = s.doc_id AND b.node_id = s.under WHERE x0 IS NOT NULL GROUP BY 1, 2""")
 def element_bbox(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     """The union of the boxes of all content under each element, itself included. Boxes are joined into one a node before they climb."""
+    nodes = nodes.select("doc_id", "node_id", "parent_id")
     union = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
     own = boxes.where("x0 is not null").groupBy("doc_id", "node_id").agg(*[f(c).alias(c) for c, f in union.items()])
     return under(nodes, own, union).where("x0 is not null").select("doc_id", F.col("node_id").alias("elem_id"), *[F.round(c, 4).alias(c) for c in union])
@@ -249,6 +267,7 @@ def element_bbox(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
     SELECT d.doc_id, coalesce(b.node_id, d.root) AS node_id, coalesce(b.n, 0) AS resolvable_children FROM (SELECT doc_id, min(node_id) AS root FROM nodes WHERE parent_id IS NULL GROUP BY 1) d LEFT JOIN b ON b.doc_id = d.doc_id AND b.r = 1""")
 def content_container(nodes: DataFrame, boxes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The node, at most ``depth`` levels below the root, with the most children that hold content with a box; two at least, else the root."""
+    nodes = written(nodes.select("doc_id", "node_id", "parent_id"))
     boxed = boxes.where("x0 is not null").select("doc_id", "node_id").distinct().withColumn("holds", F.lit(True))
     holding = under(nodes, boxed, {"holds": F.max}).where("holds").select("doc_id", "node_id")
     kids = nodes.where("parent_id is not null").join(holding, ["doc_id", "node_id"]).groupBy("doc_id", F.col("parent_id").alias("k")).agg(F.count("*").alias("n")).where("n >= 2")
