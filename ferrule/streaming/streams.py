@@ -6,8 +6,10 @@ Every query reads the given table as a file stream to its end and returns what t
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,39 +189,56 @@ def stream_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER = "user_id string, seq long, used long, purchased long, remaining long, reset_at string, allowed boolean"
 
 
-def month_on(at: pd.Timestamp, day: int) -> pd.Timestamp:
-    first = (at.normalize().replace(day=1) + pd.DateOffset(months=1))
-    return first.replace(day=min(day, first.days_in_month), hour=8)
+#: Users share this many groups: a group's call costs far more than a user's step in it, and holds this share of the users and of a batch's events.
+GROUPS = 2_000
+
+
+@lru_cache(10_000)
+def month_on(at: int, day: int) -> int:
+    """The reset, on a day of the month or its last, at 8, of the month after a time; both in seconds."""
+    first = pd.Timestamp(at, unit="s").normalize().replace(day=1) + pd.DateOffset(months=1)
+    return int(first.replace(day=min(day, first.days_in_month), hour=8).timestamp())
+
+
+@lru_cache(10_000)
+def shown(at: int) -> str:
+    return str(pd.Timestamp(at, unit="s"))
 
 
 def ledger_update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Folds a user's new events, in order, into the balance kept between micro-batches."""
-    events = pd.concat(parts).sort_values(["ts", "seq"])
-    first = events.iloc[0]
-    used, bought, reset, limit = state.get if state.exists else (0, 0, None, int(first.plan_limit))
-    day, restricted = int(first.day), bool(first.restricted)
-    out = []
-    for e in events.itertuples():
-        if reset is None:
-            reset = int(month_on(e.ts, day).timestamp())
-        due = pd.Timestamp(reset, unit="s")
-        limit = int(e.amount) if e.kind == "plan" else limit
-        reads = 2 if e.kind == "deduct" else 1
-        for n in range(reads):
-            if e.ts >= due:
-                used, due = 0, month_on(due, day)
-            allowed = not restricted and limit - used + bought > 0 if n == 0 else allowed
-        reset = int(due.timestamp())
-        if e.kind == "deduct":
-            monthly = min(max(0, limit - used), e.amount)
-            used, bought = used + monthly, max(0, bought - (e.amount - monthly))
-        elif e.kind == "refund":
-            back = min(used, e.amount)
-            used, bought = used - back, bought + e.amount - back
-        elif e.kind == "purchase":
-            bought += e.amount
-        out.append((key[0], e.seq, used, bought, max(0, limit - used) + bought, str(due), allowed))
-    state.update((int(used), int(bought), reset, int(limit)))
+    """Folds new events, each user's in order, into the balances kept between micro-batches. Without a user_id the key is the user."""
+    events = pd.concat(parts)
+    if "user_id" not in events:
+        events = events.assign(user_id=key[0])
+    events = events.sort_values(["user_id", "ts", "seq"])
+    held = json.loads(state.get[0]) if state.exists else {}
+    ts = events["ts"].astype("datetime64[us]").astype("int64")
+    user, out = None, []
+    for who, seq, us, kind, amount, plan_limit, day, restricted in zip(events["user_id"], events["seq"], ts, events["kind"], events["amount"], events["plan_limit"], events["day"], events["restricted"], strict=True):
+        if who != user:
+            if user is not None:
+                held[user] = used, bought, due, limit
+            user, today, barred = who, int(day), bool(restricted)
+            used, bought, due, limit = held.get(who, (0, 0, None, int(plan_limit)))
+        if due is None:
+            due = month_on(us // 10**6 // 86_400 * 86_400, today)
+        amount = int(amount)
+        limit = amount if kind == "plan" else limit
+        for n in range(2 if kind == "deduct" else 1):
+            if us >= due * 10**6:
+                used, due = 0, month_on(due, today)
+            allowed = not barred and limit - used + bought > 0 if n == 0 else allowed
+        if kind == "deduct":
+            monthly = min(max(0, limit - used), amount)
+            used, bought = used + monthly, max(0, bought - (amount - monthly))
+        elif kind == "refund":
+            back = min(used, amount)
+            used, bought = used - back, bought + amount - back
+        elif kind == "purchase":
+            bought += amount
+        out.append((who, seq, used, bought, max(0, limit - used) + bought, shown(due), allowed))
+    held[user] = used, bought, due, limit
+    state.update((json.dumps(held),))
     yield pd.DataFrame(out, columns=[x.split(" ")[0] for x in LEDGER.split(", ")])
 
 
@@ -228,5 +247,5 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-user credit state over the event stream, from the user's plan and team as they are when a batch runs; the balances of ``credit_ledger``."""
     plans = account_plans(view(spark, sf_dir, "users"), view(spark, sf_dir, "orgs"))
     events = stream_view(spark, sf_dir, "ledger_events", "orders").join(plans, "user_id")
-    out = events.groupBy("user_id").applyInPandasWithState(ledger_update, LEDGER, "used long, purchased long, reset long, limit long", "append", GroupStateTimeout.NoTimeout)
-    return finish(out)
+    grouped = events.withColumn("users", F.pmod(F.xxhash64("user_id"), F.lit(GROUPS))).groupBy("users")
+    return finish(grouped.applyInPandasWithState(ledger_update, LEDGER, "held string", "append", GroupStateTimeout.NoTimeout))

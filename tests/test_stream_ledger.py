@@ -36,3 +36,10 @@ def test_plan_and_restriction_follow_the_account_between_batches():
     assert [int(r.used) for r in out] == [100, 250, 250, 580, 1] and [int(r.remaining) for r in out] == [190, 40, 330, 0, 579]
     assert [bool(r.allowed) for r in out] == [True, False, True, True, True]
     assert [r.reset_at for r in out] == ["2024-02-29 08:00:00"] * 4 + ["2024-03-31 08:00:00"]  # the last event is at midnight, before that day's reset
+
+
+def test_users_of_a_group_keep_their_own_balances():
+    events = pd.DataFrame({"user_id": ["b", "a", "b"], "ts": pd.to_datetime(["2024-02-02", "2024-02-01", "2024-02-01"]), "seq": [3, 1, 2], "kind": "deduct", "amount": [5, 7, 6], "plan_limit": [130, 290, 130], "day": 31, "restricted": False})
+    state = Held()
+    steps = [next(streams.ledger_update((0,), iter([events]), state)), next(streams.ledger_update((0,), iter([events.head(1).assign(seq=4)]), state))]
+    assert [(r.user_id, int(r.seq), int(r.used), int(r.remaining)) for df in steps for r in df.itertuples()] == [("a", 1, 7, 283), ("b", 2, 6, 124), ("b", 3, 11, 119), ("b", 4, 16, 114)]
