@@ -14,6 +14,7 @@ from ferrule.sources.shared import written
 
 DEPTH = 4  # levels that a container may lie below the root
 CELL = 36  # points of the smallest cell of a page's grid
+REACH = 2  # cells that a link's longer side may span
 SHORT = 4  # rounds of doubling before the size of documents is looked up
 BITS = 1024  # bits that a fold gathers before it puts them aside
 
@@ -25,13 +26,13 @@ def link_text_under_rect(annotations: DataFrame, items: DataFrame) -> DataFrame:
     """The text inside each link's rectangle, left to right; the alternative text where there is none.
 
     A page is a grid: an item lies in the cell of its corner, a link in the few cells that its rectangle reaches, and they meet by cell. A link's
-    cells are as large as it needs (36 points times a power of two), so that it reaches nine on a side at most; items lie in the grids of their page's links.
+    cells are as large as it needs (36 points times a power of two), so that it reaches three on a side at most; items lie in the grids of their page's links.
     """
     key, cell = ["doc_id", "page"], ["doc_id", "page", "level", "cx", "cy"]
     low, high = {"x": F.col("x1") - 3, "y": F.col("y1") - 3}, {"x": F.col("x2") + 4, "y": F.col("y2") + 3}
     span = F.greatest(high["x"] - low["x"], high["y"] - low["y"], F.lit(1.0))
     size = F.lit(float(CELL)) * F.pow(F.lit(2.0), F.col("level"))
-    links = annotations.where("subtype = 'Link'").withColumn("level", F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(span / (8 * CELL))).cast("int"), F.lit(0))))
+    links = annotations.where("subtype = 'Link'").withColumn("level", F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(span / (REACH * CELL))).cast("int"), F.lit(0))))
     reached = lambda c: F.sequence(F.floor(low[c] / size), F.greatest(F.floor(low[c] / size), F.floor(high[c] / size)))
     spread = links.withColumn("cx", F.explode_outer(reached("x"))).withColumn("cy", F.explode_outer(reached("y"))).select(*cell, "annot_id", "alt", "x1", "y1", "x2", "y2")
     grids = links.groupBy(*key).agg(F.collect_set("level").alias("levels"))

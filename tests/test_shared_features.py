@@ -19,3 +19,12 @@ def test_pdf_reports_are_those_of_findings_and_facts(spark, tmp_path):
     want = rules.write_reports(rules.rules_pdf(docs, pages, annotations, nodes), rules.pdf_facts(docs, pages, annotations, nodes), str(tmp_path / "b"), rules.pdf_parse_notes(docs, pages))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(got) == rows(want) and len(rows(got)) == 6
+
+
+def test_a_link_reaches_few_cells(spark):
+    """Its rectangle of 288 by 288 points lay in 81 cells of 36 points."""
+    link = spark.createDataFrame([(1, 1, 1, "Link", "", 10.0, 10.0, 290.0, 290.0)], "doc_id long, page int, annot_id int, subtype string, alt string, x1 double, y1 double, x2 double, y2 double")
+    items = spark.createDataFrame([(1, 1, i, f"w{i}", float(i % 40 * 10), float(i // 40 * 10), 5.0, 5.0) for i in range(1600)], "doc_id long, page int, seq int, str string, x double, y double, w double, h double")
+    got = layout.link_text_under_rect(link, items).first().visible_text.split(" ")
+    assert sorted(got) == sorted(f"w{i}" for i in range(1600) if 7 <= i % 40 * 10 <= 289 and 7 <= i // 40 * 10 <= 288)
+    assert layout.REACH <= 2
