@@ -163,21 +163,32 @@ def cell_nest_repair(nodes: DataFrame) -> DataFrame:
       count(*) FILTER (WHERE raw_role = 'TH' AND scope IS NULL) AS th_without_scope, count(*) FILTER (WHERE raw_role = 'TH' AND scope IS NOT NULL AND scope NOT IN ('Row', 'Column', 'Both')) AS invalid_scopes, count(*) FILTER (WHERE raw_role = 'TH' AND scope IN ('Row', 'Column', 'Both')) AS valid_scopes,
       count(*) FILTER (WHERE raw_role = 'TD' AND has_headers) AS td_with_headers, count(*) FILTER (WHERE raw_role = 'TD' AND NOT has_headers) AS td_without_headers, count(*) FILTER (WHERE raw_role = 'TR' AND coalesce(pr, '') NOT IN ('Table', 'THead', 'TBody', 'TFoot')) AS stray_rows, (SELECT count(*) FROM e WHERE e.doc_id = j.doc_id) AS empty_tables FROM j GROUP BY doc_id""")
 def table_structure(nodes: DataFrame) -> DataFrame:
-    """Fourteen counters per document over each node and its parent's role."""
-    p = nodes.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("raw_role").alias("pr"))
-    j = nodes.join(p, (F.col("doc_id") == F.col("d")) & (F.col("parent_id") == F.col("n")), "left")
-    role, parent = F.col("raw_role"), F.coalesce("pr", F.lit(""))
-    cell = role.isin("TH", "TD")
-    th = role == "TH"
-    scoped = F.col("scope").isin("Row", "Column", "Both")
-    n = lambda c, name: F.count_if(c).alias(name)
-    out = j.groupBy("doc_id").agg(
-        n(role == "Table", "tables"), n(role == "TR", "rows"), n(th, "th"), n(role == "TD", "td"), n(cell & parent.isin("TH", "TD"), "nested_cells"),
-        n((parent == "Table") & ~role.isin("TR", "THead", "TBody", "TFoot", "Caption"), "invalid_table_children"), n((parent == "TR") & ~cell, "invalid_row_children"),
+    """Fourteen counters per document over each node and its parent's role.
+
+    Each node is two rows, one under its own id and one under its parent's, and they meet in a window: nodes are read once and move once, by document.
+    A node whose id is repeated is a parent as often, as in a join.
+    """
+    own = F.col("own")
+    ids = F.array(F.struct(F.col("node_id").alias("key"), F.lit(True).alias("own")), F.struct(F.col("parent_id").alias("key"), F.lit(False).alias("own")))
+    rows = nodes.select("doc_id", "node_id", "parent_id", "raw_role", "scope", "has_headers").repartition("doc_id").select("doc_id", F.explode(ids).alias("i"), "raw_role", "scope", "has_headers")
+    parent = F.col("raw_role")
+    same = W.partitionBy("doc_id", "key")
+    there = own & F.col("doc_id").isNotNull() & F.col("key").isNotNull()
+    above = lambda c: F.count_if(there & c).over(same)
+    row = ~own & (F.col("raw_role") == "TR")
+    met = rows.select("doc_id", "i.key", "i.own", "raw_role", "scope", "has_headers").withColumn("first", F.row_number().over(same.orderBy(F.when(row, 0).otherwise(1))) == 1)
+    met = met.withColumns({"np": above(F.lit(True)), "cells": above(parent.isin("TH", "TD")), "tabs": above(parent == "Table"), "trs": above(parent == "TR"), "parts": above(parent.isin("Table", "THead", "TBody", "TFoot"))})
+    kids = met.where(~own)
+    role, th = F.col("raw_role"), F.col("raw_role") == "TH"
+    cell, scoped = role.isin("TH", "TD"), F.col("scope").isin("Row", "Column", "Both")
+    times = F.greatest("np", F.lit(1))
+    n = lambda c, name, by=times: F.coalesce(F.sum(F.when(c, by)), F.lit(0)).cast("long").alias(name)
+    out = kids.groupBy("doc_id").agg(
+        n(role == "Table", "tables"), n(role == "TR", "rows"), n(th, "th"), n(role == "TD", "td"), n(cell, "nested_cells", F.col("cells")),
+        n(~role.isin("TR", "THead", "TBody", "TFoot", "Caption"), "invalid_table_children", F.col("tabs")), n(~cell, "invalid_row_children", F.col("trs")),
         n(th & F.col("scope").isNull(), "th_without_scope"), n(th & ~scoped, "invalid_scopes"), n(th & scoped, "valid_scopes"),
         n((role == "TD") & F.col("has_headers"), "td_with_headers"), n((role == "TD") & ~F.col("has_headers"), "td_without_headers"),
-        n((role == "TR") & ~parent.isin("Table", "THead", "TBody", "TFoot"), "stray_rows"),
-        F.count_distinct(F.when((role == "TR") & (parent == "Table"), F.col("parent_id"))).alias("filled"))
+        n(role == "TR", "stray_rows", times - F.col("parts")), n(F.col("first") & (role == "TR") & (F.col("tabs") > 0), "filled", F.lit(1)))
     return out.withColumn("empty_tables", F.col("tables") - F.col("filled")).drop("filled")
 
 

@@ -28,3 +28,26 @@ def test_a_link_reaches_few_cells(spark):
     got = layout.link_text_under_rect(link, items).first().visible_text.split(" ")
     assert sorted(got) == sorted(f"w{i}" for i in range(1600) if 7 <= i % 40 * 10 <= 289 and 7 <= i // 40 * 10 <= 288)
     assert layout.REACH <= 2
+
+
+def test_table_counters_read_nodes_once_and_equal_a_join(spark, capsys):
+    rnd = random.Random(4)
+    roles = ["Table", "TR", "TH", "TD", "THead", "P", None]
+    made = [(rnd.choice([1, 2, None]), rnd.choice([None, *range(9)]), rnd.choice([None, *range(12)]), 0, rnd.choice(roles), rnd.choice([None, "Row", "Bad"]), rnd.choice([True, False, None])) for _ in range(300)]
+    joined = [(c, p) for c in made for p in [p[4] or "" for p in made if None not in (c[0], c[2]) and (p[0], p[1]) == (c[0], c[2])] or [""]]
+    names = ("tables", "rows", "th", "td", "nested_cells", "invalid_table_children", "invalid_row_children", "th_without_scope", "invalid_scopes", "valid_scopes", "td_with_headers", "td_without_headers", "stray_rows", "empty_tables")
+    want = {}
+    for d in (1, 2, None):
+        mine = [(c[4], p, c[5], c[6], c[2]) for c, p in joined if c[0] == d]
+        n = lambda f: sum(bool(f(*x)) for x in mine)
+        cell = ("TH", "TD")
+        want[d] = dict(zip(names, (
+            n(lambda r, p, s, h, k: r == "Table"), n(lambda r, p, s, h, k: r == "TR"), n(lambda r, p, s, h, k: r == "TH"), n(lambda r, p, s, h, k: r == "TD"), n(lambda r, p, s, h, k: r in cell and p in cell),
+            n(lambda r, p, s, h, k: p == "Table" and r and r not in ("TR", "THead", "TBody", "TFoot", "Caption")), n(lambda r, p, s, h, k: p == "TR" and r and r not in cell),
+            n(lambda r, p, s, h, k: r == "TH" and s is None), n(lambda r, p, s, h, k: r == "TH" and s == "Bad"), n(lambda r, p, s, h, k: r == "TH" and s == "Row"),
+            n(lambda r, p, s, h, k: r == "TD" and h), n(lambda r, p, s, h, k: r == "TD" and h is False), n(lambda r, p, s, h, k: r == "TR" and p not in ("Table", "THead", "TBody", "TFoot")),
+            n(lambda r, p, s, h, k: r == "Table") - len({k for r, p, s, h, k in mine if r == "TR" and p == "Table"}))))
+    out = layout.table_structure(spark.createDataFrame(made, NODES))
+    assert {r.doc_id: {c: r[c] for c in names} for r in out.collect()} == want
+    out.explain()
+    assert "Join" not in capsys.readouterr().out
