@@ -293,10 +293,23 @@ def content_container(nodes: DataFrame, boxes: DataFrame, depth: int = DEPTH) ->
     SELECT doc_id, page, string_agg(trim(regexp_replace(text, '\s+', ' ', 'g')), chr(10) ORDER BY band, x, ry, text) AS text, CAST(sum(length(trim(regexp_replace(text, '\s+', ' ', 'g')))) + count(*) - 1 AS BIGINT) AS text_len FROM u GROUP BY 1, 2""")
 def block_order(blocks: DataFrame) -> DataFrame:
     """A page's text from its blocks: repeats at one place count once, bands of 20 points top-down, then left to right."""
-    once = blocks.groupBy("doc_id", "page", F.round("x").alias("rx"), F.round("y").alias("ry"), "text").agg(F.min(F.round(F.col("y") / 20) * 20).alias("band"), F.min("x").alias("x"))
-    ordered = F.array_sort(F.collect_list(F.struct("band", "x", "ry", "text", T.clean(F.col("text")).alias("c"))))
-    text = F.array_join(F.filter(F.transform(ordered, lambda b: b["c"]), lambda c: c != ""), "\n")
-    return once.groupBy("doc_id", "page").agg(text.alias("text")).withColumn("text_len", F.length("text").cast("long"))
+    at = ["rx", "ry", "text"]
+    placed = blocks.select("doc_id", "page", F.struct(F.round("x").alias("rx"), F.round("y").alias("ry"), "text", (F.round(F.col("y") / 20) * 20).alias("band"), "x").alias("e"))
+    pages = placed.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("e")).alias("b"))
+
+    def firsts(b: Column) -> Column:
+        """The first block of each place of a sorted array."""
+        before = lambda i, c: F.get(b, i - 1)[c]
+        return F.filter(b, lambda e, i: (i == 0) | ~(e["rx"].eqNullSafe(before(i, "rx")) & e["ry"].eqNullSafe(before(i, "ry")) & e["text"].eqNullSafe(before(i, "text"))))
+
+    # The first of a place has the least band; the least x is the first by x. Band and x are null where the place is.
+    by_x = F.array_sort(F.transform("b", lambda e: F.struct(*[e[c].alias(c) for c in (*at, "x")])))
+    xs = F.transform(F.transform(F.array(by_x), firsts)[0], lambda e: e["x"])
+    once = pages.withColumn("f", firsts(F.col("b")))
+    order = lambda e, x: F.struct(e["band"].alias("band"), x.alias("x"), e["ry"].alias("ry"), e["text"].alias("text"))
+    each = F.when(F.size("f") == F.size("b"), F.transform("f", lambda e: order(e, e["x"]))).otherwise(F.zip_with("f", xs, order))
+    text = F.array_join(F.filter(F.transform(F.array_sort(each), lambda e: T.clean(e["text"])), lambda c: c != ""), "\n")
+    return once.select("doc_id", "page", text.alias("text")).withColumn("text_len", F.length("text").cast("long"))
 
 
 @operator("reading_order", ["boxes"])

@@ -51,3 +51,16 @@ def test_table_counters_read_nodes_once_and_equal_a_join(spark, capsys):
     assert {r.doc_id: {c: r[c] for c in names} for r in out.collect()} == want
     out.explain()
     assert "Join" not in capsys.readouterr().out
+
+
+def test_blocks_and_images_sort_narrow_rows(spark, capsys):
+    rnd = random.Random(9)
+    blocks = [(1, p, rnd.choice([None, 0.4, 0.6, 1.2, -0.2, 100.0]), rnd.choice([None, 9.6, 10.4, 29.9, 30.1]), rnd.choice([None, "a", " b  c ", ""])) for p in range(3) for _ in range(80)]
+    df = spark.createDataFrame(blocks, "doc_id long, page int, x double, y double, text string")
+    once = df.groupBy("doc_id", "page", F.round("x").alias("rx"), F.round("y").alias("ry"), "text").agg(F.min(F.round(F.col("y") / 20) * 20).alias("band"), F.min("x").alias("x"))
+    want = once.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("band", "x", "ry", "text"))).alias("b"))
+    text = lambda bs: "\n".join(t for t in (" ".join((b.text or "").split()) for b in bs) if t)
+    out = layout.block_order(df)
+    assert {r.page: r.text for r in out.collect()} == {r.page: text(r.b) for r in want.collect()}
+    out.explain()
+    assert capsys.readouterr().out.split("Initial Plan")[0].count("Aggregate") == 2  # a partial and a final one
