@@ -198,11 +198,14 @@ def image_candidates(images: DataFrame) -> DataFrame:
     """Why each placed image is or is not content: page backgrounds and slivers are not. One shuffle by document serves all windows."""
     width, height = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
     coverage = F.round(width * height / (F.col("page_w") * F.col("page_h")), 4)
+    flat = (F.greatest(width / height, height / width) > 12) & (F.least(width, height) < 12)
+    sliver = F.coalesce((F.least(width, height) < 8) | flat, F.lit(False))
+    # What the windows sort is narrow: sides and depths are judged before.
+    judged = images.select("doc_id", "page", "img_idx", "hash", coverage.alias("coverage"), sliver.alias("sliver"), (F.col("bpc") <= 1).alias("flat"))
     n = F.count("*").over(W.partitionBy("doc_id", "page"))
     pages = F.size(F.collect_set("page").over(W.partitionBy("doc_id", "hash"))).cast("long")
-    flat = (F.greatest(width / height, height / width) > 12) & (F.least(width, height) < 12)
-    seen = images.withColumn("coverage", coverage).withColumn("n", n).withColumn("repeated_on_pages", pages)
-    reason = F.when((F.col("coverage") >= 0.75) & ((F.col("bpc") <= 1) | (F.col("n") > 1)), "background").when((F.least(width, height) < 8) | flat, "sliver").otherwise("candidate")
+    seen = judged.withColumn("n", n).withColumn("repeated_on_pages", pages)
+    reason = F.when((F.col("coverage") >= 0.75) & (F.col("flat") | (F.col("n") > 1)), "background").when(F.col("sliver"), "sliver").otherwise("candidate")
     return seen.select("doc_id", "page", "img_idx", "coverage", reason.alias("reason"), "repeated_on_pages")
 
 
