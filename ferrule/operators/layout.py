@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import text as T
 from ferrule.plans.registry import operator
-from ferrule.sources.shared import written
+from ferrule.sources.shared import replaced, written
 
 DEPTH = 4  # levels that a container may lie below the root
 CELL = 36  # points of the smallest cell of a page's grid
 REACH = 2  # cells that a link's longer side may span
 SHORT = 4  # rounds of doubling before the size of documents is looked up
+HELD = 2  # rounds of doubling, for trees of four levels, that move no rows
 BITS = 1024  # bits that a fold gathers before it puts them aside
 
 
@@ -228,51 +229,57 @@ def background_images(marks: DataFrame) -> DataFrame:
 _BOXED_SQL = """sub AS (SELECT doc_id, node_id AS elem_id, node_id AS under FROM nodes UNION ALL SELECT s.doc_id, s.elem_id, c.node_id FROM sub s JOIN nodes c ON c.doc_id = s.doc_id AND c.parent_id = s.under)"""
 
 
+def asked(rows: DataFrame, parent: str) -> DataFrame:
+    """Each row twice, under its own id (``own``) and, if it has a parent, under the parent's (``key``), for windows over (doc_id, key)."""
+    ids = F.array(F.struct(F.col("node_id").alias("key"), F.lit(True).alias("own")), F.struct(F.col(parent).alias("key"), F.lit(False).alias("own")))
+    return rows.select(*rows.columns, F.explode(F.filter(ids, lambda x: x["own"] | x["key"].isNotNull())).alias("i")).select(*rows.columns, "i.key", "i.own")
+
+
 def under(nodes: DataFrame, own: DataFrame, merges: dict) -> DataFrame:
-    """(doc_id, node_id) and each column of ``merges`` over the node and all below it; ``own`` has the nodes' own values, one row a node.
+    """(doc_id, node_id) and each column of ``merges`` over the node and all below it; ``own`` has the nodes' own values, any number of rows a node.
 
     ``merges`` names an aggregate for each column that may meet a value twice, as min and max. Each node holds the merged values of what lies less than
     2^k below it and points to its ancestor 2^k above; a round hands values to that ancestor and doubles the pointer, so that rows stay those of
-    the nodes and rounds the logarithm of the depth. Cycles end after as many steps as a document has nodes: each node on one has all of it below.
+    the nodes and rounds the logarithm of the depth. Nodes and values move once, by document, and ``HELD`` rounds are windows and aggregates over that; only deeper
+    trees are written and moved again. Cycles end after as many steps as a document has nodes: each node on one has all of it below.
     Rows that repeat a node count as one, with the smaller parent; parents that are no nodes are none.
     """
-    once = nodes.where("doc_id is not null and node_id is not null").groupBy("doc_id", "node_id").agg(F.min("parent_id").alias("at"))
-    now = written(once.join(own.select("doc_id", "node_id", *merges), ["doc_id", "node_id"], "left"))
     merged = [f(c).alias(c) for c, f in merges.items()]
-    for _ in rounds(now):
-        moving = now.where("at is not null")
-        if moving.isEmpty():
-            break
-        above = now.select(F.col("doc_id").alias("d"), F.col("node_id").alias("n"), F.col("at").alias("next"))
-        pairs = moving.join(above, (F.col("doc_id") == F.col("d")) & (F.col("at") == F.col("n")), "left")
+    some = F.size(F.array_compact(F.array(*[F.col(c) for c in merges]))) > 0
+    same = W.partitionBy("doc_id", "key")
+
+    def step(now: DataFrame) -> DataFrame:
+        met = asked(now, "at").withColumns({"there": F.max("own").over(same), "next": F.max(F.when(F.col("own"), F.col("at"))).over(same)})
         none = F.lit(None).cast(now.schema["at"].dataType).alias("at")
-        some = F.size(F.array_compact(F.array(*[F.col(c) for c in merges]))) > 0
-        both = F.array(F.struct(F.col("node_id").alias("node_id"), F.col("next").alias("at")), F.when(some, F.struct(F.col("n").alias("node_id"), none)))
-        handed = pairs.select("doc_id", F.explode(F.filter(both, lambda x: x["node_id"].isNotNull())).alias("x"), *merges).select("doc_id", "x.node_id", "x.at", *merges)
-        now = written(handed.unionByName(now.where("at is null")).groupBy("doc_id", "node_id").agg(F.max("at").alias("at"), *merged))
+        moved = F.array(F.struct("node_id", F.col("next").alias("at")), F.when(F.col("there") & some, F.struct(F.col("key").alias("node_id"), none)))
+        each = F.when(~F.col("own"), F.array_compact(moved)).otherwise(F.when(F.col("at").isNull(), F.array(F.struct("node_id", none))))
+        return met.select("doc_id", F.explode(each).alias("x"), *merges).select("doc_id", "x.node_id", "x.at", *merges).groupBy("doc_id", "node_id").agg(F.max("at").alias("at"), *merged)
+
+    rows = nodes.where("doc_id is not null and node_id is not null").select("doc_id", "node_id", F.col("parent_id").alias("at"), F.lit(True).alias("node"))
+    both = rows.unionByName(own.select("doc_id", "node_id", *merges), allowMissingColumns=True).repartition("doc_id")
+    now = both.groupBy("doc_id", "node_id").agg(F.min("at").alias("at"), F.max("node").alias("node"), *merged).where("node").drop("node")
+    for _ in range(HELD):
+        now = step(now)
+    now = written(now)
+    for _ in range(HELD, most_rounds(now)):
+        now = replaced(now, step(now.repartition("doc_id")))
+        if now.where("at is not null").isEmpty():
+            break
     return now.drop("at")
 
 
-def shallow_nodes(nodes: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, node_id) of the nodes at most ``depth`` levels below a root, walked down from the roots."""
-    child = nodes.where("parent_id is not null").select("doc_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("below"))
-    level = nodes.where("parent_id is null").select("doc_id", "node_id")
-    out = level
-    for _ in range(depth):
-        level = written(child.join(level, ["doc_id", "node_id"]).select("doc_id", F.col("below").alias("node_id")))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.distinct()
+def most_rounds(now: DataFrame) -> int:
+    """Rounds of doubling that the largest document asks for; none more where no node moves."""
+    if now.where("at is not null").isEmpty():
+        return 0
+    return (now.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0).bit_length()
 
 
 @operator("element_bbox", ["nodes", "node_boxes"], f"""WITH RECURSIVE {_BOXED_SQL} SELECT s.doc_id, s.elem_id, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM sub s JOIN node_boxes b ON b.doc_id = s.doc_id AND b.node_id = s.under WHERE x0 IS NOT NULL GROUP BY 1, 2""")
 def element_bbox(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """The union of the boxes of all content under each element, itself included. Boxes are joined into one a node before they climb."""
-    nodes = nodes.select("doc_id", "node_id", "parent_id")
+    """The union of the boxes of all content under each element, itself included."""
     union = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
-    own = boxes.where("x0 is not null").groupBy("doc_id", "node_id").agg(*[f(c).alias(c) for c, f in union.items()])
-    return under(nodes, own, union).where("x0 is not null").select("doc_id", F.col("node_id").alias("elem_id"), *[F.round(c, 4).alias(c) for c in union])
+    return under(nodes, boxes.where("x0 is not null"), union).where("x0 is not null").select("doc_id", F.col("node_id").alias("elem_id"), *[F.round(c, 4).alias(c) for c in union])
 
 
 @operator("content_container", ["nodes", "node_boxes"], f"""WITH RECURSIVE {_BOXED_SQL}, lev AS (SELECT doc_id, node_id, 0 AS depth FROM nodes WHERE parent_id IS NULL UNION ALL SELECT l.doc_id, c.node_id, depth + 1 FROM lev l JOIN nodes c ON c.doc_id = l.doc_id AND c.parent_id = l.node_id),
@@ -283,13 +290,21 @@ def element_bbox(nodes: DataFrame, boxes: DataFrame) -> DataFrame:
 def content_container(nodes: DataFrame, boxes: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The node, at most ``depth`` levels below the root, with the most children that hold content with a box; two at least, else the root."""
     nodes = written(nodes.select("doc_id", "node_id", "parent_id"))
-    boxed = boxes.where("x0 is not null").select("doc_id", "node_id").distinct().withColumn("holds", F.lit(True))
-    holding = under(nodes, boxed, {"holds": F.max}).where("holds").select("doc_id", "node_id")
-    kids = nodes.where("parent_id is not null").join(holding, ["doc_id", "node_id"]).groupBy("doc_id", F.col("parent_id").alias("k")).agg(F.count("*").alias("n")).where("n >= 2")
-    shallow = kids.join(shallow_nodes(nodes, depth).withColumnRenamed("node_id", "k"), ["doc_id", "k"])
-    best = shallow.groupBy("doc_id").agg(F.max_by(F.struct("k", "n"), F.struct("n", -F.col("k"))).alias("b"))
-    roots = nodes.where("parent_id is null").groupBy("doc_id").agg(F.min("node_id").alias("root"))
-    return roots.join(best, "doc_id", "left").select("doc_id", F.coalesce("b.k", "root").alias("node_id"), F.coalesce("b.n", F.lit(0)).alias("resolvable_children"))
+    boxed = boxes.where("x0 is not null").select("doc_id", "node_id", F.lit(True).alias("holds"))
+    holding = under(nodes, boxed, {"holds": F.max}).where("holds").select("doc_id", "node_id", "holds")
+    # All below is windows by document: whether a node holds content, whether it lies at most ``depth`` levels below a root, and what its parent counts.
+    rows = nodes.withColumn("node", F.lit(True)).unionByName(holding, allowMissingColumns=True).repartition("doc_id")
+    holds = F.coalesce(F.max("holds").over(W.partitionBy("doc_id", "node_id")), F.lit(False))
+    rows = rows.withColumn("holds", holds).where("node").select("doc_id", "node_id", "parent_id", "holds", F.col("parent_id").isNull().alias("near"))
+    above = F.coalesce(F.max(F.when(F.col("own"), F.col("near"))).over(W.partitionBy("doc_id", "key")), F.lit(False))
+    for _ in range(depth):
+        met = asked(rows, "parent_id").withColumn("above", above).where(~F.col("own") | F.col("parent_id").isNull())
+        rows = met.select("doc_id", "node_id", "parent_id", "holds", F.when(F.col("own"), F.col("near")).otherwise(F.col("near") | F.col("above")).alias("near"))
+    met = asked(rows, "parent_id").withColumn("above", above)
+    counts = met.groupBy("doc_id", "key").agg(F.count_if(~F.col("own") & F.col("holds") & F.col("above")).alias("n"), F.min(F.when(F.col("own") & F.col("parent_id").isNull(), F.col("node_id"))).alias("root"), F.bool_or(F.col("own") & F.col("parent_id").isNull()).alias("rooted"))
+    best = F.max_by(F.when(F.col("n") >= 2, F.struct("key", "n")), F.when(F.col("n") >= 2, F.struct("n", -F.col("key"))))
+    docs = counts.groupBy("doc_id").agg(F.min("root").alias("root"), F.bool_or("rooted").alias("rooted"), best.alias("b")).where("rooted")
+    return docs.select("doc_id", F.coalesce("b.key", "root").alias("node_id"), F.coalesce("b.n", F.lit(0)).alias("resolvable_children"))
 
 
 @operator("block_order", ["text_blocks"], r"""WITH d AS (SELECT DISTINCT doc_id, page, round(x) AS rx, round(y) AS ry, text, round(y / 20) * 20 AS band, x FROM text_blocks), u AS (SELECT doc_id, page, rx, ry, text, min(band) AS band, min(x) AS x FROM d GROUP BY ALL)
